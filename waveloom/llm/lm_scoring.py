@@ -3,7 +3,8 @@
 Two bigram models are counted over all documents, in one pass: the target model over documents labelled good,
 the background model over every document. They are matched: one vocabulary of hashed words, one order, one
 smoothing, and the background's counts are scaled to the target's mass, so neither model is sharper for having seen more.
-A document's score is the mean over its tokens of target loss minus background loss: lower is nearer the target.
+A document's score is the mean over its tokens of target loss minus background loss: lower is nearer the target. Its own counts
+are taken off a model that has seen it, so labelled and other documents are scored alike.
 
 Words are hashed into VOCABULARY ids and bigrams into BIGRAMS buckets, so the tables that the executors get have a
 fixed size whatever the corpus; the counts in them cover every token.
@@ -69,7 +70,7 @@ def count(flagged: DataFrame) -> DataFrame:
                     if own:
                         flat = (np.concatenate(own), np.concatenate([bigram_ids(f) for f in own]), np.concatenate([np.concatenate([[START], f[:-1]]) for f in own]))
                         for total, ids in zip(totals, flat):
-                            np.add.at(total[part], ids, 1) if len(ids) < 4096 else total[part].__iadd__(np.bincount(ids, minlength=total.shape[1]))
+                            total[part] += np.bincount(ids, minlength=total.shape[1])
         for kind, total in enumerate(totals):
             at = np.flatnonzero(total[0])
             for k in range(0, len(at), 1 << 16):
@@ -82,21 +83,35 @@ def count(flagged: DataFrame) -> DataFrame:
     return flagged.select("text", "is_target").mapInArrow(run, COUNTS).groupBy("kind", "bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
+def _own(ids: np.ndarray) -> np.ndarray:
+    """How often each id occurs among them."""
+    _, place, n = np.unique(ids, return_inverse=True, return_counts=True)
+    return n[place]
+
+
 class Model:
     """Log probabilities from one column of counts, scaled to a mass."""
 
     def __init__(self, unigrams: np.ndarray, bigrams: np.ndarray, contexts: np.ndarray, mass: float):
-        total = unigrams.sum()
-        scale = mass / total if total else 0.0
-        self.bigrams, self.contexts = (bigrams * scale).astype(np.float32), (contexts * scale).astype(np.float32)
-        self.words = ((unigrams * scale + ADDED) / (mass * bool(total) + ADDED * len(unigrams))).astype(np.float32)
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """-log2 p of each token: LAMBDA * bigram estimate + (1 - LAMBDA) * word estimate."""
-        context = self.contexts[np.concatenate([[START], ids[:-1]])]
-        joint = np.minimum(self.bigrams[bigram_ids(ids)], context)
-        estimate = np.divide(joint, context, out=np.zeros(len(ids), np.float32), where=context > 0)
-        return -np.log2(LAMBDA * estimate.astype(np.float64) + (1 - LAMBDA) * self.words[ids])
+        self.words, self.bigrams, self.contexts = (x.astype(np.float32) for x in (unigrams, bigrams, contexts))
+        self.total, self.mass = float(unigrams.sum()), mass
+
+    def losses(self, ids: np.ndarray, seen: bool) -> np.ndarray:
+        """-log2 p of each token: LAMBDA * bigram estimate + (1 - LAMBDA) * word estimate.
+
+        If the model has seen the text, its own counts are taken off first, so it is not scored by itself.
+        """
+        before = np.concatenate([[START], ids[:-1]])
+        pairs = bigram_ids(ids)
+        total, joint, context, word = self.total, self.bigrams[pairs], self.contexts[before], self.words[ids]
+        if seen:
+            total, joint, context, word = total - len(ids), joint - _own(pairs), context - _own(before), word - _own(ids)
+        scale = self.mass / total if total > 0 else 0.0
+        estimate = np.divide(np.minimum(joint, context), context, out=np.zeros(len(ids), np.float32), where=context > 0)
+        # the bigram estimate counts for as much as its context has been seen, at one scale for both models
+        trust = LAMBDA * context * scale / (context * scale + 1)
+        single = (word * scale + ADDED) / (self.mass + ADDED * VOCABULARY)
+        return -np.log2(trust * estimate.astype(np.float64) + (1 - trust) * single)
 
 
 def train(counts: DataFrame) -> tuple[Model, Model]:
@@ -117,19 +132,22 @@ def train(counts: DataFrame) -> tuple[Model, Model]:
 
 
 def flag(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with is_target: labelled quality 1 and not toxic, by every label they have."""
+    """doc_id, text and is_target: labelled quality 1 and not toxic, by every label the document has."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
     good = good.agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("is_target"))
-    return docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score; bits per token, means over the whole text.
 
-    Null, empty and blank texts have no tokens, and null losses and score. If no document is a target the target model
-    is that of the vocabulary alone. Repeated rows count and are scored repeatedly; other columns are ignored.
+    Each document is scored by models that leave it out. Null, empty and blank texts have no tokens, and null losses and score.
+    If no document is a target the target model is uniform. Repeated rows count and are scored repeatedly; other columns are
+    ignored.
     """
-    models = docs.sparkSession.sparkContext.broadcast(train(count(flag(docs, labels))))
+    flagged = flag(docs, labels)
+    models = docs.sparkSession.sparkContext.broadcast(train(count(flagged)))
 
     def run(batches):
         target, background = models.value
@@ -137,7 +155,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 found = [word_ids(t.as_py()) for t in batch.column(1)]
-                rows = [(float(target.losses(f).mean()), float(background.losses(f).mean())) if len(f) else (None, None) for f in found]
+                rows = [
+                    (float(target.losses(f, own).mean()), float(background.losses(f, True).mean())) if len(f) else (None, None)
+                    for f, own in zip(found, batch.column(2).to_pylist())
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([a for a, _ in rows], pa.float64()),
@@ -146,4 +167,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return flagged.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -5,7 +5,7 @@ parts are rounded by the pivotal method (Deville and Tille 1998; Srinivasan 2001
 words: two open documents of sizes a and b meet, and a random transfer of words makes one of them integral while
 the expected copies of both and their common sum of words stay as they are. Blocks of at most about BLOCK open documents are
 rounded in parallel; what is left open, one document a block, meets again a level higher, until each
-source has one open document, which is rounded by a last draw. A source so misses its target by less than one document.
+source has one open document, which is rounded to the nearer side. A source so misses its target by half a document at most.
 """
 
 from __future__ import annotations
@@ -88,7 +88,8 @@ def decide(rows: DataFrame) -> DataFrame:
     """rows(group, key long, size > 0, p in (0, 1)) -> (key, copy 0 or 1). Keys are unique.
 
     Each level groups open rows of one group into blocks by a hash of the key, so a group with a third of all rows is
-    spread over its blocks; the levels are as many as the largest group needs.
+    spread over its blocks; the levels are as many as the largest group needs. Large documents meet first, so that small
+    ones are left to take up what remains.
     """
     decided, level = None, 0
     while True:
@@ -100,12 +101,11 @@ def decide(rows: DataFrame) -> DataFrame:
         s = sizes.withColumnRenamed("group", "__g")
         dealt = rows.join(s, F.col("group").eqNullSafe(F.col("__g"))).withColumn("block", block)
         order = F.xxhash64(F.lit(SEED), F.lit(level), F.lit("order"), "key")
-        items = F.sort_array(F.collect_list(F.struct(order.alias("o"), "key", "size", "p")))
+        items = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("s"), order.alias("o"), "key", "size", "p")))
         out = materialize(dealt.groupBy("group", "block").agg(_round_block(items, level).alias("s")).select("group", "s.*"), f"mix-level{level}")
         done = out.select(F.explode("done").alias("d")).select("d.key", "d.copy")
         if last:
-            draw = F.pmod(F.xxhash64(F.lit(SEED), F.lit("last"), "key"), F.lit(1 << 52)) / float(1 << 52)
-            done = done.unionByName(out.select("key", F.when(draw < F.col("p"), 1).otherwise(0).alias("copy")))
+            done = done.unionByName(out.select("key", F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("copy")))
             return done if decided is None else decided.unionByName(done)
         decided = done if decided is None else decided.unionByName(done)
         open_ = (F.col("p") > EPSILON) & (F.col("p") < 1 - EPSILON)
