@@ -97,7 +97,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
     rows = docs.select("doc_id", text_of().alias("__t"))
     found = F.filter(F.transform(passages(F.col("__t")), score), lambda s: s.isNotNull() & (s["dice"] >= threshold))
-    found = F.when(F.col("__t").rlike(f"(?i){_mandatory(table, threshold)}"), found)
+    lower = F.lower(F.col("__t"))
+    hopeful = F.lit(False)
+    plain, paired = mandatory(table, threshold)
+    for word in plain:
+        hopeful = hopeful | F.contains(lower, F.lit(word))
+    if paired:
+        hopeful = hopeful | lower.rlike("|".join(g.replace(" ", "[^a-z0-9]+") for g in paired))
+    found = F.when(hopeful, found)
     none = F.array().cast("array<struct<dice:double,rank:int,name:string>>")
     rows = rows.select("doc_id", F.coalesce(found, none).alias("m"))
     best = F.aggregate("m", F.lit(None).cast("struct<dice:double,rank:int,name:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
@@ -108,15 +115,21 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     )
 
 
-def _mandatory(table, threshold: float) -> str:
-    """An expression that every text with a match satisfies.
+def mandatory(table, threshold: float) -> tuple[list[str], list[str]]:
+    """Words, and bigrams of short words, of which every text with a match has one.
 
     A passage of Dice d shares at least d / (2 - d) of a template's bigrams, so it misses at most a few; of any larger set of its
-    bigrams it has one. The rarest-looking (longest) such set is taken for every template.
+    bigrams it has one, and so that one's longer word. The set with the longest words is taken for every template.
     """
-    wanted: list[str] = []
+    words: set[str] = set()
+    pairs: set[str] = set()
     for _, grams, *_ in table:
+        longest = {g: max(g.split(" "), key=lambda w: (len(w), w)) for g in grams}
         missing = math.floor(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9)
-        chosen = sorted(grams, key=lambda g: (-len(g), g))[: missing + 1]
-        wanted += [g.replace(" ", "[^a-zA-Z0-9]+") for g in chosen]
-    return "(?:" + "|".join(dict.fromkeys(wanted)) + ")"
+        for g in sorted(grams, key=lambda g: (-len(longest[g]), g))[: missing + 1]:
+            if len(longest[g]) > 3:
+                words.add(longest[g])
+            else:
+                pairs.add(g)
+    # a word that holds another one is found with it
+    return sorted(w for w in words if not any(o != w and o in w for o in words)), sorted(pairs)

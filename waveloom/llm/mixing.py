@@ -26,7 +26,9 @@ EPSILON = 1e-9
 
 def size_of(text: Column) -> Column:
     """Words of a text; null has none."""
-    bare = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    bare = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        bare = F.replace(bare, F.lit(c), F.lit(" "))
     return F.size(F.array_remove(F.split(bare, " "), "")).cast("bigint")
 
 

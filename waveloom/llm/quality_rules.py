@@ -28,8 +28,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def without(text: Column, chars: str, by: str = "") -> Column:
+    """Each of the characters replaced; a byte search for every one, which is far cheaper than translate()."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(without(text, SPACES, " "), " "), "")
 
 
 def _window_hashes(words: Column) -> Column:
@@ -65,20 +72,21 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """Counts of each text: the contract's columns, and those that only the rules use."""
     t = F.col("__t")
     rows = docs.select(*keep, text_of().alias("__t"))
-    rows = rows.select(*keep, "__t", words_of(t).alias("__w"), F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES + " ", "") != "").alias("__l"))
-    rows = rows.withColumn("__h", _window_hashes(F.col("__w")))
-    count = lambda chars: F.char_length(t) - F.char_length(F.translate(t, chars, ""))
+    rows = rows.select(*keep, "__t", words_of(t).alias("__w"), F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES + " ")) != "").alias("__l"))
+    # one pass leaves the characters that are counted, mostly few; counts are taken from them
+    rows = rows.withColumns({"__h": _window_hashes(F.col("__w")), "__c": F.regexp_replace(t, r"[^#*$%&|<>0-9!?A-Z]+", "")})
+    count = lambda chars: F.char_length(F.regexp_replace("__c", f"[^{chars}]+", ""))
     return rows.select(
         *keep,
         F.size("__w").cast("bigint").alias("n_words"),
-        F.char_length(F.translate(t, SPACES + " ", "")).cast("bigint").alias("word_chars"),
+        F.char_length(without(t, SPACES + " ")).cast("bigint").alias("word_chars"),
         count("#*$%&|<>").cast("bigint").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
         _repeated(F.col("__h")).alias("n_repeat_words"),
         F.size("__l").cast("bigint").alias("n_lines"),
-        count("0123456789").cast("bigint").alias("n_digits"),
+        count("0-9").cast("bigint").alias("n_digits"),
         count("!?").cast("bigint").alias("n_shouts"),
-        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("bigint").alias("n_capitals"),
+        count("A-Z").cast("bigint").alias("n_capitals"),
         F.size(F.array_distinct("__w")).cast("bigint").alias("n_distinct"),
     )
 
