@@ -2,10 +2,11 @@
 
 1. Texts that are equal (128-bit hash) become one node with a multiplicity, so copies are never paired.
 2. Candidates are exact: of a set of n shingles, ordered from rare to frequent by a sketch of fixed size, the first
-   n - ceil(t * n) + 1 must hold one in common with any set that is similar enough (prefix filtering). What many texts
-   share comes last, so common passages make no candidates. The sketch only orders; its errors cost time, not links.
-3. Nodes with one least shingle form blocks of about BLOCK nodes (large ones are split by a hash), and candidates are pairs of
-   blocks, each once. A group of near copies is a few blocks, not all pairs of its members.
+   n - ceil(t * n) + COMMON must hold COMMON in common with any set that is similar enough (prefix filtering), and sizes must fit.
+   What many texts share comes last, so common passages make no candidates; phrases that meet by chance seldom meet COMMON times.
+   The sketch only orders; its errors cost time, not links. Sets that need fewer than COMMON common shingles ask for one.
+3. Nodes that agree in three least values form blocks of about BLOCK nodes (large ones are split by a hash), and candidates are
+   pairs of blocks, each once. A group of near copies is a few blocks, not all pairs of its members.
 4. Bayesian pruning (Satuluri and Parthasarathy, 2012): MinHash values of pairs in a pair of blocks are compared a few at a
    time; a pair is dropped once the posterior probability that its similarity reaches the threshold is below TOLERANCE.
 5. What is left is verified exactly on whole shingle sets, and links are counted where they are found: a pair of blocks sends
@@ -30,8 +31,8 @@ from .common import materialize, text_of, words
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a text, how many are compared at a time, and the posterior probability below which a pair goes.
 HASHES, STEP, TOLERANCE = 64, 8, 1e-8
-#: Nodes of a block, about; buckets of the frequency sketch.
-BLOCK, SKETCH_BITS = 128, 18
+#: Nodes of a block, about; buckets of the frequency sketch; shingles that two prefixes must have in common.
+BLOCK, SKETCH_BITS, COMMON = 128, 18, 6
 #: Fixed multipliers, odd, derived from the golden ratio's sequence.
 _MIX = [((2 * k + 1) * 0x9E3779B97F4A7C15 ^ (k * 0xD1B54A32D192ED03)) % (1 << 64) | 1 for k in range(HASHES + WORDS)]
 
@@ -88,8 +89,14 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def prefix_length(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
+def prefix_length(n: int, threshold: float, common: int = COMMON) -> int:
+    """A set whose least overlap is below `common` has all its elements in the prefix."""
+    return min(n, n - least_overlap(n, threshold) + common)
+
+
+def least_overlap(n: int, threshold: float) -> int:
+    """What a set of n must have in common with any set that is similar enough."""
+    return math.ceil(threshold * n - 1e-9)
 
 
 @lru_cache(8)
@@ -198,16 +205,19 @@ def features(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 flat = np.concatenate([sets[i] for i in some])
                 starts = np.cumsum(sizes[some]) - sizes[some]
                 low = (flat >> np.uint64(16)).astype(np.uint32)
+                key = np.zeros(len(some), np.uint64)
                 for k in range(HASHES):
-                    sig[some, k] = np.minimum.reduceat(low * multipliers[k], starts)
+                    smallest = np.minimum.reduceat(low * multipliers[k], starts)
+                    sig[some, k] = smallest
+                    if k < 3:
+                        key += smallest * np.uint64(_MIX[k])
+                least[some] = _finish(key).view(np.int64)
                 order = rank[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 for i, a in zip(some.tolist(), starts.tolist()):
                     own, ranks_ = sets[i], order[a : a + sizes[i]]
                     # sets are sorted, so a stable sort by rank breaks ties by the hash's value: one order for all texts
                     sorted_ = own[np.argsort(ranks_, kind="stable")]
                     prefixes[i] = sorted_[: prefix_length(len(own), threshold)].view(np.int64)
-                    usual = own[ranks_ == ranks_.min()] if ranks_.min() > 8 else own[ranks_ <= 8]
-                    least[i] = (usual * np.uint64(_MIX[1])).min().view(np.int64)
             lengths = np.cumsum([0, *(len(p) for p in prefixes)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -221,30 +231,37 @@ def features(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     return materialize(rows.mapInArrow(run, FEATURES), "near-features")
 
 
-def block_pairs(postings: DataFrame) -> DataFrame:
-    """(h, block) -> (a, b), a < b: the blocks that meet in a prefix shingle, each pair once."""
+def block_pairs(postings: DataFrame, threshold: float) -> DataFrame:
+    """(h, block, n) -> (a, b), a < b: the blocks whose prefixes meet in COMMON shingles at sizes that fit, each pair once. One shingle
+    will do if a node of either needs no more."""
 
     def run(batches):
         for table in _complete_groups(batches, (0,)):
-            h, b = (table.column(k).to_numpy() for k in (0, 1))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])])
-            h, b = h[new], b[new]
+            h, b, n = (table.column(k).to_numpy() for k in (0, 1, 2))
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])]))
+            h, b, low, high = h[new], b[new], np.minimum.reduceat(n, new), np.maximum.reduceat(n, new)
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.concatenate([first, [len(h)]]))
             for k in np.unique(size[size > 1]).tolist():
                 lists = first[size == k]
                 per = max(1, (1 << 18) // (k * k))
                 for at in range(0, len(lists), per):
-                    members = b[lists[at : at + per, None] + np.arange(k)]
+                    places = lists[at : at + per, None] + np.arange(k)
                     for x in range(0, k, 512):  # a long list is paired by rows, so memory stays bounded
                         i, j = np.triu_indices(k, 1) if k <= 512 else (np.repeat(np.arange(x, min(x + 512, k)), k), np.tile(np.arange(k), min(512, k - x)))
                         keep = i < j
-                        pairs = np.unique(np.stack([members[:, i[keep]].ravel(), members[:, j[keep]].ravel()], 1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                        p, q = places[:, i[keep]].ravel(), places[:, j[keep]].ravel()
+                        fits = (high[p] >= threshold * low[q] - 1e-9) & (high[q] >= threshold * low[p] - 1e-9)
+                        p, q = p[fits], q[fits]
+                        few = np.minimum(low[p], low[q]) < enough
+                        yield pa.RecordBatch.from_arrays([pa.array(b[p]), pa.array(b[q]), pa.array(few)], ["a", "b", "few"])
                         if k <= 512:
                             break
 
-    return postings.repartition("h").sortWithinPartitions("h", "block").mapInArrow(run, "a long, b long").distinct()
+    enough = next(n for n in range(1, 1000) if least_overlap(n, threshold) >= COMMON)
+    rows = postings.select("h", "block", "n").repartition("h").sortWithinPartitions("h", "block").mapInArrow(run, "a long, b long, few boolean")
+    met = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("few").alias("few"))
+    return met.where((F.col("k") >= COMMON) | F.col("few")).select("a", "b")
 
 
 def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -399,9 +416,9 @@ def classes_by_text(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     large = materialize(large.select("least", F.ceil(F.col("k") / BLOCK).alias("parts")), "near-large")
     block = F.xxhash64("least", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).alias("block")
     members = materialize(nodes.where("n > 0").join(large, "least", "left").select(block, "id", "sig"), "near-members")
-    postings = rows.where("n > 0").select("id", "least", "prefix").join(large, "least", "left").select(F.explode("prefix").alias("h"), block)
+    postings = rows.where("n > 0").select("id", "least", "prefix", F.col("n").cast("int").alias("n")).join(large, "least", "left").select(F.explode("prefix").alias("h"), block, "n")
     own = members.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
-    pairs = block_pairs(postings).unionByName(own)
+    pairs = block_pairs(postings, threshold).unionByName(own)
     live = materialize(prune(_sides(pairs, members), threshold), "near-live")
     wanted = live.select("id").distinct().join(nodes.select("id", "rep", "copies"), "id")
 
