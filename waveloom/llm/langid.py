@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 SAMPLE_CHARS, SAMPLE_PIECES, PIECE_CHARS = 32_768, 64, 1_024
 #: The parse restarts after this many characters, so that lanes stay of like length.
 LANE = 4_096
+#: Texts that run through the tables at a time.
+BATCH = 1_500
 
 
 def remainder(doc_id="doc_id"):
@@ -124,7 +126,7 @@ def phrases(texts: list[str], trained) -> tuple[np.ndarray, np.ndarray, np.ndarr
     starts = ends - lengths
     seen = np.concatenate([[0], np.cumsum(is_letter[points])])
     has_letter = seen[ends] > seen[starts]
-    codes = classes[points].astype(np.int32)
+    codes = classes[points]
     lanes = -(-lengths // LANE)
     owner = np.repeat(np.arange(len(texts)), lanes)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, text_column: str =
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
             names, score = predict(batch.column(batch.schema.get_field_index(text_column)).to_pylist(), samples)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"]
