@@ -103,11 +103,12 @@ def model(samples: tuple[tuple[str, str], ...]):
     base = 0
     for codes in folded:
         step = automaton(np.searchsorted(known, codes).tolist())
-        start = np.full(width, 1, np.int64)  # a letter that the sample lacks: back at the root, a phrase of its own
+        # every phrase is counted where it starts; a letter that the sample lacks is one, and leads back to the root
+        start = np.full(width, 1, np.int64)
         for c, q in step[0].items():
             start[c] = q * 2 + 1
         table = np.repeat(start[None, :], len(step), 0)
-        for s, out in enumerate(step):
+        for s, out in enumerate(step[1:], 1):
             for c, q in out.items():
                 table[s, c] = q * 2
         tables.append(table + 2 * base)
@@ -136,7 +137,7 @@ def phrases(texts: list[str], trained) -> tuple[np.ndarray, np.ndarray, np.ndarr
     owner, at, size = owner[order], at[order], size[order]
     active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # lanes longer than t
     state = np.repeat(roots[:, None], len(at), 1)
-    count = np.ones((len(roots), len(at)), np.int32)
+    count = np.zeros((len(roots), len(at)), np.int32)
     for t, k in enumerate(active.tolist()):
         c = codes[at[:k] + t]
         v = table[state[:, :k] * width + c]
