@@ -7,9 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: 0x20 and 0x09 to 0x0D, and nothing else.
-SPACE = r"\x09-\x0D\x20"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -37,17 +34,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: str) -> list[str]:
-    """Words of the contracts: runs of anything but SPACE."""
+    """Words of the contracts: runs of anything but 0x20 and 0x09 to 0x0D."""
     if text.isascii():
         # str.split() also cuts at 0x1C to 0x1F, which the contracts count as word characters
         if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
