@@ -107,3 +107,19 @@ def min_max_mean(values: Column) -> Column:
     """Least, greatest and integer mean (truncated)."""
     total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
     return F.struct(F.array_min(values).alias("min"), F.array_max(values).alias("max"), (total / F.size(values)).cast("long").alias("mean"))
+
+
+def unit_clamp(value: Column, low: float, high: float) -> Column:
+    """Position of a value between two others, clamped to 0..1: what a colour map or a bar shows."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+
+
+def gradient(position: Column, stops: list[tuple[float, tuple[int, int, int]]]) -> Column:
+    """Colour at a position of 0..1 between stops, linear in red, green and blue, as 0xRRGGBB."""
+    def channel(k: int) -> Column:
+        out = F.lit(float(stops[-1][1][k]))
+        for (a, ca), (b, cb) in reversed(list(zip(stops, stops[1:]))):
+            out = F.when(position <= b, F.lit(float(ca[k])) + (position - a) / (b - a) * (cb[k] - ca[k])).otherwise(out)
+        return F.when(position <= stops[0][0], float(stops[0][1][k])).otherwise(out).cast("int")
+
+    return F.shiftleft(channel(0), 16) + F.shiftleft(channel(1), 8) + channel(2)

@@ -191,3 +191,10 @@ def cut(df: DataFrame, cuts: DataFrame) -> DataFrame:
 def monitor(df: DataFrame, name: str) -> DataFrame:
     """A tap: counts and peak of what passes, as an observation."""
     return df.observe(name, F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak"))
+
+
+def relabel_rate(tracks: DataFrame, factor: float) -> DataFrame:
+    """Another sample rate without resampling: a change of speed, and so of length."""
+    rate = F.rint(F.col("sample_rate") * factor).cast("int")
+    length = F.rint(F.col("length_ticks") * F.col("sample_rate") / rate).cast("long")
+    return tracks.withColumns({"length_ticks": length, "sample_rate": rate})

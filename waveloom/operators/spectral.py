@@ -203,3 +203,17 @@ def onset_frames(values: np.ndarray, rate: int = 44100, size: int = 2048, hop: i
     rise[np.sqrt((raw**2).mean(1)) <= silence] = 0
     s = total.sum(1, keepdims=True)
     return np.divide(rise, s, out=rise, where=s > 0)
+
+
+def analyzer_offset(config: WindowConfig) -> float:
+    """Decibels that bring a full-scale tone of 16 cycles in 1024 samples to 1 under a window: what its gain takes away."""
+    tone = np.sin(2 * np.pi * 16 * np.arange(1024) / 1024)
+    window = np.array(WindowConfig(config.kind, 1024, config.factor, config.root).values())
+    return 1 - float(spectrum(np.fft.rfft(tone * window)[None, :512], "decibel", 512).max())
+
+
+def analyse_blocks(df: DataFrame, config: WindowConfig) -> DataFrame:
+    """Frames that do not overlap -> decibel spectra, with the window's gain made up."""
+    offset = analyzer_offset(config)
+    out = stft(df, config, fmt="decibel")
+    return out.withColumn("bins", F.transform("bins", lambda x: F.when(x <= SILENCE, F.lit(SILENCE)).otherwise(x + offset)))

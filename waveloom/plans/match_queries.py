@@ -258,6 +258,17 @@ def corr_analysis(spark, sf):
     return df.select("track_id", "n_positive", "n_other", *(rounded(F.col(c), 4).alias(c) for c in ("sum_positive", "sum_other")), *(rounded(F.col(c)).alias(c) for c in ("low", "high", "score")))
 
 
+@query(f"WITH {_STEP} SELECT track1, track2, idx // 16 AS \"interval\", round(coalesce(CASE WHEN isnan(corr(x, y)) THEN NULL ELSE corr(x, y) END, 0), 6) + 0.0 AS value FROM pr GROUP BY ALL")
+def corr_analyse(spark, sf):
+    df = K.analyse(signal(spark, sf).where("track_id < 20"), "correlation", 16)
+    return df.select("track1", "track2", F.col("interval").cast("long").alias("interval"), rounded(F.col("value")).alias("value"))
+
+
+@query()
+def corr_analyse_lag(spark, sf):
+    return K.analyse(signal(spark, sf).where("track_id < 20"), "lag", 16)
+
+
 @query()
 def corr_adjust(spark, sf):
     return K.adjust(matches(spark, sf).where("track1 < 15 and track2 < 15"), signal(spark, sf), 10, 2.0)

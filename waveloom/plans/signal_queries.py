@@ -227,3 +227,19 @@ def sig_warp_faults(spark, sf):
 @query()
 def sig_warp(spark, sf):
     return R.warp(signal(spark, sf), warps(spark, sf))
+
+
+@query(
+    f"WITH {TRACKS} SELECT track_id, round_even(44100 * 1.5, 0)::INT AS sample_rate, round_even(length_ticks * 44100 / 66150.0::DOUBLE, 0)::BIGINT AS length_ticks FROM tr"
+)
+def sig_relabel_rate(spark, sf):
+    return S.relabel_rate(tracks(spark, sf).withColumn("sample_rate", F.lit(44100)), 1.5).select("track_id", "sample_rate", "length_ticks")
+
+
+@query(
+    f"WITH {SIGNAL}, p AS (SELECT track_id, idx, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) AS p FROM sig), c AS (SELECT *, CASE WHEN p <= 0.5 THEN p / 0.5 * 255 ELSE 255.0 END AS r, CASE WHEN p <= 0.5 THEN 0.0 ELSE (p - 0.5) / 0.5 * 255 END AS g FROM p) "
+    "SELECT track_id, idx, trunc(r)::INT * 65536 + trunc(g)::INT * 256 AS colour FROM c"
+)
+def sig_colours(spark, sf):
+    position = C.unit_clamp(F.col("value"), 0.0, 100.0)
+    return signal(spark, sf).select("track_id", "idx", C.gradient(position, [(0.0, (0, 0, 0)), (0.5, (255, 0, 0)), (1.0, (255, 255, 0))]).alias("colour"))

@@ -172,6 +172,11 @@ def spec_stft(spark, sf):
     return df.select("track_id", "frame_idx", F.round(F.aggregate("bins", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+@query()
+def spec_analyzer(spark, sf):
+    return X.analyse_blocks(frames(spark, sf), W.WindowConfig("Hann", SIZE))
+
+
 @query()
 def spec_inverse_stft(spark, sf):
     return X.inverse_stft(X.stft(frames(spark, sf), W.WindowConfig("Rectangle", SIZE), fmt="complex"), SIZE)
