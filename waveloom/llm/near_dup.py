@@ -32,7 +32,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a text, how many are compared at a time, and the posterior probability below which a pair goes.
 HASHES, STEP, TOLERANCE = 64, 8, 1e-8
 #: Nodes of a block, about; buckets of the frequency sketch; shingles that two prefixes must have in common.
-BLOCK, SKETCH_BITS, COMMON = 128, 18, 6
+BLOCK, SKETCH_BITS, COMMON = 256, 18, 6
+#: The frequency class from which a shingle counts as very frequent: seven times the mean of the sketch.
+FREQUENT = 12
 #: Fixed multipliers, odd, derived from the golden ratio's sequence.
 _MIX = [((2 * k + 1) * 0x9E3779B97F4A7C15 ^ (k * 0xD1B54A32D192ED03)) % (1 << 64) | 1 for k in range(HASHES + WORDS)]
 
@@ -213,6 +215,12 @@ def features(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                         key += smallest * np.uint64(_MIX[k])
                 least[some] = _finish(key).view(np.int64)
                 order = rank[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                # a set that is mostly of very frequent shingles belongs to a large group: its key is taken from these, so that what
+                # each member has of its own does not scatter the group over blocks
+                common = np.add.reduceat((order >= FREQUENT).astype(np.int64), starts)
+                hashed = np.where(order >= FREQUENT, low * multipliers[0], np.uint32(0xFFFFFFFF))
+                shared = np.minimum.reduceat(hashed, starts).astype(np.uint64) * np.uint64(_MIX[4])
+                least[some] = np.where(2 * common >= sizes[some], _finish(shared).view(np.int64), least[some])
                 for i, a in zip(some.tolist(), starts.tolist()):
                     own, ranks_ = sets[i], order[a : a + sizes[i]]
                     # sets are sorted, so a stable sort by rank breaks ties by the hash's value: one order for all texts
