@@ -19,6 +19,24 @@ IRREGULAR = re.compile(r"\s\s|[^\S \n]")
 REMEMBERED = 1 << 20
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character if that can be seen, else as the next one from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+CONTROLS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
+
+def regular(text: str) -> bool:
+    """Whether white space is only single spaces and line feeds, with none beside another."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in CONTROLS) if text.isascii() else not IRREGULAR.search(text)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -38,6 +56,9 @@ class Encoder(dict):
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.marks = {c: self.whole(c) for c in ".,"}
+        # the cuts and the direct way to the merges hold for byte-level pre-tokenizers without a normalizer
+        self.cuts = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -46,8 +67,17 @@ class Encoder(dict):
         if len(piece) > 1 and piece[-1] in ".,":  # a boundary of its own: letters and punctuation never merge
             if piece[-2].isalpha() and piece[-2] < "\u0250":
                 return self.keep(piece, self[piece[:-1]] + self.marks[piece[-1]])
+        if piece.isascii():
+            if piece.isalpha():
+                return self.keep(piece, self.letters("\u0120" + piece))
+        elif piece.isalpha() and max(piece) < "\u0250":
+            return self.keep(piece, self.letters("\u0120" + piece.encode().decode("latin-1").translate(BYTE_LETTERS)))
         return self.keep(piece, self.whole(piece if piece[:1] == "\n" else " " + piece))
 
+    def letters(self, word: str) -> bytes:
+        """The ids of one pre-token, a space and letters, in the vocabulary's byte letters: only the merges are left to do."""
+        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
@@ -58,7 +88,7 @@ class Encoder(dict):
         """The ids of a text, little-endian, without special tokens."""
         if not text:
             return b""
-        if IRREGULAR.search(text):
+        if not self.cuts or not regular(text):
             return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         head = self.whole(first) if first else b""
