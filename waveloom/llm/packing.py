@@ -49,9 +49,13 @@ def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarr
 def choose(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
     """The cuts, from 0 to the last place, with the least padding plus penalties. Ties go to the longer window."""
     at, pen = [0, *places.tolist()], [0.0, *cost.tolist()]
-    index = {p: k for k, p in enumerate(at)}
     best, back = [0.0] * len(at), [0] * len(at)
-    powers = [1 << b for b in range(window.bit_length()) if 1 << b < window]
+    whole = np.array(at)
+    exact: dict[int, list[int]] = {}  # cuts from which a window to this one needs no padding
+    for p in (1 << b for b in range(window.bit_length()) if 1 << b < window):
+        k = np.searchsorted(whole, whole - p)
+        for j in np.flatnonzero((whole >= p) & (whole[k] == whole - p)).tolist():
+            exact.setdefault(j, []).append(int(k[j]))
     queue: deque[int] = deque([0])
     for k in range(1, len(at)):
         j = at[k]
@@ -59,9 +63,10 @@ def choose(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[i
             queue.popleft()
         i = queue[0]
         low, source = best[i] + at[i] + window - j, i
-        for p in powers:
-            if (i := index.get(j - p)) is not None and best[i] < low:
-                low, source = best[i], i
+        if k in exact:
+            for i in exact[k]:
+                if best[i] < low:
+                    low, source = best[i], i
         best[k], back[k] = low + pen[k], source
         value = best[k] + j
         while queue and best[queue[-1]] + at[queue[-1]] > value:
