@@ -145,6 +145,11 @@ def _both(conditions: list[Column]) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> DecisionList:
+    """learn_from() the statistics of documents."""
+    return learn_from(statistics(docs), labels)
+
+
+def learn_from(stats: DataFrame, labels: DataFrame) -> DecisionList:
     """Fit a list that drops what labels call quality 0.
 
     Labels with a null doc_id or quality are left out, and so are documents labelled both ways; repeated labels count
@@ -152,9 +157,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> DecisionList:
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id"))
     marks = marks.agg(F.min("quality").alias("bad"), F.max("quality").alias("most")).where("bad = most").select("__id", (F.col("bad") == 0).alias("bad"))
-    known = docs.select(F.col("doc_id").alias("__id"), "text").join(marks, "__id")
+    # counts are joined, not texts, so what is shuffled is a few numbers a document
+    known = stats.withColumnRenamed("doc_id", "__id").join(marks, "__id")
     names = list(features())
-    rows = statistics(known, ("__id", "bad")).select("bad", (F.pmod(F.xxhash64(F.lit("prune"), "__id"), F.lit(3)) == 0).alias("pruning"), *(c.alias(n) for n, c in features().items()))
+    rows = known.select("bad", (F.pmod(F.xxhash64(F.lit("prune"), "__id"), F.lit(3)) == 0).alias("pruning"), *(c.alias(n) for n, c in features().items()))
     rows = materialize(rows, "quality-labelled")
     of = {n: F.col(n) for n in names}
     found = rows.agg(*(F.percentile_approx(n, list(QUANTILES), 10_000).alias(n) for n in names)).first()
@@ -197,11 +203,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> DecisionList:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: its counts, base_failed, and kept.
 
-    Null text has no words and fails the base rule, as does any text under 20 words. Texts are read whole, in one pass
-    without a shuffle; repeated rows give repeated results; other columns are ignored.
+    Null text has no words and fails the base rule, as does any text under 20 words. Texts are read whole, once, and never
+    shuffled; repeated rows give repeated results; other columns are ignored.
     """
-    verdict = learn(docs, labels).keeps(features())
+    stats = materialize(statistics(docs), "quality-statistics")
+    verdict = learn_from(stats, labels).keeps(features())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return statistics(docs).select(
+    return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, False).otherwise(verdict).alias("kept")
     )
