@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from waveloom.llm import exact_dedup, langid, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, secrets, token_ids, token_store
@@ -349,6 +350,50 @@ def test_lm_scores(docs, empty, labels):
     assert table(lm_scoring.score(empty, labels)) == []
 
 
+def test_lm_scores_by_real_words(spark):
+    """Words and bigrams that share a bucket of 2**18 or 2**20 must not share counts, and the tables grow with the words."""
+    many = lm_scoring.word_ids(" ".join(f"w{k}" for k in range(300_000)))
+    assert len(np.unique(many)) == 300_000 and len(np.unique(lm_scoring.bigram_ids(many))) == 300_000
+    first, clash = {}, None
+    for k in range(100_000):
+        bucket = xxhash.xxh32_intdigest(f"w{k}".encode()) % ((1 << 18) - 1)
+        if bucket in first:
+            clash = (first[bucket], f"w{k}")
+            break
+        first[bucket] = f"w{k}"
+    a, b = clash
+    texts = [f"{a} x {a} y {a}", f"{a} x {a}", f"{b} x {b} z {b}", f"{b} z {b} x", f"{a} {b}", f"x {a} z {b}", *(f"{b} x q{k}" for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    mass = sum(len(texts[i].split()) for i in (0, 1))
+
+    def loss(i, members):
+        w, p, c = collections.Counter(), collections.Counter(), collections.Counter()
+        for j in members:
+            x = texts[j].split() if j != i else []
+            w.update(x)
+            p.update(zip([None, *x], x))
+            c.update([None, *x[:-1]] if x else [])
+        scale = mass / w.total() if w.total() else 0
+        out = []
+        x = texts[i].split()
+        for v, t in zip([None, *x], x):
+            trust = lm_scoring.LAMBDA * c[v] * scale / (c[v] * scale + 1)
+            out.append(-np.log2(trust * (p[v, t] / c[v] if c[v] else 0) + (1 - trust) * (w[t] * scale + lm_scoring.ADDED) / (mass + lm_scoring.ADDED * lm_scoring.VOCABULARY)))
+        return np.mean(out)
+
+    whole = [(r["target_loss"], r["background_loss"]) for r in table(lm_scoring.score(df, marks).orderBy("doc_id"))]
+    assert np.allclose(whole, [(loss(i, (0, 1)), loss(i, range(len(texts)))) for i in range(len(texts))], rtol=1e-9)
+
+
+def test_lm_scores_over_many_chunks(docs, labels, monkeypatch):
+    key = lambda r: (r["doc_id"], r["n_tokens"])
+    one = sorted(table(lm_scoring.score(docs, labels)), key=key)
+    monkeypatch.setattr(lm_scoring, "CHUNK", 2000)
+    for a, b in zip(one, sorted(table(lm_scoring.score(docs, labels)), key=key), strict=True):
+        assert key(a) == key(b) and (a["score"] is None and b["score"] is None or np.isclose(a["score"], b["score"], rtol=1e-9, atol=1e-9))
+
+
 # ---- 8 mixing
 
 

@@ -1,13 +1,14 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
-Two bigram models are counted over all documents, in one pass: the target model over documents labelled good,
-the background model over every document. They are matched: one vocabulary of hashed words, one order, one
-smoothing, and the background's counts are scaled to the target's mass, so neither model is sharper for having seen more.
+Two bigram models are counted over all documents: the target model over documents labelled good, the background model over
+every document. They are matched: one vocabulary, one order, one smoothing, and the background's counts are scaled to the
+target's mass, so neither model is sharper for having seen more.
 A document's score is the mean over its tokens of target loss minus background loss: lower is nearer the target. Its own counts
 are taken off a model that has seen it, so labelled and other documents are scored alike.
 
-Words are hashed into VOCABULARY ids and bigrams into BIGRAMS buckets, so the tables that the executors get have a
-fixed size whatever the corpus; the counts in them cover every token.
+Every distinct word and bigram has a row of its own, keyed by 64 bits, in a table that is spread over shards and grows with the
+corpus. Documents are dealt into chunks; a chunk sends each of its distinct words and bigrams to a shard once, and gets the totals
+of just those back. So nothing is broadcast or collected, and a word of every text reaches its shard once a chunk.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-#: Word ids, bigram buckets, weight of the bigram estimate, mass added to every word.
-VOCABULARY, BIGRAMS, LAMBDA, ADDED = 1 << 18, 1 << 20, 0.7, 0.5
+#: Least number of words that smoothing leaves room for, weight of the bigram estimate, mass added to every word.
+VOCABULARY, LAMBDA, ADDED = 1 << 18, 0.7, 0.5
 #: Stands before the first word of a text.
 START = 0
+#: Bytes of text in a chunk, about, and chunks for each shard.
+CHUNK, CHUNKS_PER_SHARD = 1 << 22, 4
 
 
 class Ids(dict):
-    """Word -> id; never 0, which is START."""
+    """Word -> id of 63 bits; never 0, which is START."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 1 << 19:
             self.clear()
-        self[word] = found = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % (VOCABULARY - 1) + 1
+        self[word] = found = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1) or 1
         return found
 
 
@@ -43,100 +46,152 @@ def word_ids(text: str | None) -> np.ndarray:
     return np.fromiter(map(IDS.__getitem__, words(text or "")), np.int64)
 
 
-def bigram_ids(ids: np.ndarray) -> np.ndarray:
-    """The bucket of each word and the one before it."""
-    before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
-    mixed = (before.astype(np.uint64) << np.uint64(18) | ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(44)).astype(np.int64)
-
-
-COUNTS = "kind int, bucket int, background long, target long"
-
-
-def count(flagged: DataFrame) -> DataFrame:
-    """(text, is_target) rows -> (kind, bucket, background, target): kind 0 words, 1 bigrams, 2 contexts. Every task sends
-    each bucket at most once."""
-
-    def run(batches):
-        sizes = (VOCABULARY, BIGRAMS, VOCABULARY)
-        totals = [np.zeros((2, n), np.int64) for n in sizes]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [word_ids(t.as_py()) for t in batch.column(0)]
-                good = np.array([bool(x) for x in batch.column(1).to_pylist()])
-                for part in (0, 1):
-                    own = [f for f, g in zip(found, good) if len(f) and (g or not part)]
-                    if own:
-                        flat = (np.concatenate(own), np.concatenate([bigram_ids(f) for f in own]), np.concatenate([np.concatenate([[START], f[:-1]]) for f in own]))
-                        for total, ids in zip(totals, flat):
-                            total[part] += np.bincount(ids, minlength=total.shape[1])
-        for kind, total in enumerate(totals):
-            at = np.flatnonzero(total[0])
-            for k in range(0, len(at), 1 << 16):
-                some = at[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])],
-                    ["kind", "bucket", "background", "target"],
-                )
-
-    return flagged.select("text", "is_target").mapInArrow(run, COUNTS).groupBy("kind", "bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _own(ids: np.ndarray) -> np.ndarray:
-    """How often each id occurs among them."""
-    _, place, n = np.unique(ids, return_inverse=True, return_counts=True)
-    return n[place]
-
-
-class Model:
-    """Log probabilities from one column of counts, scaled to a mass."""
-
-    def __init__(self, unigrams: np.ndarray, bigrams: np.ndarray, contexts: np.ndarray, mass: float):
-        self.words, self.bigrams, self.contexts = (x.astype(np.float32) for x in (unigrams, bigrams, contexts))
-        self.total, self.mass = float(unigrams.sum()), mass
-
-    def losses(self, ids: np.ndarray, seen: bool) -> np.ndarray:
-        """-log2 p of each token: LAMBDA * bigram estimate + (1 - LAMBDA) * word estimate.
-
-        If the model has seen the text, its own counts are taken off first, so it is not scored by itself.
-        """
-        before = np.concatenate([[START], ids[:-1]])
-        pairs = bigram_ids(ids)
-        total, joint, context, word = self.total, self.bigrams[pairs], self.contexts[before], self.words[ids]
-        if seen:
-            total, joint, context, word = total - len(ids), joint - _own(pairs), context - _own(before), word - _own(ids)
-        scale = self.mass / total if total > 0 else 0.0
-        estimate = np.divide(np.minimum(joint, context), context, out=np.zeros(len(ids), np.float32), where=context > 0)
-        # the bigram estimate counts for as much as its context has been seen, at one scale for both models
-        trust = LAMBDA * context * scale / (context * scale + 1)
-        single = (word * scale + ADDED) / (self.mass + ADDED * VOCABULARY)
-        return -np.log2(trust * estimate.astype(np.float64) + (1 - trust) * single)
-
-
-def train(counts: DataFrame) -> tuple[Model, Model]:
-    """(target, background). The driver gets at most 2 * VOCABULARY + BIGRAMS rows."""
-    table = counts.toArrow()
-    column = lambda n: table.column(n).to_numpy()
-    kind, bucket = column("kind"), column("bucket")
-    out = []
-    mass = float(column("target")[kind == 0].sum()) or float(column("background")[kind == 0].sum())
-    for name in ("target", "background"):
-        value, arrays = column(name), []
-        for k, n in enumerate((VOCABULARY, BIGRAMS, VOCABULARY)):
-            own = np.zeros(n, np.float64)
-            own[bucket[kind == k]] = value[kind == k]
-            arrays.append(own)
-        out.append(Model(*arrays, mass))
-    return out[0], out[1]
-
-
-def flag(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and is_target: labelled quality 1 and not toxic, by every label the document has."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+def bigram_ids(ids: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The key of each word and the one before it."""
+    if before is None:
+        before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
+    mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed.view(np.int64)
+
+
+class Chunk:
+    """The tokens of some texts as places in their sorted distinct words (START is the first) and bigrams."""
+
+    def __init__(self, texts: pa.Table, good: set[int]):
+        found = [word_ids(t.as_py()) for t in texts.column("text")]
+        self.sizes = np.array([len(f) for f in found], np.int64)
+        self.target = np.array([d in good for d in texts.column("doc_id").to_pylist()], bool)
+        self.doc = np.repeat(np.arange(len(found)), self.sizes)
+        ids = np.concatenate([np.zeros(1, np.int64), *found])
+        self.words, place = np.unique(ids, return_inverse=True)
+        self.word = place[1:]
+        first = np.cumsum(self.sizes)[self.sizes > 0] - self.sizes[self.sizes > 0]
+        self.context, before = place[:-1].copy(), ids[:-1].copy()
+        self.context[first], before[first] = 0, START
+        self.pairs, self.pair = np.unique(bigram_ids(ids[1:], before), return_inverse=True)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: background and target counts as a word and as a context; for each bigram: background and target."""
+        seen = self.target[self.doc]
+        table = lambda n, *places: np.array([np.bincount(p[s], minlength=n) for p in places for s in (slice(None), seen)], np.int64)
+        return table(len(self.words), self.word, self.context), table(len(self.pairs), self.pair)
+
+    def own(self, place: np.ndarray, n: int) -> np.ndarray:
+        """How often each token's word or bigram occurs in its own text."""
+        _, at, count = np.unique(self.doc * n + place, return_inverse=True, return_counts=True)
+        return count[at]
+
+
+def _cuts(keys: np.ndarray, shards: int, low: int, high: int) -> np.ndarray:
+    """Where each shard's range of keys begins and ends."""
+    bounds = np.array([low + (high - low) * k // shards for k in range(1, shards)], np.int64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers by planes of equal bytes, as most of their high bytes are zero: 4 bytes of length, then zstd."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values, np.int64).reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, rows: int) -> np.ndarray:
+    planes = pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).reshape(rows, -1)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, which wrap."""
+    return _pack(np.diff(keys, prepend=np.int64(0)))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, 1)[0])
+
+
+SENT = "shard long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
+TOTALS = "chunk long, shard long, word_counts binary, pair_counts binary, n_words long, background long, target long, doc_id long"
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _send(shards: int):
+    """Texts of a chunk and the targets among them -> one row for every shard."""
+
+    def run(texts: pa.Table, good: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
+        if not texts.num_rows:
+            return schema.empty_table()
+        chunk = Chunk(texts, set(good.column("doc_id").to_pylist()))
+        w, p = chunk.counts()
+        at, to = _cuts(chunk.words, shards, 0, 1 << 63), _cuts(chunk.pairs, shards, -(1 << 63), 1 << 63)
+        key = texts.column("chunk")[0].as_py()
+        rows = [
+            (k, key, _pack_keys(chunk.words[a:b]), _pack(w[:, a:b]), _pack_keys(chunk.pairs[c:d]), _pack(p[:, c:d]))
+            for k, (a, b, c, d) in enumerate(zip(at, at[1:], to, to[1:]))
+        ]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _totals(sent: pa.Table) -> pa.Table:
+    """Rows of one shard -> for every chunk the totals of its keys, in its order, and those of the whole shard."""
+
+    def summed(keys: str, counts: str, columns: int):
+        own = [_unpack_keys(k) for k in sent.column(keys).to_pylist()]
+        found, place = np.unique(np.concatenate(own), return_inverse=True)
+        given = np.concatenate([_unpack(c, columns) for c in sent.column(counts).to_pylist()], axis=1)
+        # sums in doubles are exact up to 2**53
+        total = np.array([np.bincount(place, g, len(found)) for g in given]).astype(np.int64)
+        ends = np.cumsum([len(k) for k in own])[:-1]
+        return total, [_pack(total[:, p]) for p in np.split(place, ends)]
+
+    total, per_word = summed("words", "word_counts", 4)
+    _, per_pair = summed("pairs", "pair_counts", 2)
+    n = sent.num_rows
+    whole = (int((total[0] > 0).sum()), int(total[0].sum()), int(total[1].sum()))
+    return pa.Table.from_arrays(
+        [sent.column("chunk"), sent.column("shard"), pa.array(per_word, pa.binary()), pa.array(per_pair, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in whole), pa.nulls(n, pa.int64())],
+        names=["chunk", "shard", "word_counts", "pair_counts", "n_words", "background", "target", "doc_id"],
+    )
+
+
+def _judge(texts: pa.Table, right: pa.Table) -> pa.Table:
+    """Texts of a chunk, its totals and the targets among them -> scores."""
+    is_total = right.column("shard").is_valid()
+    totals, good = right.filter(is_total).sort_by("shard"), right.filter(right.column("shard").is_null())
+    chunk = Chunk(texts, set(good.column("doc_id").to_pylist()))
+    n = chunk.sizes
+    if not n.sum():
+        losses = [np.zeros(len(n)), np.zeros(len(n))]
+    else:
+        by_word, by_pair = (np.concatenate([_unpack(x, k) for x in totals.column(c).to_pylist()], axis=1) for c, k in (("word_counts", 4), ("pair_counts", 2)))
+        n_words, background, target = (sum(totals.column(c).to_pylist()) for c in ("n_words", "background", "target"))
+        mass, room = float(target or background), max(VOCABULARY, n_words)
+        own = [chunk.own(p, k) for p, k in ((chunk.pair, len(chunk.pairs)), (chunk.context, len(chunk.words)), (chunk.word, len(chunk.words)))]
+        losses = []
+        for part, size, seen in ((1, target, chunk.target), (0, background, np.ones(len(n), bool))):
+            # if the model has seen the text, its own counts are taken off first, so it is not scored by itself
+            off = seen[chunk.doc]
+            joint, context, word = (c - o * off for c, o in zip((by_pair[part][chunk.pair], by_word[2 + part][chunk.context], by_word[part][chunk.word]), own))
+            left = size - n * seen
+            scale = np.divide(mass, left, out=np.zeros(len(n)), where=left > 0)[chunk.doc]
+            estimate = np.divide(joint, context, out=np.zeros(len(joint)), where=context > 0)
+            # the bigram estimate counts for as much as its context has been seen, at one scale for both models
+            trust = LAMBDA * context * scale / (context * scale + 1)
+            single = (word * scale + ADDED) / (mass + ADDED * room)
+            bits = -np.log2(trust * estimate + (1 - trust) * single)
+            losses.append(np.bincount(chunk.doc, bits, len(n)) / np.maximum(n, 1))
+    column = lambda x: pa.array(x, pa.float64(), mask=n == 0)
+    return pa.Table.from_arrays(
+        [texts.column("doc_id"), pa.array(n), column(losses[0]), column(losses[1]), column(losses[0] - losses[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+    )
+
+
+def targets(labels: DataFrame) -> DataFrame:
+    """Ids labelled quality 1 and not toxic, by every label the document has."""
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     good = good.agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("is_target"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(good, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return good.where("is_target").select("doc_id")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -144,27 +199,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Each document is scored by models that leave it out. Null, empty and blank texts have no tokens, and null losses and score.
     If no document is a target the target model is uniform. Repeated rows count and are scored repeatedly; other columns are
-    ignored.
+    ignored. The number of chunks comes from the size of the texts, which is summed first.
     """
-    flagged = flag(docs, labels)
-    models = docs.sparkSession.sparkContext.broadcast(train(count(flagged)))
-
-    def run(batches):
-        target, background = models.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [word_ids(t.as_py()) for t in batch.column(1)]
-                rows = [
-                    (float(target.losses(f, own).mean()), float(background.losses(f, True).mean())) if len(f) else (None, None)
-                    for f, own in zip(found, batch.column(2).to_pylist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([a for a, _ in rows], pa.float64()),
-                        pa.array([b for _, b in rows], pa.float64()), pa.array([None if a is None else a - b for a, b in rows], pa.float64()),
-                    ],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return flagged.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    chunks = size // CHUNK + 1
+    chunk = lambda key: F.pmod(key, F.lit(chunks)).cast("long").alias("chunk")
+    # rows without an id are dealt by their texts
+    texts = rows.select("doc_id", "text", chunk(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
+    good = targets(labels).select("doc_id", chunk(F.xxhash64("doc_id")))
+    sent = texts.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(_send(chunks // CHUNKS_PER_SHARD + 1), SENT)
+    totals = sent.groupBy("shard").applyInArrow(_totals, TOTALS).unionByName(good, allowMissingColumns=True)
+    return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_judge, SCORES)
