@@ -312,6 +312,18 @@ def test_licenses_against_brute_force(spark):
     assert [r["licenses"] for r in table(licenses.scan(df).orderBy("doc_id"))] == [brute_licenses(t) for t in texts]
 
 
+def test_wrapped_and_long_licenses(spark):
+    """Notices over line ends, sentences of standard texts, file headers, and long passages of few distinct bigrams."""
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT" and "furnished" in t][0]
+    gpl = [t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t][0]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code"
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    texts = ["MIT License\n\n" + wrap(mit, 11) + "\n\nThe above copyright notice", mit, wrap(gpl, 9), bsd, "Some words. This work is licensed under\nthe Apache License, Version 2.0.\nfoo", "Released under the MIT License " * 60, "no\nnotice\nhere at all"]
+    got = [(r["best"], r["n_matches"]) for r in table(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id"))]
+    assert [b for b, _ in got] == ["MIT", "MIT", "GPL-3.0", "BSD-3-Clause", "Apache-2.0", "MIT", None]
+    assert got[1][1] == got[4][1] == got[5][1] == 1
+
+
 # ---- 7 language models
 
 

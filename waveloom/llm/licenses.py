@@ -1,7 +1,7 @@
 """Licence scans: passages against licence notices by the Dice coefficient over word bigrams, DataFrame operations only.
 
-A text is normalised (lower case, letters and digits kept, the rest white space) and cut into passages: lines, and
-sentences within lines. A passage with a bigrams and a template with b bigrams can reach Dice d only if
+A text is normalised (lower case, letters and digits kept, the rest white space) and cut into passages: lines,
+sentences within lines, and those sentences of paragraphs that go over line ends. A passage with a bigrams and a template with b bigrams can reach Dice d only if
 d / (2 - d) * b <= a <= (2 - d) / d * b, so most templates are pruned by size before any bigram is compared, and passages that
 fit no template by size never form bigrams.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 THRESHOLD = 0.8
-#: Common licence notices, by SPDX identifier.
+#: Common licence notices and sentences of licence texts, by SPDX identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -43,6 +43,14 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # whole sentences of licence texts and file headers
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
 
 
@@ -74,8 +82,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     repeated rows give repeated results; other columns are ignored.
     """
     table = [(name, grams, *size_bounds(len(grams), threshold)) for name, text in templates if (grams := bigrams(text))]
-    low, high = min(t[2] for t in table), max(t[3] for t in table)
-    # the first cut is by words: n distinct bigrams need n + 1 words; the bound above holds for the distinct ones
+    low = min(t[2] for t in table)
+    # the first cut is by words: n distinct bigrams need n + 1 words; the upper bounds hold for distinct bigrams only
     normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     def score(words):
         def best(b):
@@ -90,13 +98,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
         return _let(_passage_bigrams(words), best)
 
-    def passages(t):
-        lines = F.split(t, r"\n|(?<=[.!?])[ \t]+")
-        said = F.transform(lines, normal)
-        return F.filter(F.transform(said, lambda s: F.split(s, " ")), lambda w: F.size(w).between(low + 1, 4 * high))
+    def scored(passage):
+        own = _let(F.split(normal(passage), " "), lambda w: F.when(F.size(w) > low, score(w)))
+        return _let(own, lambda s: F.when(s["dice"] >= threshold, s))
+
+    def matches(sentence):
+        """Of a sentence over line ends the whole counts, unless several of its lines match or one is nearer."""
+        lines = F.filter(F.transform(F.split(sentence, "\n"), scored), lambda s: s.isNotNull())
+        whole = F.when(F.contains(sentence, F.lit("\n")), scored(sentence))
+
+        def choose(x):
+            found, one = x["lines"], x["whole"]
+            return F.when(one.isNotNull() & ((F.size(found) == 0) | (F.size(found) == 1) & (one["dice"] >= F.get(found, F.lit(0))["dice"])), F.array(one)).otherwise(found)
+
+        return _let(F.struct(lines.alias("lines"), whole.alias("whole")), choose)
 
     rows = docs.select("doc_id", text_of().alias("__t"))
-    found = F.filter(F.transform(passages(F.col("__t")), score), lambda s: s.isNotNull() & (s["dice"] >= threshold))
+    sentences = F.split("__t", r"\r?\n[ \t]*\r?\n|(?<=[.!?])\s+")
+    found = F.flatten(F.transform(sentences, matches))
     lower = F.lower(F.col("__t"))
     hopeful = F.lit(False)
     plain, paired = mandatory(table, threshold)
