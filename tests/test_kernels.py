@@ -95,7 +95,57 @@ def test_groups_and_alignment(spark):
     tree = M.groups(df)
     assert {(r["track1"], r["track2"]) for r in tree.collect()} == {(1, 2), (2, 3), (7, 8)}
     tracks = spark.createDataFrame([(k, 100 * k, k == 1) for k in (1, 2, 3, 7, 8)], "track_id long, offset_ticks long, locked boolean")
-    assert {r["track_id"]: r["offset_ticks"] for r in M.align_tracks(tree, tracks).collect()} == {1: 100, 2: 106, 3: 106, 7: 700, 8: 701}
+    assert {r["track_id"]: r["offset_ticks"] for r in M.align_tracks(tree, tracks).where("kind = 'track'").collect()} == {1: 100, 2: 106, 3: 106, 7: 700, 8: 701}
+
+
+def test_a_warped_track_moves_the_other_matches(spark):
+    """All matches of a pair kept: the second one becomes a control point, and times in other pairs follow it."""
+    df = spark.createDataFrame([(1, 2, 0, 0, 0.9, "x"), (1, 2, 100, 50, 0.9, "x"), (2, 3, 25, 10, 0.8, "x"), (2, 3, 70, 10, 0.7, "x")], MATCH)
+    tree = M.groups(df, None)
+    assert tree.count() == 4 and M.groups(df, "best", 60).where("track1 = 1").count() == 2
+    tracks = spark.createDataFrame([(k, 1000 * k, False) for k in (1, 2, 3)], "track_id long, offset_ticks long, locked boolean")
+    out = M.align_tracks(tree.where("track1 = 1 or t1 = 25"), tracks)
+    assert {r["track_id"]: r["offset_ticks"] for r in out.where("kind = 'track'").collect()} == {1: 1000, 2: 1000, 3: 1040}
+    assert sorted((r["track_id"], r["t1"], r["t2"]) for r in out.where("kind = 'warp'").collect()) == [(2, 0, 0), (2, 50, 100)]
+    assert sorted((r["track_id"], r["track2"], r["t1"], r["t2"]) for r in out.where("kind = 'match'").collect()) == [(1, 2, 0, 0), (1, 2, 100, 100), (2, 3, 50, 10)]
+
+
+def test_a_locked_track_leads():
+    """Pairs before the one with the locked track follow in reverse."""
+    pairs = {(1, 2): [[10, 0]], (2, 3): [[10, 0]], (3, 4): [[10, 0]], (4, 5): [[10, 0]]}
+    offset = {k: 0 for k in range(1, 6)}
+    M.walk_tree(pairs, M.tree_order([(a, b, 0.1 * a) for a, b in pairs]), offset, {3})
+    assert offset == {1: -20, 2: -10, 3: 0, 4: 10, 5: 20}
+
+
+def test_packed_blocks_find_what_a_plain_scan_finds(spark, monkeypatch):
+    """Windows over block ends, variations, long windows, and a hash in very many places."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 1 << 32, 60).tolist()
+    b = [*rng.integers(1, 1 << 32, 7).tolist(), *(h ^ (1 << int(rng.integers(0, 32))) if k % 3 else h for k, h in enumerate(a))]
+    tracks = {1: a, 2: b, 3: [7] * 20, 4: [7] * 25}
+
+    def plain(window):
+        out = set()
+        for x in tracks:
+            for y in tracks:
+                for i in range(len(tracks[x]) - window + 1) if x < y else ():
+                    for j in range(len(tracks[y]) - window + 1):
+                        p, q = tracks[x][i : i + window], tracks[y][j : j + window]
+                        errors = sum(bin(u ^ v).count("1") for u, v in zip(p, q))
+                        if p[0] == q[0] and errors / (window * 32) < 0.35:
+                            out.add((x, y, i, j, errors))
+        return out
+
+    monkeypatch.setattr(I, "BLOCK", 8)
+    monkeypatch.setattr(I, "HOT", 3)
+    df = _hashes(spark, tracks)
+    for window, carried in ((5, 32), (5, 2), (12, 2)):
+        monkeypatch.setattr(I, "CARRIED", carried)
+        assert {(r["track1"], r["track2"], r["i1"], r["i2"], r["bit_errors"]) for r in I.find_all(df, window).collect()} == plain(window)
+    with_variations = df.withColumn("is_variation", F.lit(False)).unionByName(df.select("track_id", "idx", F.col("hash").bitwiseXOR(F.lit(1).cast("long")).alias("hash"), F.lit(True).alias("is_variation")))
+    found = {(r["track1"], r["track2"], r["i1"], r["i2"], r["bit_errors"]) for r in I.find_all(with_variations, 5).collect()}
+    assert plain(5) <= found
 
 
 def _hashes(spark, tracks):

@@ -165,11 +165,27 @@ def test_peak_file(spark, tmp_path):
 
 
 def test_project_round_trip(spark, tmp_path):
-    tracks = spark.createDataFrame([(1, "a", 5, 0, 1.0), (2, "b", 6, 3, 0.0)], "track_id long, name string, length_ticks long, offset_ticks long, volume double")
-    matches = spark.createDataFrame([(1, 2, 10, 20, 0.5, "CC")], "track1 long, track2 long, t1 long, t2 long, similarity double, source string")
-    sinks.write_project(tracks, matches, str(tmp_path / "p"))
-    t, m = readers.read_project(spark, str(tmp_path / "p"))
-    assert t.count() == 2 and m.first().asDict() == matches.first().asDict()
+    """Names to escape, long and negative times, warps, version 1, missing sources."""
+    rows = [(4, 'a "<&>', 12_345, -7, True, False, 1.0, -0.5, False, True, "a.wav"), (9, "b", 30 * 86_400 * 10**7 + 1, 36 * 10**9, False, True, 0.0, 0.0, True, False, "b.wav")]
+    tracks = spark.createDataFrame(rows, "track_id long, name string, length_ticks long, offset_ticks long, mute boolean, solo boolean, volume double, balance double, inverted_phase boolean, locked boolean, file string")
+    matches = spark.createDataFrame([(4, 9, 10, 20, 0.5, "CC")], "track1 long, track2 long, t1 long, t2 long, similarity double, source string")
+    warps = spark.createDataFrame([(9, 0, 4), (9, 8, 16)], "track_id long, from_t long, to_t long")
+    sinks.write_project(tracks, matches, str(tmp_path / "p"), warps, 0.25)
+    t, m, w, settings = readers.read_project(spark, str(tmp_path / "p"))
+    got = {r["track_id"]: r for r in t.collect()}
+    for k, r in enumerate(rows):
+        assert tuple(got[k][c] for c in ("name", "length_ticks", "offset_ticks", "mute", "solo", "volume", "balance", "inverted_phase", "locked", "file")) == r[1:]
+    assert tuple(m.first()) == (0, 1, 10, 20, 0.5, "CC") and settings.first()["master_volume"] == 0.25
+    assert sorted(map(tuple, w.collect())) == [(1, 0, 4), (1, 8, 16)]
+    sources = spark.createDataFrame([("b.wav", 2, 16, 8)], "file string, channels int, bit_depth int, sample_rate int")
+    with pytest.raises(FileNotFoundError):
+        readers.read_project(spark, str(tmp_path / "p"), sources)
+    assert readers.read_project(spark, str(tmp_path / "p"), sources, True)[0].where("name like '(OFFLINE)%'").count() == 1
+    sinks.write_project(tracks, matches, str(tmp_path / "old"), warps, version=1)
+    assert sorted(r["to_t"] for r in readers.read_project(spark, str(tmp_path / "old"), sources, True)[2].collect()) == [4 * 10**7 // 32, 16 * 10**7 // 32]
+    sinks.write_project(tracks, matches, str(tmp_path / "new"), version=3)
+    with pytest.raises(ValueError):
+        readers.read_project(spark, str(tmp_path / "new"))
     sinks.write_edl(tracks.withColumn("locked", F.lit(False)), str(tmp_path / "edl"))
     assert spark.read.text(str(tmp_path / "edl")).count() == 2
     sinks.write_sync(tracks, matches, str(tmp_path / "sync"))

@@ -53,7 +53,8 @@ def dtw(a: np.ndarray, b: np.ndarray, width: int) -> list[tuple[int, int]]:
     if not n or not m:
         return []
     width = max(width, 1)
-    dn, dm = (1.0, m / n) if n >= m else (n / m, 1.0)
+    # the band's centre goes from the first frames to the last ones of both sides
+    dn, dm = (1.0, 1.0) if n == m else (1.0, (m - 1) / (n - 1)) if n > m else ((n - 1) / (m - 1), 1.0)
     total = {(0, 0): 0.0}
     inf = math.inf
 

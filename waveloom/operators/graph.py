@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that plans of later rounds stay short."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node is connected with. Large-star and small-star steps alternate until the
     edges stay; every round is two aggregates and two joins over edges, whatever a component's size."""
     loops = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    now = _cut(edges.where("u <> v").select("u", "v").distinct())
+    now = materialize(edges.where("u <> v").select("u", "v").distinct(), "graph-edges")
     known = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = _cut(large.join(least, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct())
+        now = materialize(large.join(least, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct(), "graph-stars")
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == known or not state[0]:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -54,7 +44,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     """The minimum spanning tree of each group (group_id, u, v, weight); ties by (u, v). Kruskal's rule, a group a task: groups
     are tracks of a project."""
 
-    def tree(part: pd.DataFrame) -> pd.DataFrame:
+    def tree(part):
         root: dict = {}
 
         def find(x):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,46 +138,118 @@ def assign(pairs: DataFrame, df: DataFrame) -> DataFrame:
     return p.join(m, ["a", "b"]).select("p1", "p2", "m.*")
 
 
-def groups(df: DataFrame, mode: str = "best") -> DataFrame:
-    """Pairs of the minimum spanning tree of each connected group of tracks: group_id, track1, track2, weight and the pair's
-    picked match. Weight is 1 minus mean similarity."""
-    pairs = df.groupBy("track1", "track2").agg((1 - F.avg("similarity")).alias("weight"))
+def groups(df: DataFrame, mode: str | None = "best", width: int | None = None) -> DataFrame:
+    """Pairs of the minimum spanning tree of each connected group of tracks: group_id, track1, track2, weight and the pair's matches: the
+    one picked by mode, one a window with a width, or all of them without a mode. Weight is 1 minus mean similarity of what is kept."""
+    kept = df if mode is None else pick(df, mode, "track1", "track2") if width is None else window_filter(df, width, mode)
+    pairs = kept.groupBy("track1", "track2").agg((1 - F.avg("similarity")).alias("weight"))
     nodes = components(pairs.select(F.col("track1").alias("u"), F.col("track2").alias("v")))
     edges = pairs.join(nodes, F.col("track1") == F.col("node")).select(F.col("root").alias("group_id"), F.col("track1").alias("u"), F.col("track2").alias("v"), "weight")
     tree = spanning_forest(edges).select("group_id", F.col("u").alias("track1"), F.col("v").alias("track2"), "weight")
-    return tree.join(pick(df, mode, "track1", "track2"), ["track1", "track2"])
+    return tree.join(kept, ["track1", "track2"])
+
+
+def tree_order(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """A tree's pairs in the order in which it grows from its least track, the lightest pair first."""
+    start = min(min(a, b) for a, b, _ in pairs)
+    near: dict[int, list] = {}
+    for a, b, w in pairs:
+        near.setdefault(a, []).append((w, a, b))
+        near.setdefault(b, []).append((w, a, b))
+    grown, heap, out = {start}, list(near[start]), []
+    heapq.heapify(heap)
+    while heap:
+        _, a, b = heapq.heappop(heap)
+        new = b if a in grown else a
+        if new not in grown:
+            grown.add(new)
+            out.append((a, b))
+            for edge in near[new]:
+                heapq.heappush(heap, edge)
+    return out
+
+
+def warped(points: list[tuple[int, int]], t: int) -> int:
+    """A time under control points (from, to): linear between two of them, else moved with the nearest."""
+    for (a, b), (na, nb) in zip(points, points[1:]):
+        if a <= t < na:
+            return b + int((t - a) * ((nb - b) / (na - a)))
+    a, b = points[0] if t < points[0][0] else points[-1]
+    return t + b - a
+
+
+def walk_tree(pairs: dict[tuple[int, int], list[list[int]]], order: list[tuple[int, int]], offset: dict[int, int], locked: set[int]) -> list[tuple[int, int, int]]:
+    """Aligns the tracks of a group, changing offset and the matches [t1, t2]; returns control points (track, from, to).
+
+    The first pair with a locked track leads, that track first; the pairs before it follow in reverse, then the others. Each pair moves the
+    side that is not aligned yet to its first match. With more matches that side is warped, and its times in other pairs' matches are translated, once each.
+    """
+    order = list(order)
+    aligned: set[int] = set()
+    lead = next((k for k, (a, b) in enumerate(order) if a in locked or b in locked), None)
+    if lead is not None:
+        a, b = order[lead]
+        order = [order[lead], *reversed(order[:lead]), *order[lead + 1 :]]
+        aligned.add(b if b in locked else a)
+    points, done = [], set()
+    for k, (a, b) in enumerate(order):
+        rows = pairs[a, b]
+        # the second side moves, unless it is aligned already; a leading pair with a locked second side is turned round
+        side = 0 if b in aligned else 1
+        moved, other = (a, b) if side == 0 else (b, a)
+        t, o = rows[0][side], rows[0][1 - side]
+        if moved not in locked:
+            offset[moved] = offset[other] + o - t
+        if len(rows) > 1:
+            own = [(t, t)] + [(r[side], t + r[1 - side] - o) for r in rows[1:]]
+            points += [(moved, x, y) for x, y in own]
+            own.sort()
+            for r, (_, y) in zip(rows[1:], [(r[side], t + r[1 - side] - o) for r in rows[1:]]):
+                r[side] = y
+            if moved not in locked:
+                for pair, others in pairs.items():
+                    if pair != (a, b) and moved in pair:
+                        for n, r in enumerate(others):
+                            if (pair, n) not in done:
+                                done.add((pair, n))
+                                at = pair.index(moved)
+                                r[at] = warped(own, r[at])
+        aligned.add(moved)
+    return points
 
 
 def align_tracks(pairs: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Offsets of all tracks after walking each group's tree from its first locked track, or else its least track.
+    """Offsets, time warps and translated matches after walking each group's tree: rows (group_id, kind, track_id, offset_ticks) of kind `track`,
+    (group_id, kind, track_id, t1, t2) of kind `warp` (from, to), and (group_id, kind, track_id, track2, t1, t2) of kind `match`.
 
-    A group is a project's tracks, so it is walked in one task: (track_id, group_id, offset_ticks).
+    A group is a project's tracks, so it is walked in one task.
     """
     t = tracks.select("track_id", "offset_ticks", "locked")
-    rows = pairs.select("group_id", "track1", "track2", "t1", "t2")
+    rows = pairs.select("group_id", "track1", "track2", "weight", "t1", "t2")
     rows = rows.join(t.select(F.col("track_id").alias("track1"), F.col("offset_ticks").alias("o1"), F.col("locked").alias("l1")), "track1")
     rows = rows.join(t.select(F.col("track_id").alias("track2"), F.col("offset_ticks").alias("o2"), F.col("locked").alias("l2")), "track2")
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        offset, locked, near = {}, set(), {}
-        for r in part.sort_values(["track1", "track2"]).itertuples():
+        offset, locked, found, weight = {}, set(), {}, {}
+        for r in part.sort_values(["track1", "track2", "t1", "t2"]).itertuples():
             offset[r.track1], offset[r.track2] = r.o1, r.o2
             locked |= {k for k, on in ((r.track1, r.l1), (r.track2, r.l2)) if on}
-            near.setdefault(r.track1, []).append((r.track2, r.t1 - r.t2))
-            near.setdefault(r.track2, []).append((r.track1, r.t2 - r.t1))
-        start = min(locked or offset)
-        done, queue = {start}, [start]
-        while queue:
-            a = queue.pop(0)
-            for b, shift in near.get(a, ()):
-                if b not in done:
-                    done.add(b)
-                    queue.append(b)
-                    if b not in locked:
-                        offset[b] = offset[a] + shift
-        return pd.DataFrame({"track_id": list(offset), "group_id": part["group_id"].iloc[0], "offset_ticks": list(offset.values())})
-
-    return rows.groupBy("group_id").applyInPandas(walk, "track_id long, group_id long, offset_ticks long")
+            found.setdefault((r.track1, r.track2), []).append([r.t1, r.t2])
+            weight[r.track1, r.track2] = r.weight
+        points = walk_tree(found, tree_order([(a, b, w) for (a, b), w in weight.items()]), offset, locked)
+        group = part["group_id"].iloc[0]
+        out = [(group, "track", k, o, None, None, None) for k, o in offset.items()] + [(group, "warp", k, None, None, a, b) for k, a, b in points]
+        out += [(group, "match", a, None, b, t1, t2) for (a, b), own in found.items() for t1, t2 in own]
+        return pd.DataFrame(out, columns=["group_id", "kind", "track_id", "offset_ticks", "track2", "t1", "t2"]).astype({c: "Int64" for c in ("offset_ticks", "track2", "t1", "t2")})
+
+    return rows.groupBy("group_id").applyInPandas(walk, "group_id long, kind string, track_id long, offset_ticks long, track2 long, t1 long, t2 long")
+
+
+def apply_warps(df: DataFrame, warps: DataFrame) -> DataFrame:
+    """Matches with the times of their second track translated by control points (track1, track2, from_t, to_t) of the pair, as they stand after the track is
+    warped; matches that are control points themselves go where these lead."""
+    to = warps.select(F.col("track1"), F.col("track2"), F.col("from_t").alias("t2"), "to_t").groupBy("track1", "track2", "t2").agg(F.min("to_t").alias("to_t"))
+    return df.join(to, ["track1", "track2", "t2"], "left").select(*(F.coalesce("to_t", "t2").alias("t2") if c == "t2" else F.col(c) for c in df.columns))
 
 
 def best_of(df: DataFrame, k: int, *keys: str) -> DataFrame:

@@ -188,8 +188,26 @@ def cut(df: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.select("track_id", F.size(before).alias("slice"), (F.col("idx") - F.coalesce(F.array_max(before), F.lit(0))).alias("idx"), "value")
 
 
-def monitor(df: DataFrame, name: str) -> DataFrame:
-    """A tap: counts and peak of what passes, as an observation."""
+class Chain:
+    """Operators applied one after another, each of which can be found again with its result."""
+
+    def __init__(self, df: DataFrame, steps: tuple = ()):
+        self.df, self.steps = df, steps or (("source", df),)
+
+    def then(self, operator, *args, **named) -> Chain:
+        out = operator(self.df, *args, **named)
+        return Chain(out, (*self.steps, (operator.__name__, out)))
+
+    def find(self, name: str) -> DataFrame | None:
+        """The result of the last operator of that name; None if there is none."""
+        return next((df for n, df in reversed(self.steps) if n == name), None)
+
+    def source(self) -> DataFrame:
+        return self.steps[0][1]
+
+
+def monitor(df: DataFrame, name) -> DataFrame:
+    """A tap: counts and peak of what passes, as an observation (a name, or an Observation to ask)."""
     return df.observe(name, F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak"))
 
 

@@ -57,13 +57,32 @@ class WindowConfig:
 def frames(df: DataFrame, size: int, hop: int) -> DataFrame:
     """Samples (track_id, idx, value) -> frames (track_id, frame_idx, values). A partial tail is dropped.
 
-    Every sample goes to the frames that hold it, so only one shuffle by (track, frame) is needed, also for tracks of any length.
+    Samples are dealt in blocks of many hops, each with the size - hop samples that follow it, so a sample is sent about once however much
+    frames overlap, and a track of any length is spread over all tasks.
     """
-    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("idx") - size + 1) / hop))
-    last = F.floor(F.col("idx") / hop)
-    rows = df.where(last >= first).select("track_id", F.explode(F.sequence(first, last)).alias("frame_idx"), "idx", "value")
-    out = rows.groupBy("track_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
-    return out.where(F.size("v") == size).select("track_id", "frame_idx", F.col("v.value").alias("values"))
+    per = max(1, -(-4 * size // hop))  # frames of a block
+    reach, span = F.floor(F.greatest(F.lit(0), F.col("idx") - (size - 1)) / (per * hop)), F.floor(F.col("idx") / (per * hop))
+    rows = df.select("track_id", F.explode(F.sequence(reach, span)).alias("block"), "idx", "value")
+    rows = rows.groupBy("track_id", "block").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    rows = rows.select("track_id", F.explode(F.sequence(F.col("block") * per, F.col("block") * per + per - 1)).alias("frame_idx"), "v")
+    # places are looked up, so frames with samples missing are left out, as are partial ones
+    first = F.array_position(F.col("v.idx"), F.col("frame_idx") * hop)
+    rows = rows.withColumn("at", first.cast("int")).where(F.col("at") > 0)
+    rows = rows.select("track_id", "frame_idx", F.slice("v", F.greatest(F.lit(1), F.col("at")), size).alias("v"))
+    return rows.where((F.size("v") == size) & (F.element_at("v", -1)["idx"] == F.col("frame_idx") * hop + size - 1)).select("track_id", "frame_idx", F.col("v.value").alias("values"))
+
+
+def stretches(places: DataFrame, track: str, start: str, df: DataFrame, n: int, out: str) -> DataFrame:
+    """places with the n samples of their track from `start` on as an array; places whose track lacks some go. Samples are packed in blocks
+    that hold the n - 1 samples after them, so a place is joined with one row."""
+    block = max(4096, n)
+    reach, own = F.floor(F.greatest(F.lit(0), F.col("idx") - (n - 1)) / block), F.floor(F.col("idx") / block)
+    packed = df.select(F.col("track_id").alias(track), F.explode(F.sequence(reach, own)).alias("__b"), F.struct("idx", "value").alias("__v"))
+    packed = packed.groupBy(track, "__b").agg(F.sort_array(F.collect_list("__v")).alias("__v"))
+    rows = places.where(F.col(start) >= 0).withColumn("__b", F.floor(F.col(start) / block)).join(packed, [track, "__b"])
+    rows = rows.withColumn("__at", F.array_position(F.col("__v.idx"), F.col(start)).cast("int")).where("__at > 0")
+    rows = rows.withColumn("__v", F.slice("__v", F.greatest(F.lit(1), F.col("__at")), n)).where((F.size("__v") == n) & (F.element_at("__v", -1)["idx"] == F.col(start) + n - 1))
+    return rows.withColumn(out, F.col("__v.value")).drop("__v", "__b", "__at")
 
 
 def overlap_add(df: DataFrame, hop: int, column: str = "values") -> DataFrame:

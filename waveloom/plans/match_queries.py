@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +9,7 @@ from ..operators import correlation as K
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import matching as M
+from ..scratch import scratch
 from ..sources import sinks
 from ..streaming import stateful
 from .inputs import MATCHES, SIGNAL, TRACKS, hashes, hashes_sql, matches, rounded, signal, table, tracks
@@ -26,13 +25,12 @@ _SIM = f"1 - bit_errors / {N * 32}.0::DOUBLE"
 
 
 @query(
-    f"WITH {_H}, ok AS (SELECT hash FROM fp WHERE hash <> 0 GROUP BY hash HAVING count(*) BETWEEN 2 AND 50), ix AS (SELECT * FROM fp WHERE hash IN (SELECT hash FROM ok)), "
-    "cd AS (SELECT DISTINCT a.track_id AS track1, a.idx AS i1, b.track_id AS track2, b.idx AS i2 FROM ix a JOIN ix b ON a.hash = b.hash AND a.track_id < b.track_id), "
+    f"WITH {_H}, cd AS (SELECT DISTINCT a.track_id AS track1, a.idx AS i1, b.track_id AS track2, b.idx AS i2 FROM fp a JOIN fp b ON a.hash = b.hash AND a.track_id < b.track_id WHERE a.hash <> 0), "
     f"{_VERIFY} SELECT track1, track2, i1, i2, bit_errors, {_SIM} AS similarity FROM vf WHERE n = {N} AND bit_errors / {N * 32}.0::DOUBLE < 0.35 AND NOT zero"
 )
 def fp_find_all_matches(spark, sf):
-    """All matches of 8 shingle hashes between documents, over hashes of 2 to 50 places (the bucket is this query's feature)."""
-    return I.find_all(hashes(spark, sf), N, 0.35, (2, 50))
+    """All matches of 8 shingle hashes between documents."""
+    return I.find_all(hashes(spark, sf), N, 0.35)
 
 
 @query(f"WITH {_H} SELECT hash, count(*) AS n FROM fp GROUP BY hash HAVING count(*) > 1")
@@ -85,12 +83,48 @@ def fp_multiset_overlap(spark, sf):
     return I.multiset_overlap(h, pairs)
 
 
-@query()
+@query(
+    f"WITH {_H}, f4 AS (SELECT track_id, idx // 4 AS idx, hash FROM fp), c AS (SELECT track_id, idx, hash, count(*) AS n FROM f4 GROUP BY ALL), z AS (SELECT track_id, idx, count(*) AS n FROM f4 GROUP BY ALL), "
+    "e AS (SELECT track_id, max(idx) + 1 AS n FROM f4 GROUP BY ALL), sd AS (SELECT DISTINCT a.track_id AS track1, a.idx AS i1, b.track_id AS track2, b.idx AS i2 FROM c a JOIN c b ON a.hash = b.hash AND a.track_id < b.track_id), "
+    "st AS (SELECT sd.*, unnest(range(0, least(ea.n - i1, eb.n - i2, 30))) AS f FROM sd JOIN e ea ON ea.track_id = track1 JOIN e eb ON eb.track_id = track2), pl AS (SELECT DISTINCT track1, i1 + f AS p1, track2, i2 + f AS p2 FROM st), "
+    "cm AS (SELECT track1, p1, track2, p2, sum(least(a.n, b.n)) AS common FROM pl JOIN c a ON a.track_id = track1 AND a.idx = p1 JOIN c b ON b.track_id = track2 AND b.idx = p2 AND b.hash = a.hash GROUP BY ALL), "
+    "rw AS (SELECT st.*, coalesce(common, 0) AS common, coalesce(za.n, 0) + coalesce(zb.n, 0) - coalesce(common, 0) AS tried FROM st LEFT JOIN cm ON cm.track1 = st.track1 AND cm.track2 = st.track2 AND p1 = i1 + f AND p2 = i2 + f "
+    "LEFT JOIN z za ON za.track_id = st.track1 AND za.idx = i1 + f LEFT JOIN z zb ON zb.track_id = st.track2 AND zb.idx = i2 + f), "
+    "sm AS (SELECT *, sum(common) OVER w AS m, sum(tried) OVER w AS t FROM rw WINDOW w AS (PARTITION BY track1, i1, track2, i2 ORDER BY f)), "
+    "rt AS (SELECT *, CASE WHEN t > 0 THEN m / t::DOUBLE ELSE 0.0 END AS rate, 0.3::DOUBLE * pow(0.5::DOUBLE, f * 0.25::DOUBLE / 2) AS bar FROM sm), "
+    "nd AS (SELECT track1, track2, i1, i2, arg_min(struct_pack(f := f, rate := rate, hit := f > 3 AND rate > bar), f) AS e FROM rt WHERE (f > 3 AND rate > bar) OR rate < bar / 6 GROUP BY ALL) "
+    "SELECT track1, track2, i1, i2, e.f AS frames, round(e.rate, 9) AS similarity FROM nd WHERE e.hit"
+)
 def fp_frame_scan(spark, sf):
     """Sparse matching over frames of 4 shingles."""
     h = hashes(spark, sf).select("track_id", F.expr("idx div 4").alias("idx"), "hash")
-    sizes = h.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 20")
-    return I.frame_scan(h.join(sizes, "hash", "left_semi"), 3, 30, 0.25)
+    return I.frame_scan(h, 3, 30, 0.25).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("SELECT i::INT AS f, round(0.3::DOUBLE * pow(0.5::DOUBLE, i * 0.25::DOUBLE / 2), 9) AS bar, i + 1 > 3 AS past_gap FROM range(60) r(i)")
+def fp_threshold_curve(spark, sf):
+    """The accept curve by seconds, and from which frame on a scan may accept."""
+    f = F.col("id")
+    return spark.range(60).select(f.cast("int").alias("f"), F.round(I.threshold_curve(0.3, 0.5, 2.0, f * 0.25), 9).alias("bar"), (f + 1 > 3).alias("past_gap"))
+
+
+@query(
+    f"WITH {_H}, cd AS (SELECT DISTINCT a.track_id AS track1, a.idx AS i1, b.track_id AS track2, b.idx AS i2 FROM fp a JOIN fp b ON a.hash = b.hash AND a.track_id < b.track_id WHERE a.hash <> 0), "
+    f"{_VERIFY} SELECT track1, track2, round_even(i1 * (64 / 5512.0::DOUBLE) * 10000000, 0)::BIGINT AS t1, round_even(i2 * (64 / 5512.0::DOUBLE) * 10000000, 0)::BIGINT AS t2, {_SIM} AS similarity, 'FP-HK02' AS source "
+    f"FROM vf WHERE n = {N} AND bit_errors / {N * 32}.0::DOUBLE < 0.1 AND NOT zero"
+)
+def fp_named_matches(spark, sf):
+    """Matches in ticks under the generator's name, with a stricter threshold."""
+    return I.matches(I.find_all(hashes(spark, sf), N, 0.1), "hk", 64 / 5512)
+
+
+@query(f"WITH {_H}, w AS (SELECT track_id, idx, hash, list(hash) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING) AS h FROM fp), "
+    "k AS (SELECT * FROM w WHERE len(h) = 40 AND NOT list_contains(h, 0)), pr AS (SELECT a.track_id AS track1, b.track_id AS track2, a.idx AS i1, b.idx AS i2, "
+    "list_sum(list_transform(list_zip(a.h, b.h), lambda x: bit_count(xor(x[1], x[2]))))::BIGINT AS bit_errors FROM k a JOIN k b ON a.hash = b.hash AND a.track_id < b.track_id) "
+    "SELECT *, 1 - bit_errors / 1280.0::DOUBLE AS similarity FROM pr WHERE bit_errors / 1280.0::DOUBLE < 0.35")
+def fp_find_long_windows(spark, sf):
+    """The same with windows of 40 hashes, which are fetched from packed blocks."""
+    return I.find_all(hashes(spark, sf), 40, 0.35)
 
 
 @query(
@@ -279,17 +313,10 @@ def sink_matches(spark, sf):
     return sinks.match_rows(matches(spark, sf), tracks(spark, sf))
 
 
-@query("SELECT c_custkey AS track_id, sha256(c_name) AS h FROM customer WHERE c_custkey % 4 <> 0")
-def sink_edl(spark, sf):
-    lines = sinks.edl_lines(tracks(spark, sf))
-    names = F.regexp_extract("line", '"([^"]*)"', 1)
-    return lines.select("track_id", F.sha2(names, 256).alias("h"))
-
-
 @query()
 def stream_hop_frames(spark, sf):
     """Frames of a stream of samples, a file source read to its end in micro-batches."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     source = signal(spark, sf)
     source.where("idx < 30").write.parquet(f"{base}/in")
     source.where("idx >= 30").write.mode("append").parquet(f"{base}/in")

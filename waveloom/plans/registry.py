@@ -21,4 +21,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from . import match_queries, signal_queries, spectral_queries  # noqa: E402, F401
+from . import io_queries, match_queries, signal_queries, spectral_queries  # noqa: E402, F401

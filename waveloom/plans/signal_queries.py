@@ -196,9 +196,17 @@ def sig_resample_hold(spark, sf):
     return _out(R.resample(signal(spark, sf), 0.5, "hold"), "track_id", "idx")
 
 
-@query()
+_SINC = (
+    f"{SIGNAL}, n AS (SELECT track_id, count(*) AS n FROM sig GROUP BY ALL), o AS (SELECT track_id, unnest(range(0, ceil(n * 0.75 - 1e-9)::BIGINT)) AS o FROM n), "
+    "x AS (SELECT o.track_id, o, (o / 0.75::DOUBLE - s.idx) * 0.75::DOUBLE AS x, value FROM o JOIN sig s ON s.track_id = o.track_id AND s.idx BETWEEN floor(o / 0.75::DOUBLE) - 22 AND floor(o / 0.75::DOUBLE) + 22)"
+)
+
+
+@query(
+    f"WITH {_SINC} SELECT track_id, o AS idx, round(sum(CASE WHEN abs(x) < 16 THEN value * 0.75::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * x / 16)) * CASE WHEN abs(x) < 1e-12 THEN 1.0::DOUBLE ELSE sin(pi() * x) / (pi() * x) END ELSE 0.0::DOUBLE END), 6) + 0.0 AS value FROM x GROUP BY ALL"
+)
 def sig_resample_sinc(spark, sf):
-    return R.resample_sinc(signal(spark, sf), 0.75)
+    return _out(R.resample_sinc(signal(spark, sf), 0.75, grade="medium"), "track_id", "idx")
 
 
 WARPS_SQL = "wp AS (SELECT user_id AS track_id, (k * 20)::BIGINT AS from_t, (k * (15 + user_id % 11))::BIGINT + 3 AS to_t FROM (SELECT DISTINCT user_id FROM events), range(1, 4) r(k))"
@@ -224,9 +232,61 @@ def sig_warp_faults(spark, sf):
     return R.warp_faults(warps(spark, sf), 1.2).select("track_id", "from_t", "to_t")
 
 
-@query()
+_MOVED = (
+    "mv AS (SELECT p.track_id, p.t, CASE WHEN g.from_t <= p.t AND nf IS NOT NULL THEN to_t + trunc((p.t - from_t) * ((nt - to_t)::DOUBLE / (nf - from_t)))::BIGINT ELSE p.t + to_t - from_t END AS o "
+    "FROM (SELECT track_id, idx AS t FROM sig UNION SELECT track_id, max(idx) + 1 FROM sig GROUP BY ALL) p JOIN sg g ON g.track_id = p.track_id AND (p.t >= g.from_t OR n = 1) AND (nf IS NULL OR p.t < nf))"
+)
+
+
+@query(
+    f"WITH {SIGNAL}, {_SEG}, {_MOVED}, b AS (SELECT s.track_id, s.value, lead(s.value) OVER (PARTITION BY s.track_id ORDER BY s.idx) AS nx, a.o AS o1, c.o AS o2 FROM sig s JOIN mv a ON a.track_id = s.track_id AND a.t = s.idx JOIN mv c ON c.track_id = s.track_id AND c.t = s.idx + 1) "
+    "SELECT track_id, o AS idx, round(value + (coalesce(nx, value) - value) * ((o - o1) / (o2 - o1)::DOUBLE), 6) + 0.0 AS value FROM (SELECT *, unnest(range(o1, o2)) AS o FROM b WHERE o2 > o1)"
+)
 def sig_warp(spark, sf):
-    return R.warp(signal(spark, sf), warps(spark, sf))
+    return _out(R.warp(signal(spark, sf), warps(spark, sf)), "track_id", "idx")
+
+
+@query(
+    f"WITH {SIGNAL}, z AS (SELECT track_id, count(*) AS n FROM sig GROUP BY ALL), mv AS (SELECT s.track_id, t, CASE WHEN t < 20 THEN t * 2 WHEN t = n THEN rint_ ELSE 40 + trunc((t - 20) * ((rint_ - 40)::DOUBLE / (n - 20)))::BIGINT END AS o, value, nx FROM "
+    "(SELECT s.track_id, s.idx AS t, value, lead(value) OVER (PARTITION BY s.track_id ORDER BY idx) AS nx, n, round_even(40 + (n - 20) * 0.5::DOUBLE, 0)::BIGINT AS rint_ FROM (SELECT track_id, idx, value FROM sig UNION ALL SELECT track_id, n, NULL FROM z) s JOIN z USING (track_id)) s), "
+    "b AS (SELECT *, lead(o) OVER (PARTITION BY track_id ORDER BY t) AS o2 FROM mv) SELECT track_id, i AS idx, round(value + (coalesce(nx, value) - value) * ((i - o) / (o2 - o)::DOUBLE), 6) + 0.0 AS value FROM (SELECT *, unnest(range(o, o2)) AS i FROM b WHERE o2 > o)"
+)
+def sig_resample_variable(spark, sf):
+    """Twice the rate for 20 samples, half of it from there on."""
+    steps = signal(spark, sf).select("track_id").distinct().select("track_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("idx"), F.lit(2.0).alias("ratio")), F.struct(F.lit(20).cast("long").alias("idx"), F.lit(0.5).alias("ratio")))).alias("s"))
+    return _out(R.resample_variable(signal(spark, sf), steps.select("track_id", "s.idx", "s.ratio")), "track_id", "idx")
+
+
+_STEP = "(10000000 / 44100.0::DOUBLE)"
+
+
+@query(f"WITH {TRACKS} SELECT track_id, trunc(floor(offset_ticks / {_STEP}) * {_STEP})::BIGINT AS a, trunc(ceil((offset_ticks + length_ticks) / {_STEP}) * {_STEP})::BIGINT AS b FROM tr")
+def sig_align_to_samples(spark, sf):
+    a, b = C.align_to_samples(F.col("offset_ticks"), F.col("offset_ticks") + F.col("length_ticks"), 44100)
+    return tracks(spark, sf).select("track_id", a.alias("a"), b.alias("b"))
+
+
+@query(
+    f"WITH {SIGNAL}, p AS (SELECT track_id, idx, abs(value) / 100 + 0.001 AS v FROM sig) SELECT track_id, idx, round(20 * log10(v), 6) + 0.0 AS db, round(pow(10.0::DOUBLE, v / 20), 6) AS lin, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (20 * log10(v) + 60) / 60)), 6) + 0.0 AS share FROM p"
+)
+def sig_decibel(spark, sf):
+    v = F.abs("value") / 100 + 0.001
+    return signal(spark, sf).select("track_id", "idx", rounded(C.to_db(v)).alias("db"), F.round(C.from_db(v), 6).alias("lin"), rounded(C.db_percent(C.to_db(v))).alias("share"))
+
+
+@query(f"WITH {SIGNAL} SELECT track_id, min(idx * 3 % 17) AS low, max(idx * 3 % 17) AS high, (sum(idx * 3 % 17) // count(*))::BIGINT AS mean FROM sig GROUP BY ALL")
+def sig_min_max_mean(spark, sf):
+    df = signal(spark, sf).groupBy("track_id").agg(F.collect_list(F.col("idx") * 3 % 17).alias("v"))
+    return df.select("track_id", C.min_max_mean(F.col("v")).alias("m")).select("track_id", F.col("m.min").alias("low"), F.col("m.max").alias("high"), F.col("m.mean").alias("mean"))
+
+
+@query(f"WITH {channels_sql()}, mo AS (SELECT track_id, idx, sum(value / 2) AS value FROM ch GROUP BY ALL), ln AS (SELECT *, lead(value) OVER (PARTITION BY track_id ORDER BY idx) AS nx, count(*) OVER (PARTITION BY track_id) AS n FROM mo) "
+    "SELECT track_id, o AS idx, round(value + (coalesce(nx, value) - value) * (o / 0.75::DOUBLE - idx), 6) + 0.0 AS value FROM (SELECT *, unnest(range(ceil(idx * 0.75)::BIGINT, least(ceil((idx + 1) * 0.75), ceil(n * 0.75))::BIGINT)) AS o FROM ln)")
+def corr_prepare(spark, sf):
+    """Stereo signals made mono and brought to another rate, as correlation asks for."""
+    from ..operators.correlation import prepare
+
+    return _out(prepare(channels(spark, sf), 2, 8000, 6000), "track_id", "idx")
 
 
 @query(

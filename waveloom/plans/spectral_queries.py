@@ -108,6 +108,14 @@ def spec_onset_difference(spark, sf):
     return X.rectified_difference(X.bands(bins(spark, sf), _EDGES, RATE, SIZE // 2)).select("track_id", "frame_idx", "band", rounded(F.col("rise")).alias("rise"))
 
 
+_LINEAR = X.linear_edges(100, 2500, 7)
+
+
+@query(f"WITH {DFT}, e AS ({_bands_sql(_LINEAR)}) SELECT track_id, frame_idx, band, round(energy, 6) + 0.0 AS energy FROM e")
+def spec_linear_bands(spark, sf):
+    return X.bands(bins(spark, sf), _LINEAR, RATE, SIZE // 2).select("track_id", "frame_idx", "band", rounded(F.col("energy")).alias("energy"))
+
+
 def _chroma_sql(mapping, normalize):
     t = X.chroma_classes(RATE, SIZE, 100, 2500, mapping)
     n = [sum(c == k for _, c in t) for k in range(12)]
@@ -172,14 +180,57 @@ def spec_stft(spark, sf):
     return df.select("track_id", "frame_idx", F.round(F.aggregate("bins", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+def _list(values) -> str:
+    return "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
+
+
+def windowed_sql(source: str, kind: str, size: int, bins: int | None = None) -> str:
+    """Spectra of windowed frames v of a table: mg (track_id, frame_idx, bin, magnitude)."""
+    return (
+        f"wv AS (SELECT track_id, frame_idx, list_transform(list_zip(v, {_list(W.window_values(kind, size))}), lambda x: x[1] * x[2]) AS v FROM {source}), "
+        f"bs AS (SELECT k AS bin, list(cos(2 * pi() * k * i / {size}) ORDER BY i) AS c, list(-sin(2 * pi() * k * i / {size}) ORDER BY i) AS s FROM range({bins or size // 2}) a(k), range({size}) b(i) GROUP BY k), "
+        "mg AS (SELECT track_id, frame_idx, bin, sqrt(list_dot_product(v, c) ** 2 + list_dot_product(v, s) ** 2) AS magnitude FROM wv, bs)"
+    )
+
+
+@query(f"WITH {FRAMES}, {windowed_sql('fr', 'Hann', SIZE)} SELECT track_id, frame_idx, bin::INT AS bin, round(20 * log10(magnitude / 32 * 2) + {X.analyzer_offset(W.WindowConfig('Hann', SIZE))!r}, 4) + 0.0 AS db FROM mg")
 def spec_analyzer(spark, sf):
-    return X.analyse_blocks(frames(spark, sf), W.WindowConfig("Hann", SIZE))
+    df = X.analyse_blocks(frames(spark, sf), W.WindowConfig("Hann", SIZE))
+    return df.select("track_id", "frame_idx", F.posexplode("bins").alias("bin", "db")).withColumn("db", rounded(F.col("db"), 4))
 
 
-@query()
+@query(
+    f"WITH {FRAMES}, e AS (SELECT track_id, frame_idx, i, v[i + 1] AS x FROM fr, range({SIZE}) r(i)), q AS (SELECT *, sum(CASE WHEN i % 2 = 0 THEN x ELSE -x END) OVER (PARTITION BY track_id, frame_idx) AS n FROM e) "
+    f"SELECT track_id, frame_idx, i::INT AS i, round(x - CASE WHEN i % 2 = 0 THEN n ELSE -n END / {SIZE}, 6) + 0.0 AS value FROM q"
+)
 def spec_inverse_stft(spark, sf):
-    return X.inverse_stft(X.stft(frames(spark, sf), W.WindowConfig("Rectangle", SIZE), fmt="complex"), SIZE)
+    """There and back; what is lost is the last bin, which spectra leave out."""
+    df = X.inverse_stft(X.stft(frames(spark, sf), W.WindowConfig("Rectangle", SIZE), fmt="complex"), SIZE)
+    return df.select("track_id", "frame_idx", F.posexplode("values").alias("i", "value")).withColumn("value", rounded(F.col("value")))
+
+
+@query(f"WITH {DFT} SELECT track_id, frame_idx, bin::INT AS bin, round(atan2(im, re), 5) + 0.0 AS phase, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM mg WHERE bin > 0")
+def spec_polar(spark, sf):
+    """Phases, and the way back from magnitude and phase."""
+    df = bins(spark, sf).where("bin > 0").withColumn("phase", X.phase(F.col("re"), F.col("im")))
+    back = X.from_polar(F.col("magnitude"), F.col("phase"))
+    return df.select("track_id", "frame_idx", "bin", rounded(F.col("phase"), 5).alias("phase"), rounded(back["re"], 5).alias("re"), rounded(back["im"], 5).alias("im"))
+
+
+for _fmt, _per in (("complex", 2), ("squared", 1), ("polar", 2), ("decibel", 1)):
+    _expr = {"complex": "re + im", "squared": "re * re + im * im", "polar": "magnitude + atan2(im, re)", "decibel": "20 * log10(magnitude / 32 * 2)"}[_fmt]
+    query(f"WITH {DFT} SELECT track_id, frame_idx, bin::INT AS bin, round({_expr}, 4) + 0.0 AS value FROM mg WHERE bin > 0", f"spec_stft_{_fmt}")(
+        lambda spark, sf, fmt=_fmt, per=_per: X.stft(frames(spark, sf), W.WindowConfig("Rectangle", SIZE), fmt=fmt)
+        .select("track_id", "frame_idx", F.posexplode("bins").alias("i", "v")).groupBy("track_id", "frame_idx", F.expr(f"int(i div {per})").alias("bin"))
+        .agg(rounded(F.sum("v"), 4).alias("value")).where("bin > 0")
+    )
+
+
+@query(f"SELECT k AS track_id, least(round_even(k * 3.7::DOUBLE / ({RATE} / 2.0::DOUBLE / {SIZE // 2}), 0), {SIZE // 2 - 1})::INT AS bin, pow(2::DOUBLE, ceil(log2(k + 1)))::BIGINT AS size FROM range(1, 800) r(k)")
+def spec_bin_of(spark, sf):
+    """The bin of a frequency, and the next power of two."""
+    rows = spark.createDataFrame([(k, X.bin_of(k * 3.7, RATE, SIZE // 2)) for k in range(1, 800)], "track_id long, bin int")
+    return rows.withColumn("size", C.next_power_of_two(F.col("track_id") + 1))
 
 
 _SIGN = " | ".join(f"(CASE WHEN p{m} - p{m + 1} - (e{m} - e{m + 1}) > 0 THEN {1 << m} ELSE 0 END)" for m in range(7))
@@ -202,12 +253,26 @@ def fp_band_hashes(spark, sf):
     return df.select("track_id", "frame_idx", word.cast("long").alias("hash"))
 
 
+HOLD = 128
+
+
 def _long(spark, sf):
-    """Signals long enough for fingerprints: each track's values held for 600 samples, under a tone of its own."""
-    df = R.resample(signal(spark, sf).where("track_id % 10 = 0"), 600.0, "hold")
+    """Signals long enough for fingerprints: every track's values held for 128 samples, under a tone of its own."""
+    df = R.resample(signal(spark, sf), float(HOLD), "hold")
     return df.withColumn("value", F.col("value") / 100 + F.sin(F.col("idx") * (F.lit(0.05) + F.col("track_id") * 0.001)))
 
 
+LONG = f"{SIGNAL}, lo AS (SELECT track_id, idx * {HOLD} + j AS idx, value / 100 + sin((idx * {HOLD} + j) * (0.05::DOUBLE + track_id * 0.001::DOUBLE)) AS value FROM sig, range({HOLD}) r(j))"
+
+
+def long_frames_sql(size: int, hop: int) -> str:
+    """Frames of the long signals: fr (track_id, frame_idx, v)."""
+    return (
+        f"{LONG}, ar AS (SELECT track_id, list(value ORDER BY idx) AS a FROM lo GROUP BY ALL), "
+        f"fr AS (SELECT track_id, f AS frame_idx, a[f * {hop} + 1 : f * {hop} + {size}] AS v FROM (SELECT track_id, a, unnest(range(0, (len(a) - {size}) // {hop} + 1)) AS f FROM ar WHERE len(a) >= {size}))"
+    )
+
+
 @query()
 def fp_haitsma_kalker(spark, sf):
     return P.hashes(_long(spark, sf), "hk")
@@ -228,12 +293,100 @@ def fp_echoprint(spark, sf):
     return P.hashes(_long(spark, sf), "echoprint")
 
 
+#: Small profiles of the generators, whose hashes SQL can work out from the samples.
+BAND = P.BandProfile(size=256, hop=128, bands=9, flips=2)
+PEAK = P.PeakProfile(size=256, hop=128, drop=20.0, peaks=3, fanout=4, distance=2, length=6, width=31)
+CHROMA = P.ChromaProfile(5512, 512, 128, "Hamming", 100, 2500, "paper", classifiers=tuple(((k, y, h, min(w, 8)), bars) for (k, y, h, w), bars in P.CLASSIFIERS))
+
+
+def _hk_sql() -> str:
+    edges = X.band_bins(X.log_edges(BAND.low, BAND.high, BAND.bands), BAND.rate, BAND.size // 2)
+    n = BAND.bands - 1
+    energy = ", ".join(f"coalesce(sum(db) FILTER (bin >= {a} AND bin < {b}), 0) AS e{k}" for k, a, b in edges)
+    lags = ", ".join(f"coalesce(lag(e{k}) OVER (PARTITION BY track_id ORDER BY frame_idx), 0) AS p{k}" for k in range(BAND.bands))
+    diffs = ", ".join(f"(p{k} - p{k + 1}) - (e{k} - e{k + 1})" for k in range(n))
+    return (
+        f"WITH {long_frames_sql(BAND.size, BAND.hop)}, {windowed_sql('fr', 'Hann', BAND.size, edges[-1][2])}, db AS (SELECT track_id, frame_idx, bin, 20 * log10(magnitude / {BAND.size // 2} * 2) AS db FROM mg), "
+        f"en AS (SELECT track_id, frame_idx, {energy} FROM db GROUP BY ALL), lg AS (SELECT *, {lags} FROM en), df AS (SELECT track_id, frame_idx, [{diffs}] AS d FROM lg), "
+        f"bt AS (SELECT track_id, frame_idx, d, list_sum(list_transform(range({n}), lambda m: CASE WHEN d[m + 1] > 0 THEN 1 << m ELSE 0 END))::BIGINT AS h, list_grade_up(list_transform(d, lambda x: abs(x))) AS g FROM df) "
+        "SELECT track_id, frame_idx AS idx, xor(h, (CASE WHEN f & 1 = 1 THEN 1 << (g[1] - 1) ELSE 0 END + CASE WHEN f & 2 = 2 THEN 1 << (g[2] - 1) ELSE 0 END)::BIGINT) AS hash, f > 0 AS is_variation FROM bt, range(4) r(f)"
+    )
+
+
+@query(_hk_sql())
+def fp_haitsma_kalker_small(spark, sf):
+    return P.hashes(_long(spark, sf), "hk", BAND)
+
+
+def _wang_sql() -> str:
+    p = PEAK
+    return (
+        f"WITH RECURSIVE {long_frames_sql(p.size, p.hop)}, {windowed_sql('fr', 'Hann', p.size)}, sp AS MATERIALIZED (SELECT track_id, frame_idx, list(20 * log10(magnitude / {p.size // 2} * 2) ORDER BY bin) AS row FROM mg GROUP BY ALL), "
+        "em(track_id, f, a) AS (SELECT track_id, frame_idx, row FROM sp WHERE frame_idx = 0 UNION ALL "
+        f"SELECT s.track_id, s.frame_idx, list_transform(list_zip(s.row, e.a), lambda x: {p.alpha}::DOUBLE * x[1] + {1 - p.alpha}::DOUBLE * x[2]) FROM em e JOIN sp s ON s.track_id = e.track_id AND s.frame_idx = e.f + 1), "
+        f"rs AS (SELECT s.track_id, s.frame_idx, row, list_transform(list_zip(row, a), lambda x: x[1] - x[2] - {p.drop}) AS r FROM sp s JOIN em e ON e.track_id = s.track_id AND e.f = s.frame_idx), "
+        f"pk AS (SELECT track_id, frame_idx, k AS bin, r[k + 1] AS rest, row[k + 1] AS energy FROM rs, range({p.size // 2 - 1}) b(k) WHERE (k = 0 OR r[k + 1] > r[k]) AND r[k + 2] < r[k + 1]), "
+        f"tp AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY track_id, frame_idx ORDER BY rest DESC, bin) <= {p.peaks}), mx AS (SELECT track_id, max(frame_idx) + 1 AS n FROM sp GROUP BY ALL), "
+        f"pr AS (SELECT a.track_id, a.frame_idx, a.bin AS b1, b.bin AS b2, b.frame_idx - a.frame_idx AS d, (a.energy + b.energy) / 2 AS e FROM tp a JOIN mx USING (track_id) JOIN tp b ON b.track_id = a.track_id AND b.frame_idx BETWEEN a.frame_idx + {p.distance} AND a.frame_idx + {p.distance + p.length - 1} "
+        f"AND abs(a.bin - b.bin) <= {p.width / 2} WHERE a.frame_idx < n - {p.distance}), kp AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY track_id, frame_idx ORDER BY e DESC, b1, b2, d) <= {p.fanout}) "
+        "SELECT track_id, frame_idx AS idx, (((b1 & 255) << 16) | ((b2 & 255) << 8) | (d & 255))::BIGINT AS hash, false AS is_variation FROM kp"
+    )
+
+
+@query(_wang_sql())
+def fp_wang_small(spark, sf):
+    return P.hashes(_long(spark, sf), "wang", PEAK)
+
+
+def _chromaprint_sql() -> str:
+    p = CHROMA
+    classes = X.chroma_classes(p.rate, p.size, p.low, p.high, p.mapping)
+    table = ", ".join(f"({k}, {c})" for k, c in classes)
+    width = max(w for (_, _, _, w), _ in p.classifiers)
+    smooth = " + ".join(f"{w}::DOUBLE * lead(v, {k}) OVER o" for k, w in enumerate(P.SMOOTHING))
+
+    def area(y, h, x, w):
+        return f"coalesce(sum(v) FILTER (c >= {y} AND c < {y + h} AND x >= {x} AND x < {x + w}), 0)" if h > 0 and w > 0 else "0.0"
+
+    def sides(kind, y, h, w):
+        t, u = h // 3, w // 3
+        if kind == 0:
+            return area(y, h, 0, w), "0.0"
+        if kind == 1:
+            return area(y + h // 2, h - h // 2, 0, w), area(y, h // 2, 0, w)
+        if kind == 2:
+            return area(y, h, w // 2, w - w // 2), area(y, h, 0, w // 2)
+        if kind == 3:
+            return f"({area(y + h // 2, h - h // 2, 0, w // 2)} + {area(y, h // 2, w // 2, w - w // 2)})", f"({area(y, h // 2, 0, w // 2)} + {area(y + h // 2, h - h // 2, w // 2, w - w // 2)})"
+        if kind == 4:
+            return area(y + t, t, 0, w), f"({area(y, t, 0, w)} + {area(y + 2 * t, h - 2 * t, 0, w)})"
+        return area(y, h, u, u), f"({area(y, h, 0, u)} + {area(y, h, 2 * u, w - 2 * u)})"
+
+    values = ", ".join("ln(1 + {}) - ln(1 + {}) AS q{}".format(*sides(*box), k) for k, (box, _) in enumerate(p.classifiers))
+    gray = "CASE " + " ".join(f"WHEN {{0}} < {{{k + 1}}} THEN {g}" for k, g in enumerate(P.GRAY[:3])) + f" ELSE {P.GRAY[3]} END"
+    word = " | ".join(f"(({gray.format(f'q{k}', *bars)})::BIGINT << {2 * (15 - k)})" for k, (_, bars) in enumerate(p.classifiers))
+    return (
+        f"WITH {long_frames_sql(p.size, p.hop)}, {windowed_sql('fr', p.window, p.size, classes[-1][0] + 1)}, cl(bin, c) AS (VALUES {table}), ch AS (SELECT f.track_id, f.frame_idx, k.c, coalesce(any_value(e.v), 0) AS v FROM fr f CROSS JOIN range(12) k(c) "
+        "LEFT JOIN (SELECT track_id, frame_idx, c, sum(magnitude * magnitude) AS v FROM mg JOIN cl USING (bin) GROUP BY ALL) e ON e.track_id = f.track_id AND e.frame_idx = f.frame_idx AND e.c = k.c GROUP BY ALL), "
+        f"sm AS (SELECT track_id, frame_idx, c, {smooth} AS v FROM ch WINDOW o AS (PARTITION BY track_id, c ORDER BY frame_idx)), nm AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY track_id, frame_idx)) AS n FROM sm WHERE v IS NOT NULL), "
+        f"im AS (SELECT track_id, frame_idx, c, CASE WHEN n < {p.least_norm} THEN 0.0::DOUBLE ELSE v / n END AS v FROM nm), mx AS (SELECT track_id, max(frame_idx) + 1 AS n FROM im GROUP BY ALL), "
+        f"st AS (SELECT track_id, unnest(range(0, n - {width} + 1)) AS f FROM mx WHERE n >= {width}), bx AS (SELECT s.track_id, s.f, i.c, i.frame_idx - s.f AS x, i.v FROM st s JOIN im i ON i.track_id = s.track_id AND i.frame_idx >= s.f AND i.frame_idx < s.f + {width}), "
+        f"qs AS (SELECT track_id, f, {values} FROM bx GROUP BY ALL) SELECT track_id, f AS idx, {word} AS hash, false AS is_variation FROM qs"
+    )
+
+
+@query(_chromaprint_sql())
+def fp_chromaprint_small(spark, sf):
+    return P.hashes(_long(spark, sf), "chromaprint", CHROMA)
+
+
 def _align(kind):
     def run(spark, sf):
         df = frames(spark, sf).withColumn("values", F.transform("values", lambda x: F.abs(x)))
-        pairs = df.select("track_id").distinct().where("track_id < 9").select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("track1"), (F.col("track_id") + 1).alias("track2"))
+        next_ = df.select((F.col("track_id") - 1).alias("track_id")).distinct()
+        pairs = df.select("track_id").distinct().join(next_, "track_id").select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("track1"), (F.col("track_id") + 1).alias("track2"))
         order = Window.partitionBy("track_id").orderBy("frame_idx")
-        return A.align(pairs, df.withColumn("frame_idx", F.row_number().over(order)), kind, 20)
+        return A.align(pairs, df.withColumn("frame_idx", F.row_number().over(order)), kind)
 
     return run
 

@@ -7,19 +7,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import TICKS_PER_SECOND
+
 PACKET = 65_536
 
 
-def parse_wav(data: bytes) -> tuple[dict, np.ndarray]:
+def parse_wav(data) -> tuple[dict, np.ndarray]:
     """(format, samples as float32 rows of channels) of a RIFF file with 16- or 24-bit integers or 32-bit floats."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    data = memoryview(data)
+    if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"WAVE":
         raise ValueError("not a WAV file")
     at, fmt, body = 12, None, None
     while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        name, size = bytes(data[at : at + 4]), struct.unpack_from("<I", data, at + 4)[0]
         if name == b"fmt ":
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
             if kind == 0xFFFE and size >= 26:
@@ -52,10 +55,14 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.select(["path", "content"]).to_pylist():
-                fmt, values = parse_wav(row["content"])
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                fmt, values = parse_wav(content.as_buffer())
                 for k in range(0, len(values), PACKET):
-                    yield pa.RecordBatch.from_pylist([{"path": row["path"], **fmt, "block": k // PACKET, "values": values[k : k + PACKET].ravel().tolist()}], WAV_ARROW)
+                    own = pa.array(values[k : k + PACKET].ravel())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path]), *(pa.array([fmt[f.name]], f.type) for f in WAV_ARROW if f.name in fmt), pa.array([k // PACKET]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)],
+                        schema=WAV_ARROW,
+                    )
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
 
@@ -63,9 +70,9 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 WAV_ARROW = pa.schema([("path", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int32()), ("bit_depth", pa.int32()), ("format", pa.string()), ("block", pa.int64()), ("values", pa.list_(pa.float32()))])
 
 
-def blocks_to_samples(df: DataFrame) -> DataFrame:
-    """Packed blocks -> (track_id, channel, idx, value); track_id is a hash of the path."""
-    rows = df.select(F.xxhash64("path").alias("track_id"), "channels", "block", F.posexplode("values").alias("i", "value"))
+def blocks_to_samples(df: DataFrame, track: Column | None = None) -> DataFrame:
+    """Packed blocks -> (track_id, channel, idx, value); track_id is a hash of the path, or what is given."""
+    rows = df.select((F.xxhash64("path") if track is None else track).alias("track_id"), "channels", "block", F.posexplode("values").alias("i", "value"))
     return rows.select("track_id", (F.col("i") % F.col("channels")).alias("channel"), (F.col("block") * PACKET + F.floor(F.col("i") / F.col("channels"))).alias("idx"), "value")
 
 
@@ -124,11 +131,14 @@ def parse_peaks(data: bytes, channels: int) -> np.ndarray:
     return np.frombuffer(data, "<f4", offset=16).reshape(-1, channels, 2)
 
 
-def read_peaks(spark: SparkSession, path: str, channels: int) -> DataFrame:
+def read_peaks(spark: SparkSession, path: str, channels: int, modified: int | None = None) -> DataFrame:
+    """Peak files as rows. With a time of the source's last change, files written for another state of it are refused."""
     def run(batches):
         for batch in batches:
             for row in batch.select(["path", "content"]).to_pylist():
                 v = parse_peaks(row["content"], channels)
+                if modified is not None and struct.unpack_from("<q", row["content"], 8)[0] != modified:
+                    raise ValueError(f"{row['path']} belongs to another state of its source")
                 peak, channel = np.indices(v.shape[:2])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["path"]] * v[..., 0].size), pa.array(channel.ravel()), pa.array(peak.ravel()), pa.array(v[..., 0].ravel().astype(float)), pa.array(v[..., 1].ravel().astype(float))],
@@ -143,8 +153,81 @@ def read_batch_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=";", schema="pattern string, factor double")
 
 
-def read_project(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A project's tracks and matches from XML written by write_project()."""
-    from ..schemas import MATCHES, TRACKS
-
-    return spark.read.format("xml").option("rowTag", "track").schema(TRACKS).load(f"{path}/tracks"), spark.read.format("xml").option("rowTag", "match").schema(MATCHES).load(f"{path}/matches")
+def ticks_of_span(span: Column) -> Column:
+    """`[-][d.]hh:mm:ss[.fffffff]` as ticks."""
+    part = lambda k: F.coalesce(F.try_to_number(F.regexp_extract(span, r"^-?(?:(\d+)\.)?(\d+):(\d+):(\d+)(?:\.(\d+))?$", k), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
+    whole = ((part(1) * 24 + part(2)) * 60 + part(3)) * 60 + part(4)
+    fraction = F.rpad(F.regexp_extract(span, r"\.(\d+)$", 1), 7, "0").cast("long")
+    ticks = whole * TICKS_PER_SECOND + F.when(F.regexp_like(span, F.lit(r":\d+\.\d+$")), fraction).otherwise(0)
+    return F.when(F.startswith(span, F.lit("-")), -ticks).otherwise(ticks)
+
+
+PROJECT_VERSION = 2
+_WARP = "STRUCT<_from: BIGINT, _to: BIGINT>"
+PROJECT = (
+    "format INT, audiotracks STRUCT<track: ARRAY<STRUCT<_file: STRING, _name: STRING, _color: STRING, _length: STRING, _offset: STRING, _mute: BOOLEAN, _solo: BOOLEAN, _volume: DOUBLE, "
+    f"_balance: DOUBLE, _invertedphase: BOOLEAN, _locked: BOOLEAN, timewarps: STRUCT<timewarp: ARRAY<{_WARP}>>>>>, "
+    "matches STRUCT<match: ARRAY<STRUCT<_track1: INT, _track1time: STRING, _track2: INT, _track2time: STRING, _similarity: DOUBLE, _source: STRING>>>, mastervolume DOUBLE"
+)
+
+
+def read_project(spark: SparkSession, path: str, sources: DataFrame | None = None, allow_offline: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A project file: tracks, matches (by track_id, the place in the file), time warps and settings.
+
+    sources (file, channels, bit_depth, sample_rate) tells which files can be read: a track without its file is an error, or, if that is
+    allowed, a silent track named `(OFFLINE) ...`. Version 1 gives warps in bytes of the source, which become ticks; other versions than 1 and 2 are refused.
+    """
+    project = spark.read.format("xml").option("rowTag", "project").schema(PROJECT).load(path)
+    version = project.select("format").first()
+    if version is None or version[0] not in (1, PROJECT_VERSION):
+        raise ValueError(f"not a project of version 1 or {PROJECT_VERSION}")
+    rows = project.select(F.posexplode("audiotracks.track").alias("track_id", "t"))
+    tracks = rows.select(
+        F.col("track_id").cast("long").alias("track_id"), F.col("t._file").alias("file"), F.col("t._name").alias("name"), F.col("t._color").alias("color"), ticks_of_span(F.col("t._length")).alias("length_ticks"),
+        ticks_of_span(F.col("t._offset")).alias("offset_ticks"), F.col("t._mute").alias("mute"), F.col("t._solo").alias("solo"), F.col("t._volume").alias("volume"), F.col("t._balance").alias("balance"),
+        F.col("t._invertedphase").alias("inverted_phase"), F.coalesce("t._locked", F.lit(False)).alias("locked"),
+    )
+    warps = rows.select(F.col("track_id").cast("long").alias("track_id"), F.col("t._file").alias("file"), F.explode("t.timewarps.timewarp").alias("w")).select("track_id", "file", F.col("w._from").alias("from_t"), F.col("w._to").alias("to_t"))
+    if sources is not None:
+        tracks = tracks.join(sources.select("file", F.lit(True).alias("__there")), "file", "left")
+        lost = tracks.where("__there is null")
+        if not allow_offline and not lost.isEmpty():
+            raise FileNotFoundError(", ".join(r["file"] for r in lost.select("file").limit(5).collect()))
+        tracks = tracks.withColumn("name", F.when(F.col("__there").isNull(), F.concat(F.lit("(OFFLINE) "), "name")).otherwise(F.col("name"))).drop("__there")
+    if version[0] == 1 and not warps.isEmpty():
+        if sources is None:
+            raise ValueError("warps of version 1 need the sources' formats")
+        second = F.col("channels") * F.col("bit_depth") / 8 * F.col("sample_rate")
+        ticks = lambda c: F.rint(F.col(c) / second * TICKS_PER_SECOND).cast("long").alias(c)
+        warps = warps.join(sources, "file").select("track_id", ticks("from_t"), ticks("to_t"))
+    matches = project.select(F.explode("matches.match").alias("m")).select(
+        F.col("m._track1").cast("long").alias("track1"), F.col("m._track2").cast("long").alias("track2"), ticks_of_span(F.col("m._track1time")).alias("t1"), ticks_of_span(F.col("m._track2time")).alias("t2"),
+        F.col("m._similarity").alias("similarity"), F.col("m._source").alias("source"),
+    )
+    return tracks, matches, warps.select("track_id", "from_t", "to_t"), project.select(F.col("format").alias("version"), F.col("mastervolume").alias("master_volume"))
+
+
+def join_files(spark: SparkSession, paths: list[str], chunk: int = 1 << 20) -> DataFrame:
+    """Several files as one stream of bytes, in the order given: (pos, content), a row per chunk of a file."""
+    from pyspark.sql.window import Window
+
+    names = spark.createDataFrame([(k, p.rsplit("/", 1)[-1]) for k, p in enumerate(paths)], "k int, name string")
+    files = spark.read.format("binaryFile").load(paths).withColumn("name", F.element_at(F.split("path", "/"), -1)).join(names, "name")
+    # one row per file of the list
+    starts = files.select("k", "length").withColumn("start", F.sum("length").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).select("k", "start")
+    rows = files.join(starts, "k").where("length > 0").select("start", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))).alias("at"))
+    return rows.select((F.col("start") + F.col("at")).alias("pos"), F.substring("content", (F.col("at") + 1).cast("int"), F.lit(chunk)).alias("content"))
+
+
+def read_span(joined: DataFrame, start: int, length: int) -> DataFrame:
+    """The bytes from `start` on of joined files, chunk by chunk: (pos, content)."""
+    size = F.octet_length("content")
+    own = joined.where((F.col("pos") < start + length) & (F.col("pos") + size > start))
+    low = F.greatest(F.lit(start).cast("long"), F.col("pos"))
+    high = F.least(F.lit(start + length).cast("long"), F.col("pos") + size)
+    return own.select(low.alias("pos"), F.substring("content", (low - F.col("pos") + 1).cast("int"), (high - low).cast("int")).alias("content"))
+
+
+def to_arrays(df: DataFrame) -> DataFrame:
+    """Signals into memory: an array per track, the way back from from_arrays()."""
+    return df.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v")).select("track_id", F.col("v.value").alias("values"))

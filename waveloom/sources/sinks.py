@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import TICKS_PER_SECOND
+from ..operators.signal import multitrack
 from .readers import PEAK_MAGIC, PEAK_VERSION
 
 
@@ -40,22 +45,64 @@ def encode_wav(df: DataFrame, rate: int, bit_depth: int = 32) -> DataFrame:
     return df.groupBy("track_id").applyInPandas(run, "track_id long, content binary")
 
 
-def write_wav(df: DataFrame, folder: str, rate: int, bit_depth: int = 32) -> None:
-    """A file per track, `<track_id>.wav`, through the file system of the folder: a part first, then renamed. Files go through the driver's
-    Hadoop client one at a time, so any store that Spark can write takes them."""
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """(name, content) -> files in a folder, written by the tasks that hold them: each first under a name of its own, then renamed, so a
+    task that is run again leaves the same files. Returns (name, size)."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        store.create_dir(base)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, content in zip(names, batch.column(1)):
+                data = content.as_buffer()
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, f"{base}/{name}")
+                sizes.append(data.size)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
+
+    out = df.select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "name string, size long")
+    return df.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
+def write_wav(df: DataFrame, folder: str, rate: int, bit_depth: int = 32) -> DataFrame:
+    """A file per track, `<track_id>.wav`."""
+    return write_files(encode_wav(df, rate, bit_depth).select(F.concat(F.col("track_id").cast("string"), F.lit(".wav")).alias("name"), "content"), folder)
+
+
+def write_peaks(peaks: DataFrame, folder: str, modified: int = 0) -> DataFrame:
+    """(track_id, channel, peak, low, high) -> a peak file per track, `<track_id>.peaks`."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        low, high = (part.pivot(index="peak", columns="channel", values=c).sort_index().to_numpy() for c in ("low", "high"))
+        return pd.DataFrame({"name": [f"{part['track_id'].iloc[0]}.peaks"], "content": [peak_bytes(low, high, modified)]})
+
+    return write_files(peaks.groupBy("track_id").applyInPandas(run, "name string, content binary"), folder)
+
+
+def proxies(df: DataFrame, files: DataFrame, folder: str, rate: int) -> DataFrame:
+    """Decoded copies of sources, made once: files (track_id, path, size, modified) and their samples -> (track_id, name, made). A copy that the
+    folder holds already, under the name that the source's path, size and time give, is not made again."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for row in encode_wav(df, rate, bit_depth).toLocalIterator():
-        final = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['track_id']}.wav")
-        part = final.suffix(".part")
-        fs = final.getFileSystem(conf)
-        out = fs.create(part, True)
-        try:
-            out.write(bytes(row["content"]))
-        finally:
-            out.close()
-        fs.delete(final, False)
-        fs.rename(part, final)
+    named = files.select("track_id", proxy_name(F.col("path"), F.col("size").cast("string"), F.col("modified").cast("string")).alias("name"))
+    try:
+        there = [r["name"] for r in spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()]
+    except AnalysisException:  # no copy was ever made
+        there = []
+    known = spark.createDataFrame([(n,) for n in there], "name string")
+    missing = named.join(known, "name", "left_anti")
+    contents = encode_wav(df.join(missing.select("track_id"), "track_id", "left_semi"), rate).join(missing, "track_id")
+    made = write_files(contents.select("name", "content"), folder)
+    return named.join(made.select("name", F.lit(True).alias("made")), "name", "left").select("track_id", "name", F.coalesce("made", F.lit(False)).alias("made"))
+
+
+def render(df: DataFrame, tracks: DataFrame, folder: str, rate: int, bit_depth: int = 32) -> DataFrame:
+    """The mix of a project as one file, `0.wav`."""
+    return write_wav(multitrack(df, tracks).withColumn("track_id", F.lit(0).cast("long")), folder, rate, bit_depth)
 
 
 def proxy_name(path: Column, size: Column, modified: Column) -> Column:
@@ -83,9 +130,50 @@ def write_matches(matches: DataFrame, tracks: DataFrame, path: str) -> None:
     match_rows(matches, tracks).write.csv(path, sep=";", header=True)
 
 
-def write_project(tracks: DataFrame, matches: DataFrame, path: str) -> None:
-    tracks.write.format("xml").option("rootTag", "tracks").option("rowTag", "track").save(f"{path}/tracks")
-    matches.write.format("xml").option("rootTag", "matches").option("rowTag", "match").save(f"{path}/matches")
+def span_of_ticks(ticks: Column) -> Column:
+    """Ticks as `[-][d.]hh:mm:ss[.fffffff]`."""
+    t = F.abs(ticks)
+    whole, fraction = (t / TICKS_PER_SECOND).cast("long"), t % TICKS_PER_SECOND
+    part = lambda by, of: F.lpad(((whole / by).cast("long") % of).cast("string"), 2, "0")
+    days = (whole / 86_400).cast("long")
+    clock = F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
+    return F.concat(
+        F.when(ticks < 0, "-").otherwise(""), F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise(""), clock,
+        F.when(fraction > 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 7, "0"))).otherwise(""),
+    )
+
+
+def _attribute(name: str, value: Column) -> Column:
+    text = value.cast("string")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return F.coalesce(F.concat(F.lit(f' {name}="'), text, F.lit('"')), F.lit(""))
+
+
+def write_project(tracks: DataFrame, matches: DataFrame, path: str, warps: DataFrame | None = None, master_volume: float = 1.0, version: int = 2) -> None:
+    """A project file: tracks in the order of their ids, with time warps, matches by the tracks' places, and the master volume. A project's
+    lists are short, so the file is one row."""
+    spark = tracks.sparkSession
+    warps = spark.createDataFrame([], "track_id long, from_t long, to_t long") if warps is None else warps
+    warp = F.concat(F.lit("<timewarp"), _attribute("from", F.col("from_t")), _attribute("to", F.col("to_t")), F.lit("/>"))
+    inner = warps.groupBy("track_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from_t", "to_t", warp.alias("x")))), lambda x: x["x"]), "").alias("w"))
+    column = lambda name, other: F.col(name) if name in tracks.columns else other
+    attributes = {
+        "file": column("file", F.col("name")), "name": F.col("name"), "color": column("color", F.lit(None).cast("string")), "length": span_of_ticks(F.col("length_ticks")), "offset": span_of_ticks(F.col("offset_ticks")),
+        "mute": F.col("mute"), "solo": F.col("solo"), "volume": F.col("volume"), "balance": F.col("balance"), "invertedphase": F.col("inverted_phase"), "locked": F.col("locked"),
+    }
+    track = F.concat(F.lit("<track"), *(_attribute(k, v) for k, v in attributes.items()), F.lit("><timewarps>"), F.coalesce("w", F.lit("")), F.lit("</timewarps></track>"))
+    listed = tracks.join(inner, "track_id", "left").agg(F.sort_array(F.collect_list(F.struct("track_id", track.alias("x")))).alias("t"))
+    place = tracks.select("track_id", (F.row_number().over(Window.orderBy("track_id")) - 1).alias("place"))
+    at = lambda k: place.select(F.col("track_id").alias(f"track{k}"), F.col("place").alias(f"place{k}"))
+    attributes = {"track1": F.col("place1"), "track1time": span_of_ticks(F.col("t1")), "track2": F.col("place2"), "track2time": span_of_ticks(F.col("t2")), "similarity": F.col("similarity"), "source": F.col("source")}
+    match = F.concat(F.lit("<match"), *(_attribute(k, v) for k, v in attributes.items()), F.lit("/>"))
+    found = matches.join(at(1), "track1").join(at(2), "track2").agg(F.sort_array(F.collect_list(F.struct("place1", "place2", "t1", "t2", match.alias("x")))).alias("m"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["x"]), "")
+    text = F.concat(
+        F.lit(f"<project><format>{version}</format><audiotracks>"), joined(F.col("t")), F.lit("</audiotracks><matches>"), joined(F.col("m")), F.lit(f"</matches><mastervolume>{master_volume}</mastervolume></project>")
+    )
+    listed.crossJoin(F.broadcast(found)).select(text.alias("value")).coalesce(1).write.text(path)
 
 
 def write_sync(tracks: DataFrame, matches: DataFrame, path: str) -> None:
@@ -105,8 +193,6 @@ EDL_COLUMNS = (
 
 def edl_lines(tracks: DataFrame) -> DataFrame:
     """One line per audible track of 30 fields; times in milliseconds."""
-    from pyspark.sql.window import Window
-
     ms = lambda c: F.format_string("%.4f", F.col(c) / (TICKS_PER_SECOND / 1000))
     n = F.row_number().over(Window.orderBy("track_id"))
     fields = {
