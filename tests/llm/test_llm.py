@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from waveloom.llm import exact_dedup, langid, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, secrets, token_ids, token_store
 from waveloom.llm.common import words
@@ -75,7 +78,7 @@ def table(df):
 def test_token_store(spark, docs, empty, tmp_path):
     token_store.write(docs, str(tmp_path / "s"))
     got = sorted(table(token_store.read(spark, str(tmp_path / "s"))), key=lambda r: r["start"])
-    t = token_ids.encoder(token_ids.default_path()).tokenizer
+    t = Tokenizer.from_file(token_ids.default_path())
     start = 0
     for (doc_id, text, *_), r in zip(sorted(rows(), key=lambda r: (r[0], r[1] or "")), got, strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -89,7 +92,10 @@ def test_token_store(spark, docs, empty, tmp_path):
 def test_elias_fano(values):
     code = token_store.EliasFano.encode(np.array(values))
     assert code.decode().tolist() == values
-    assert [code[k] for k in range(0, len(values), 13)] == values[::13]
+    assert [code[k] for k in range(0, len(values), 1013)] == values[::1013]
+    assert code.values(np.arange(len(values))).tolist() == values
+    # besides the code only one 32-bit rank is held for 512 bits
+    assert 16 * code._rank.nbytes <= 8 * len(code.high) + 64 * 8
     if len(values) > 1000:
         bits = 8 * (len(code.low) + len(code.high)) / len(values)
         assert bits < 2 + np.log2(values[-1] / len(values)) + 1
@@ -105,11 +111,19 @@ def test_segment_gives_documents():
         token_store.Segment.open(b"x" * 64)
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "\n", "\n\na", "a\nb", "a \nb", "a\n b", "a \n b", "it's, that's. 3,4.", "word.,", ",", ". ,", "x y", "\x1c a", "a b c", "…, é, ŋ.", "\x00, a\x00.", "<|endoftext|>", "É. İ, ǅ."])
-def test_cached_pieces_give_the_librarys_ids(text):
-    e = token_ids.encoder(token_ids.default_path())
-    for t in (text, text + " end", "x" + text, text * 3):
-        assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+ODD = ["a  b", " a", "a ", "\n", "\n\na", "a\nb", "a \nb", "a\n b", "a \n b", "it's, that's. 3,4.", "word.,", ",", ". ,", "x y", "\x1c a", "a b c", "…, é, ŋ.", "\x00, a\x00.", "<|endoftext|>", "É. İ, ǅ.", "", "a…, b’s", "×, ÷. ª.", "\u3000a \u200bb"]
+
+
+def test_pieces_give_the_librarys_ids():
+    """Against the library's plain call, special tokens included; one slice for all texts, and each text by itself."""
+    fresh, e = Tokenizer.from_file(token_ids.default_path()), token_ids.encoder(token_ids.default_path())
+    rng = np.random.default_rng(4)
+    letters = [*"ab .,'\n st!?-é’ñ中1²\t\x1c\x00\xa0ªÀ_#", "<|endoftext|>", " 's", "  ", "\n\n"]
+    texts = [t for x in ODD for t in (x, x + " end", "x" + x, x * 3)] + ["".join(rng.choice(letters, n)) for n in rng.integers(0, 14, 6000)] + [english(400, 1), "x" * 100_000, None]
+    expected = [np.array(fresh.encode(t or "", add_special_tokens=False).ids, e.dtype).tobytes() for t in texts]
+    assert e.encode_many(pa.array(texts, pa.string())) == expected
+    assert [e.encode(t) for t in texts[:200]] == expected[:200]
+    assert e.encode_many(pa.array([], pa.string())) == []
 
 
 # ---- 2 near duplicates
@@ -160,6 +174,19 @@ def test_a_large_group_of_near_copies(spark):
     assert [got[k] for k in range(400)] == n
 
 
+def test_a_shingle_in_many_blocks(spark, monkeypatch):
+    """Long postings are paired by chunks: each pair once, with sizes that fit, as without chunks."""
+    rows = [(1, k, 4 + k % 3) for k in range(600)] + [(h, k % 50, 10) for h in range(2, 12) for k in range(0, 100, h)]
+    df = spark.createDataFrame(rows, "h long, block long, n int")
+    common = collections.Counter(p for h in range(2, 12) for p in itertools.combinations(sorted({k % 50 for k in range(0, 100, h)}), 2))
+    common.update((a, b) for a, b in itertools.combinations(range(600), 2) if 5 * min(4 + a % 3, 4 + b % 3) >= 4 * max(4 + a % 3, 4 + b % 3))
+    expected = {p for p, n in common.items() if n >= near_dup.COMMON or max(p) >= 50 or {4 + p[0] % 3, 4 + p[1] % 3} != {4, 6}}
+    for long in (64, 100_000):
+        monkeypatch.setattr(near_dup, "LONG", long)
+        got = [tuple(r) for r in near_dup.block_pairs(df, 0.8).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_kept_near_copies(docs):
     kept = near_dup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -479,6 +506,34 @@ def test_phrases_are_those_of_a_greedy_parse():
     assert total[:, 0].tolist() == [greedy(lower(t), lower(sample)) for t in texts]
 
 
+def folded(t):
+    return "".join(c.lower() if c.isalpha() else " " for c in t)
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 26, 0])
+def test_long_texts_are_parsed_as_one(table_bytes, monkeypatch):
+    """Texts of many lanes, also those that never come together with a parse from elsewhere, and wide alphabets."""
+    monkeypatch.setattr(langid, "TABLE_BYTES", table_bytes)
+    wide = "".join(chr(0x4E00 + k) for k in np.random.default_rng(6).integers(0, 3000, 2000))
+    samples = (("de", german(300, 8)), ("en", english(300, 7) + " " + "a" * 61), ("zh", wide))
+    trained = langid.Model(samples)
+    assert trained.table is None or table_bytes
+    texts = ["a" * 20_011, english(4000, 9), "ab" * 6000 + german(2000, 3), wide[:50] * 200, "", "…", english(3, 1), "a" * 4096, "a" * 4097]
+    total, lengths, has_letter = langid.phrases(texts, trained)
+    for j, (_, sample) in enumerate(samples):
+        assert total[:, j].tolist() == [greedy(folded(t), folded(sample)) for t in texts]
+    assert has_letter.tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_a_text_of_many_million_characters():
+    trained = langid.model((("de", german(300, 8)), ("en", english(300, 7))))
+    block = english(2000, 5) + " "
+    text = block * (20_000_000 // len(block))
+    total, lengths, _ = langid.phrases([text], trained)
+    one, many = (langid.phrases([block * n], trained)[0][0, 1] for n in (1, 5))
+    assert lengths[0] == len(text) and abs(total[0, 1] / (20_000_000 // len(block)) - (many - one) / 4) < 0.01 * one
+
+
 def test_language(docs, empty):
     got = table(langid.identified(docs))
     truth = {r[0]: r for r in rows()}
@@ -504,7 +559,7 @@ def test_held_out_rows_teach_nothing(docs):
 
 
 def check_pieces(pieces, window=2048):
-    t = token_ids.encoder(token_ids.default_path()).tokenizer
+    t = Tokenizer.from_file(token_ids.default_path())
     ids = {(r[0], zlib.crc32((r[1] or "").encode())): [*t.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows()}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
@@ -540,12 +595,24 @@ def test_cuts_are_the_cheapest():
             continue
         at, pen = [0, *places.tolist()], [0, *cost.tolist()]
         pad = lambda n: 0 if n & (n - 1) == 0 else 16 - n
-        best = [0.0] + [np.inf] * len(places)
-        for k in range(1, len(at)):
-            best[k] = min(best[i] + pad(at[k] - at[i]) for i in range(k) if at[k] - at[i] <= 16) + pen[k]
-        cuts = packing.choose(places, cost, 16)
-        got = sum(pad(b - a) for a, b in zip(cuts, cuts[1:])) + sum(pen[at.index(c)] for c in cuts[1:])
-        assert np.isclose(got, best[-1])
+        for sequence in (0.0, 3.0, 64.0):
+            best = [0.0] + [np.inf] * len(places)
+            for k in range(1, len(at)):
+                best[k] = min(best[i] + pad(at[k] - at[i]) for i in range(k) if at[k] - at[i] <= 16) + pen[k] + sequence
+            cuts = packing.choose(places, cost, 16, sequence)
+            got = sum(pad(b - a) + sequence for a, b in zip(cuts, cuts[1:])) + sum(pen[at.index(c)] for c in cuts[1:])
+            assert np.isclose(got, best[-1])
+
+
+def test_few_sequences_and_little_padding():
+    """Within a tenth of the fewest sequences, and padding below a hundredth, with a sentence end in 20 ids as in prose."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 20, 400_000)
+    ends_sentence = np.arange(20) == 0
+    places, cost = packing.possible_cuts(ids, np.unique(np.append(rng.integers(1, len(ids), 300), len(ids))), ends_sentence)
+    sizes = np.diff(packing.choose(places, cost))
+    assert sizes.max() <= 2048 and len(sizes) <= 1.1 * len(ids) / 2048
+    assert sum(2048 - n for n in sizes.tolist() if n & (n - 1)) < 0.01 * len(ids)
 
 
 # ---- pipeline

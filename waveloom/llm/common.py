@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -17,21 +22,58 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+def slices(batches, column: int, rows: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a slice has at most `rows` rows and about `size` bytes of text; a longer text is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+_HELD: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold(owner: str, forget: Callable[[], None]) -> None:
+    """A Python worker remembers things for one operator at a time: when it is dealt another one's work, the former's memory is given back."""
+    if _HELD and _HELD[0][0] == owner:
+        return
+    for _, gone in _HELD:
+        gone()
+    _HELD[:] = [(owner, forget)]
+    pa.default_memory_pool().release_unused()
+
+
+class Remembered(dict):
+    """A memory of bounded size: when `most` keys are held they become the former generation, and only those asked for again live on.
+
+    Keys longer than LONGEST are made anew each time, so bytes are bounded as well.
+    """
 
+    LONGEST = 64
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.former = make, most, {}
 
+    def __missing__(self, key):
+        found = self.former.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.LONGEST:
+                return found
+        if len(self) >= self.most:
+            self.former = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def forget(self) -> None:
+        self.clear()
+        self.former = {}
 
 
 def words(text: str) -> list[str]:

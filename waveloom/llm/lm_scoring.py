@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import Remembered, hold, words
 
 #: Least number of words that smoothing leaves room for, weight of the bigram estimate, mass added to every word.
 VOCABULARY, LAMBDA, ADDED = 1 << 18, 0.7, 0.5
@@ -29,17 +29,8 @@ START = 0
 CHUNK, CHUNKS_PER_SHARD = 1 << 22, 4
 
 
-class Ids(dict):
-    """Word -> id of 63 bits; never 0, which is START."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        self[word] = found = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1) or 1
-        return found
-
-
-IDS = Ids()
+#: Word -> id of 63 bits; never 0, which is START.
+IDS = Remembered(lambda word: (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1) or 1, 1 << 18)
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -58,6 +49,7 @@ class Chunk:
     """The tokens of some texts as places in their sorted distinct words (START is the first) and bigrams."""
 
     def __init__(self, texts: pa.Table, good: set[int]):
+        hold("lm_scoring", IDS.forget)
         found = [word_ids(t.as_py()) for t in texts.column("text")]
         self.sizes = np.array([len(f) for f in found], np.int64)
         self.target = np.array([d in good for d in texts.column("doc_id").to_pylist()], bool)

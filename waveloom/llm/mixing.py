@@ -5,7 +5,8 @@ parts are rounded by the pivotal method (Deville and Tille 1998; Srinivasan 2001
 words: two open documents of sizes a and b meet, and a random transfer of words makes one of them integral while
 the expected copies of both and their common sum of words stay as they are. Blocks of at most about BLOCK open documents are
 rounded in parallel; what is left open, one document a block, meets again a level higher, until each
-source has one open document, which is rounded to the nearer side. A source so misses its target by half a document at most.
+source has one open document, which is rounded to the nearer side. What a source then lacks or has too much, half a document at most, is
+made up for by documents of about that size: one of each source a round is taken once more or once less.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 BLOCK = 64
+#: Rounds in which a source's rest is made up for.
+ROUNDS = 3
 #: Weights by rank of the source, repeating, and the most copies.
 WEIGHTS, MOST = (5, 2, 1), 3
 SEED = 20
@@ -90,8 +93,7 @@ def decide(rows: DataFrame) -> DataFrame:
     """rows(group, key long, size > 0, p in (0, 1)) -> (key, copy 0 or 1). Keys are unique.
 
     Each level groups open rows of one group into blocks by a hash of the key, so a group with a third of all rows is
-    spread over its blocks; the levels are as many as the largest group needs. Large documents meet first, so that small
-    ones are left to take up what remains.
+    spread over its blocks; the levels are as many as the largest group needs.
     """
     decided, level = None, 0
     while True:
@@ -116,6 +118,22 @@ def decide(rows: DataFrame) -> DataFrame:
         level += 1
 
 
+def make_up(keyed: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(key, group, size, p) and (key, copy) -> (key, copy), where each round the document of a group that brings its sum nearest to the
+    sum of size * p is turned, if that helps. A round is two aggregates to a row per group; ties go to the least key."""
+    d = drawn.withColumnRenamed("key", "__k")
+    state = materialize(keyed.join(d, F.col("key") == F.col("__k")).drop("__k"), "mix-drawn")
+    for _ in range(ROUNDS):
+        rests = state.groupBy("group").agg(F.sum(F.col("size") * (F.col("p") - F.col("copy"))).alias("rest")).withColumnRenamed("group", "__g")
+        rests = materialize(rests, "mix-rests")
+        turned = F.abs(F.col("rest") - F.col("size") * (1 - 2 * F.col("copy")))
+        choices = state.join(rests, F.col("group").eqNullSafe(F.col("__g"))).where(turned < F.abs("rest"))
+        turns = choices.groupBy("group").agg(F.min(F.struct(turned.alias("left"), "key")).alias("best")).select(F.col("best.key").alias("__k"))
+        state = state.join(turns, F.col("key") == F.col("__k"), "left")
+        state = materialize(state.withColumn("copy", F.when(F.col("__k").isNull(), F.col("copy")).otherwise(1 - F.col("copy"))).drop("__k"), "mix-drawn")
+    return state.select("key", "copy")
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """One row per distinct (doc_id, source, size): its rows, source_size, target and copies each row is taken.
 
@@ -136,7 +154,8 @@ def copies(docs: DataFrame) -> DataFrame:
     # a clash of 64-bit keys would join two documents' draws, so units with one key are rounded as one
     keyed = units.where((F.col("size") > 0) & (F.col("part") > EPSILON))
     keyed = keyed.groupBy("key").agg(F.min("source").alias("group"), F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.first("part").alias("p"))
-    drawn = decide(keyed)
+    keyed = materialize(keyed, "mix-keyed")
+    drawn = make_up(keyed, decide(keyed))
     drawn = drawn.withColumnRenamed("key", "__k")
     out = units.join(drawn, F.col("key") == F.col("__k"), "left")
     times = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("copy", F.lit(0))).otherwise(F.lit(0))
@@ -144,13 +163,15 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken. Null and empty texts have size 0 and are not taken; repeated rows keep
+    a row each, all taken alike; an empty table gives none; other columns are ignored. Whole texts are counted."""
     out = copies(docs).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("r")).drop("r")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents, each repeated as often as it is taken."""
+    """The documents, each repeated as often as it is taken: 0 to 3 times, all columns kept. Null and empty texts go; a null source is a source
+    of its own; rows that repeat doc_id, source and size are taken alike; an empty table stays empty."""
     times = copies(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").where("copies > 0")
     rows = docs.withColumn("__words", size_of(F.col("text")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))

@@ -26,28 +26,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, words
+from ..operators.graph import components
+from .common import Remembered, hold, materialize, slices, text_of, words
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a text, how many are compared at a time, and the posterior probability below which a pair goes.
 HASHES, STEP, TOLERANCE = 64, 8, 1e-8
 #: Nodes of a block, about; buckets of the frequency sketch; shingles that two prefixes must have in common.
 BLOCK, SKETCH_BITS, COMMON = 256, 18, 6
+#: Postings of a shingle beyond which they are paired by several tasks.
+LONG = 2048
 #: The frequency class from which a shingle counts as very frequent: seven times the mean of the sketch.
 FREQUENT = 12
 #: Fixed multipliers, odd, derived from the golden ratio's sequence.
 _MIX = [((2 * k + 1) * 0x9E3779B97F4A7C15 ^ (k * 0xD1B54A32D192ED03)) % (1 << 64) | 1 for k in range(HASHES + WORDS)]
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-_HASH = _Words()
+_HASH = Remembered(lambda word: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")), 1 << 17)
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -132,12 +127,6 @@ def bayes_survivors(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.nd
     return alive
 
 
-def _slices(batches, rows: int):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _complete_groups(batches, keys: tuple[int, ...]):
     """Tables of complete groups from batches that are sorted by the key columns."""
     held: list[pa.RecordBatch] = []
@@ -170,7 +159,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in _slices(batches, 1000):
+        hold("near_dup", _HASH.forget)
+        for batch in slices(batches, 0, 1000):
             flat, _ = shingles(batch.column(0).to_pylist(), n)
             total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
@@ -195,8 +185,9 @@ def features(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     multipliers = (np.array(_MIX[:HASHES], np.uint64) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
     def run(batches):
+        hold("near_dup", _HASH.forget)
         rank = ranks.value
-        for batch in _slices(batches, 1000):
+        for batch in slices(batches, 2, 1000):
             sets = shingle_sets(batch.column(2).to_pylist(), n)
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
@@ -239,39 +230,112 @@ def features(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     return materialize(rows.mapInArrow(run, FEATURES), "near-features")
 
 
+def _lists(batches):
+    """(shingle, None) for lists of more than LONG postings, which are not held, and (None, table) for complete lists besides, from batches sorted by shingle."""
+    held: list[pa.RecordBatch] = []
+    rows, skipped = 0, None
+    for batch in batches:
+        h = batch.column(0).to_numpy()
+        start = int(np.argmax(h != skipped)) if skipped is not None and (h != skipped).any() else len(h) if skipped is not None else 0
+        batch, h = batch.slice(start), h[start:]
+        if not len(h):
+            continue
+        skipped = None
+        last = int(np.searchsorted(h, h[-1]))
+        if held and (last or held[-1].column(0)[-1].as_py() != h[0]):
+            yield None, pa.Table.from_batches([*held, batch.slice(0, last)])
+            held, rows = [], 0
+        elif last:
+            yield None, pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+        rows += len(h) - last
+        if rows > LONG:
+            skipped = int(h[-1])
+            held, rows = [], 0
+            yield skipped, None
+    if held:
+        yield None, pa.Table.from_batches(held)
+
+
+def _paired(h, own, c, b, n, threshold: float):
+    """Blocks b of each list h, sorted, whose sizes n fit, as pairs: record batches (a, b, few). Where a list is not one chunk's own, only blocks
+    of two chunks c make a pair."""
+    enough = next(k for k in range(1, 1000) if least_overlap(k, threshold) >= COMMON)
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])]))
+    first = np.flatnonzero(np.concatenate([[True], h[new[1:]] != h[new[:-1]]]))
+    b, c, own, low, high = b[new], c[new], own[new], np.minimum.reduceat(n, new), np.maximum.reduceat(n, new)
+    size = np.diff(np.concatenate([first, [len(b)]]))
+    for k in np.unique(size[size > 1]).tolist():
+        lists = first[size == k]
+        per = max(1, (1 << 18) // (k * k))
+        for at in range(0, len(lists), per):
+            places = lists[at : at + per, None] + np.arange(k)
+            for x in range(0, k, 256):  # a long list is paired by rows, so memory stays bounded
+                i, j = np.triu_indices(k, 1) if k <= 512 else (np.repeat(np.arange(x, min(x + 256, k)), k), np.tile(np.arange(k), min(256, k - x)))
+                keep = i < j
+                p, q = places[:, i[keep]].ravel(), places[:, j[keep]].ravel()
+                fits = (own[p] | (c[p] != c[q])) & (high[p] >= threshold * low[q] - 1e-9) & (high[q] >= threshold * low[p] - 1e-9)
+                p, q = p[fits], q[fits]
+                few = np.minimum(low[p], low[q]) < enough
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b[p], b[q])), pa.array(np.maximum(b[p], b[q])), pa.array(few)], ["a", "b", "few"])
+                if k <= 512:
+                    break
+
+
 def block_pairs(postings: DataFrame, threshold: float) -> DataFrame:
     """(h, block, n) -> (a, b), a < b: the blocks whose prefixes meet in COMMON shingles at sizes that fit, each pair once. One shingle
-    will do if a node of either needs no more."""
+    will do if a node of either needs no more.
 
-    def run(batches):
-        for table in _complete_groups(batches, (0,)):
-            h, b, n = (table.column(k).to_numpy() for k in (0, 1, 2))
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])]))
-            h, b, low, high = h[new], b[new], np.minimum.reduceat(n, new), np.maximum.reduceat(n, new)
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.concatenate([first, [len(h)]]))
-            for k in np.unique(size[size > 1]).tolist():
-                lists = first[size == k]
-                per = max(1, (1 << 18) // (k * k))
-                for at in range(0, len(lists), per):
-                    places = lists[at : at + per, None] + np.arange(k)
-                    for x in range(0, k, 512):  # a long list is paired by rows, so memory stays bounded
-                        i, j = np.triu_indices(k, 1) if k <= 512 else (np.repeat(np.arange(x, min(x + 512, k)), k), np.tile(np.arange(k), min(512, k - x)))
-                        keep = i < j
-                        p, q = places[:, i[keep]].ravel(), places[:, j[keep]].ravel()
-                        fits = (high[p] >= threshold * low[q] - 1e-9) & (high[q] >= threshold * low[p] - 1e-9)
-                        p, q = p[fits], q[fits]
-                        few = np.minimum(low[p], low[q]) < enough
-                        yield pa.RecordBatch.from_arrays([pa.array(b[p]), pa.array(b[q]), pa.array(few)], ["a", "b", "few"])
-                        if k <= 512:
-                            break
-
-    enough = next(n for n in range(1, 1000) if least_overlap(n, threshold) >= COMMON)
-    rows = postings.select("h", "block", "n").repartition("h").sortWithinPartitions("h", "block").mapInArrow(run, "a long, b long, few boolean")
-    met = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("few").alias("few"))
+    Postings are dealt by shingle. A list of more than LONG postings is only named there. Such lists, if there are any, are cut into chunks of about LONG
+    by a hash of the block, and each two chunks are dealt to a task of their own, so no task pairs more than about 2 * LONG blocks of a shingle.
+    """
+    pair = "a long, b long, few boolean"
+
+    def short(batches):
+        for name, table in _lists(batches):
+            if name is None:
+                h, b, n = (table.column(k).to_numpy() for k in range(3))
+                keys, at, count = np.unique(h, return_index=True, return_counts=True)
+                long = keys[count > LONG]
+                kept = np.repeat(count <= LONG, count)
+                h, b, n = h[kept], b[kept], n[kept]
+                if len(h):
+                    yield from _paired(h, np.ones(len(h), bool), np.zeros(len(h), np.int32), b, n, threshold)
+            else:
+                long = np.array([name])
+            if len(long):
+                yield pa.RecordBatch.from_arrays([pa.array(long, pa.int64()), pa.nulls(len(long), pa.int64()), pa.nulls(len(long), pa.bool_())], ["a", "b", "few"])
+
+    def long(batches):
+        for table in _complete_groups(batches, (0, 1, 2)):
+            h, u, v, c, b, n = (table.column(k).to_numpy() for k in range(6))
+            yield from _paired(_runs(h, u, v), u == v, c, b, n, threshold)
+
+    rows = postings.select("h", "block", "n").repartition("h").sortWithinPartitions("h", "block").mapInArrow(short, pair)
+    met = materialize(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("few").alias("few")), "near-met")
+    named = met.where("b is null").select(F.col("a").alias("h"))
+    met = met.where("b is not null")
+    if not named.isEmpty():
+        lists = postings.join(named, "h").groupBy("h", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        lists = materialize(lists, "near-lists")
+        parts = lists.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LONG).cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")
+        cut = lists.join(parts, "h").withColumns({"c": own, "x": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+        cut = cut.select("h", F.least("c", "x").alias("u"), F.greatest("c", "x").alias("v"), "c", "block", F.explode(F.array("low", "high")).alias("n"))
+        more = cut.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "block").mapInArrow(long, pair)
+        more = more.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("few").alias("few"))
+        met = met.unionByName(more).groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("few").alias("few"))
     return met.where((F.col("k") >= COMMON) | F.col("few")).select("a", "b")
 
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """A number for each run of rows with equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
 def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of both blocks of each pair, sorted by pair; side 1 for the second block."""
     sides = F.when(F.col("a") == F.col("b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
@@ -396,24 +460,6 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("a", "b", "side", "id", "copies", "items").mapInArrow(run, "id string, links long, root string")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) -> (node, root): the least node of each component. Stars alternate until nothing changes."""
-    edges = materialize(edges.where("u <> v").distinct(), "near-edges")
-    known = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # now v < u: each node goes to the least of its smaller neighbours, and so do these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.where("u <> v").distinct(), "near-stars")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == known or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        known = state
-
-
 def classes_by_text(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """near_classes() with the hash of each text: doc_id, id, class_id, n_links."""
     rows = features(docs, n, threshold)
@@ -431,7 +477,8 @@ def classes_by_text(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     wanted = live.select("id").distinct().join(nodes.select("id", "rep", "copies"), "id")
 
     def collect_sets(batches):
-        for batch in _slices(batches, 1000):
+        hold("near_dup", _HASH.forget)
+        for batch in slices(batches, 2, 1000):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(shingle_sets(batch.column(2).to_pylist(), n))], ["id", "copies", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of().cast("binary")).alias("__id"), text_of().alias("__text"))

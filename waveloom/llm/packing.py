@@ -3,7 +3,7 @@
 Documents, in ascending doc_id order, form one stream of ids. A window (a training sequence) is a run of the stream
 between two cuts, at most `window` ids long. Cuts may stand at document ends (free), at sentence ends (a truncation
 penalty) and, in stretches without either, at every `stride`-th id (a larger penalty). A window shorter than
-`window` is padded, unless its length is a power of two. best(j) = penalty(j) + min over i of best(i) + padding(j - i);
+`window` is padded, unless its length is a power of two. best(j) = penalty(j) + cost of a sequence + min over i of best(i) + padding(j - i);
 as padding is window - (j - i), the minimum of best(i) + i over the last `window` ids is kept in a monotone queue,
 and the powers of two are looked up, so the work is linear in the number of possible cuts.
 """
@@ -11,17 +11,18 @@ and the powers of two are looked up, so the work is linear in the number of poss
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .token_ids import default_path, encoder, sentence_ends
+from .common import slices
+from .token_ids import SLICE_BYTES, SLICE_ROWS, default_path, encoder, sentence_ends
 
 WINDOW = 2048
-#: Padding ids that a cut costs at a sentence end and elsewhere, and how far apart the latter stand.
-SENTENCE_PENALTY, HARD_PENALTY, STRIDE = 1.0, 24.0, 128
+#: Padding ids that a cut costs at a sentence end and elsewhere, how far apart the latter stand, and what a sequence costs besides, so
+#: that windows of small powers of two, which need no padding, are not made of what fits into others.
+SENTENCE_PENALTY, HARD_PENALTY, STRIDE, SEQUENCE = 1.0, 24.0, 128, 64.0
 #: The dynamic programme is closed, at a cut it chose, after so many ids, so that a task's memory is bounded.
 BLOCK = 1 << 19
 
@@ -46,35 +47,39 @@ def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarr
     return places, cost
 
 
-def choose(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
-    """The cuts, from 0 to the last place, with the least padding plus penalties. Ties go to the longer window."""
-    at, pen = [0, *places.tolist()], [0.0, *cost.tolist()]
-    best, back = [0.0] * len(at), [0] * len(at)
-    whole = np.array(at)
-    exact: dict[int, list[int]] = {}  # cuts from which a window to this one needs no padding
-    for p in (1 << b for b in range(window.bit_length()) if 1 << b < window):
-        k = np.searchsorted(whole, whole - p)
-        for j in np.flatnonzero((whole >= p) & (whole[k] == whole - p)).tolist():
-            exact.setdefault(j, []).append(int(k[j]))
-    queue: deque[int] = deque([0])
-    for k in range(1, len(at)):
-        j = at[k]
-        while at[queue[0]] < j - window:
-            queue.popleft()
-        i = queue[0]
-        low, source = best[i] + at[i] + window - j, i
+def choose(places: np.ndarray, cost: np.ndarray, window: int = WINDOW, sequence: float = SEQUENCE) -> list[int]:
+    """The cuts, from 0 to the last place, with the least padding, penalties and cost of sequences. Ties go to the longer window.
+
+    With f(j) = best(j) + j, a padded window from i to j costs f(j) = f(i) + window + what the cut costs, and an exact one of
+    p ids f(i) + p instead; f's minimum over the last `window` ids stands at the head of the queue.
+    """
+    at = np.concatenate([[0], places])
+    # cuts from which a window to this one needs no padding; the longest comes first
+    exact: dict[int, list[tuple[int, int]]] = {}
+    for p in (1 << b for b in reversed(range(window.bit_length())) if 1 << b < window):
+        k = np.searchsorted(at, at - p)
+        hits = np.flatnonzero((at >= p) & (at[k] == at - p))
+        for j, i in zip(hits.tolist(), k[hits].tolist()):
+            exact.setdefault(j, []).append((i, p))
+    best, back = [0.0], [0]
+    places_, values, sources, head = [0], [0.0], [0], 0
+    for k, (j, c) in enumerate(zip(places.tolist(), (cost + sequence).tolist()), 1):
+        while places_[head] < j - window:
+            head += 1
+        low, source = values[head] + window, sources[head]
         if k in exact:
-            for i in exact[k]:
-                if best[i] < low:
-                    low, source = best[i], i
-        best[k], back[k] = low + pen[k], source
-        value = best[k] + j
-        while queue and best[queue[-1]] + at[queue[-1]] > value:
-            queue.pop()
-        queue.append(k)
+            for i, p in exact[k]:
+                if best[i] + p < low:
+                    low, source = best[i] + p, i
+        low += c
+        best.append(low)
+        back.append(source)
+        while len(values) > head and values[-1] > low:
+            places_.pop(), values.pop(), sources.pop()
+        places_.append(j), values.append(low), sources.append(k)
     cuts, k = [], len(at) - 1
     while k:
-        cuts.append(at[k])
+        cuts.append(int(at[k]))
         k = back[k]
     return [0, *reversed(cuts)]
 
@@ -131,9 +136,9 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
             size = sum(len(p) for p in parts) // encode.dtype.itemsize - skip
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = encode.encode(text.as_py() or "") + tail
+        for batch in slices(batches, 1, SLICE_ROWS, SLICE_BYTES):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode.encode_many(batch.column(1))):
+                own += tail
                 names.append(doc_id)
                 parts.append(own)
                 size += len(own) // encode.dtype.itemsize

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Sets of strings above this size are given up when a query is derived.
 MOST_STRINGS = 64
 
@@ -218,21 +220,19 @@ def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:
     base = {r.kind for r in BASE_RULES}
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                named = [[(rules[k].kind, s, e) for s, k, e in spans] for spans in find(texts, rules)]
-                counts = {kind: [sum(x[0] == kind for x in spans) for spans in named] for kind in base}
-                join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        *(pa.array(counts[r.kind], pa.int64()) for r in BASE_RULES),
-                        pa.array([hashlib.sha256(join([x for x in spans if x[0] in base]).encode()).hexdigest() for spans in named]),
-                        pa.array([join(spans) for spans in named], pa.string()),
-                    ],
-                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-                )
+        for batch in slices(batches, 1, 1000):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            named = [[(rules[k].kind, s, e) for s, k, e in spans] for spans in find(texts, rules)]
+            counts = {kind: [sum(x[0] == kind for x in spans) for spans in named] for kind in base}
+            join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array(counts[r.kind], pa.int64()) for r in BASE_RULES),
+                    pa.array([hashlib.sha256(join([x for x in spans if x[0] in base]).encode()).hexdigest() for spans in named]),
+                    pa.array([join(spans) for spans in named], pa.string()),
+                ],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)

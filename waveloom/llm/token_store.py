@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .token_ids import default_path, encoder
+from .common import slices
+from .token_ids import SLICE_BYTES, SLICE_ROWS, default_path, encoder
 
 MAGIC, HEADER = b"EFT1", struct.Struct("<4s6I")
 #: A segment closes once it has so many ids or documents; a longer document has a segment of its own.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 13
-#: Every so many documents, select1's place is sampled when a segment is opened.
-SAMPLE = 64
+#: For select1, the set bits before each block of so many bytes are counted when a segment is opened: 32 bits for 512.
+RANK_BYTES = 64
 
 
 @dataclass
@@ -51,28 +52,34 @@ class EliasFano:
         return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
 
     def __post_init__(self):
-        self._high = np.frombuffer(self.high, np.uint8)
-        counts = np.bitwise_count(self._high).astype(np.int64)
-        self._before = np.concatenate([[0], np.cumsum(counts)])
-        self._hint = np.searchsorted(self._before, np.arange(0, self.n, SAMPLE), "right") - 1
-
-    def select1(self, k: int) -> int:
-        """The place of the k-th set bit of the high bits: from the sampled byte on, byte by byte."""
-        byte = int(self._hint[k // SAMPLE])
-        while self._before[byte + 1] <= k:
-            byte += 1
-        bits, left = int(self._high[byte]), k - int(self._before[byte])
-        for _ in range(left):
-            bits &= bits - 1
-        return byte * 8 + (bits & -bits).bit_length() - 1
+        self._high = np.frombuffer(self.high + bytes(-len(self.high) % RANK_BYTES), np.uint8)
+        counts = np.bitwise_count(self._high).reshape(-1, RANK_BYTES).sum(1, dtype=np.uint32)
+        self._rank = np.cumsum(counts, dtype=np.uint32) - counts
+
+    def select1(self, k: np.ndarray) -> np.ndarray:
+        """The places of the k-th set bits of the high bits: by the ranks of blocks, the bytes of a block, the bits of a byte."""
+        block = np.searchsorted(self._rank, k, "right") - 1
+        own = self._high.reshape(-1, RANK_BYTES)[block]
+        until = np.cumsum(np.bitwise_count(own), 1, dtype=np.int64)
+        left = k - self._rank[block].astype(np.int64)
+        byte = (until <= left[:, None]).sum(1)
+        each = np.arange(len(k))
+        left -= until[each, byte] - np.bitwise_count(own[each, byte])
+        bits = np.unpackbits(own[each, byte][:, None], axis=1, bitorder="little")
+        return (block * RANK_BYTES + byte) * 8 + (np.cumsum(bits, 1) <= left[:, None]).sum(1)
+
+    def values(self, k: np.ndarray) -> np.ndarray:
+        """The values at some places, by select1 and their low bits; the code is not decoded."""
+        k = np.asarray(k, np.int64)
+        at = k[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = np.frombuffer(self.low, np.uint8)
+        bits = (low[at >> 3] >> (at & 7)) & 1 if self.low_bits else np.zeros((len(k), 0), np.int64)
+        return (self.select1(k) - k) << self.low_bits | bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def __getitem__(self, k: int) -> int:
         if not 0 <= k < self.n:
             raise IndexError(k)
-        at, value = k * self.low_bits, 0
-        for i in range(self.low_bits):
-            value |= (self.low[(at + i) >> 3] >> ((at + i) & 7) & 1) << i
-        return (self.select1(k) - k) << self.low_bits | value
+        return int(self.values(np.array([k]))[0])
 
     def decode(self) -> np.ndarray:
         """All values at once."""
@@ -141,9 +148,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 pa.schema([("part", pa.int64()), ("segment", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())]),
             )
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = encode.encode(text.as_py() or "") + tail
+        for batch in slices(batches, 1, SLICE_ROWS, SLICE_BYTES):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode.encode_many(batch.column(1))):
+                own += tail
                 if ids and (size + len(own) > SEGMENT_IDS * encode.dtype.itemsize or len(ids) >= SEGMENT_DOCS):
                     yield segment()
                     ids, held, size, number = [], [], 0, number + 1
@@ -160,6 +167,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
+    Empty documents have n_tokens 0, or 1 with an end id; equal ids (and null ones) keep a row each; a store without segments gives none.
+
     Offsets are kept per segment; the start adds the ids of earlier parts and segments, summed over one row per segment
     within a part and over one row per part across parts.
     """
@@ -176,7 +185,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 found = Segment.open(row["data"])
-                ends = found.ends.decode()
+                ends = found.ends.values(np.arange(found.ends.n))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 wide = found.ids.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
