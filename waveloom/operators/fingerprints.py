@@ -192,28 +192,28 @@ class ChromaProfile:
 CHROMA_PROFILES = {"default": ChromaProfile(), "sync": ChromaProfile(5512, 2048, 64, mapping="paper")}
 
 
-def rectangle(image: np.ndarray, kind: int) -> float:
-    """log(1 + a) - log(1 + b) of two areas of a block of classes (rows) and frames (columns)."""
-    h, w = image.shape
-    s = lambda r, c: float(image[r, c].sum())
-    every = slice(None)
-    lower, upper = slice(h // 2, None), slice(0, h // 2)
-    left, right = slice(0, w // 2), slice(w // 2, None)
+def rectangles(sums: np.ndarray, kind: int, y: int, h: int, w: int, n: int) -> np.ndarray:
+    """log(1 + a) - log(1 + b) of two areas of blocks of h classes from y on and w frames, for the n blocks that start one frame apart; sums are those of
+    all classes and frames before."""
+
+    def area(top: int, height: int, left: int, width: int) -> np.ndarray:
+        here, after = sums[left : left + n], sums[left + width : left + width + n]
+        return after[:, y + top + height] - here[:, y + top + height] - after[:, y + top] + here[:, y + top]
+
+    half, mid, t, u = h // 2, w // 2, h // 3, w // 3
     if kind == 0:
-        a, b = s(every, every), 0.0
+        a, b = area(0, h, 0, w), np.zeros(n)
     elif kind == 1:
-        a, b = s(lower, every), s(upper, every)
+        a, b = area(half, h - half, 0, w), area(0, half, 0, w)
     elif kind == 2:
-        a, b = s(every, right), s(every, left)
+        a, b = area(0, h, mid, w - mid), area(0, h, 0, mid)
     elif kind == 3:
-        a, b = s(lower, left) + s(upper, right), s(upper, left) + s(lower, right)
+        a, b = area(half, h - half, 0, mid) + area(0, half, mid, w - mid), area(0, half, 0, mid) + area(half, h - half, mid, w - mid)
     elif kind == 4:
-        t = h // 3
-        a, b = s(slice(t, 2 * t), every), s(slice(0, t), every) + s(slice(2 * t, None), every)
+        a, b = area(t, t, 0, w), area(0, t, 0, w) + area(2 * t, h - 2 * t, 0, w)
     else:
-        t = w // 3
-        a, b = s(every, slice(t, 2 * t)), s(every, slice(0, t)) + s(every, slice(2 * t, None))
-    return float(np.log1p(a) - np.log1p(b))
+        a, b = area(0, h, u, u), area(0, h, 0, u) + area(0, h, 2 * u, w - 2 * u)
+    return np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0))
 
 
 def chroma_image(values: np.ndarray, p: ChromaProfile) -> np.ndarray:
@@ -231,15 +231,13 @@ def chroma_image(values: np.ndarray, p: ChromaProfile) -> np.ndarray:
 
 def chromaprint(values: np.ndarray, p: ChromaProfile = CHROMA_PROFILES["default"]) -> list[tuple[int, int, bool]]:
     image = chroma_image(values, p)
-    width = max(w for (_, _, _, w), _ in p.classifiers)
-    out = []
-    for f in range(len(image) - width + 1):
-        word = 0
-        for (kind, y, h, w), bars in p.classifiers:
-            level = sum(rectangle(image[f : f + w, y : y + h].T, kind) >= b for b in bars)
-            word = word << 2 | GRAY[level]
-        out.append((f, word, False))
-    return out
+    n = max(0, len(image) - max(w for (_, _, _, w), _ in p.classifiers) + 1)
+    sums = np.pad(image.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    words = np.zeros(n, np.int64)
+    for (kind, y, h, w), bars in p.classifiers if n else ():
+        level = np.searchsorted(np.array(bars), rectangles(sums, kind, y, h, w, n), "right")
+        words = words << 2 | np.array(GRAY)[level]
+    return [(f, h, False) for f, h in enumerate(words.tolist())]
 
 
 # ---- Echoprint (Ellis et al. 2011): onsets in subbands of the whitened signal

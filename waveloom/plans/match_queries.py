@@ -73,13 +73,14 @@ def fp_window(spark, sf):
 
 
 @query(
-    f"WITH {_H}, f2 AS (SELECT track_id, idx // 16 AS idx, hash % 256 AS hash FROM fp), c AS (SELECT track_id, idx, hash, count(*) AS n FROM f2 GROUP BY ALL), "
-    "pr AS (SELECT DISTINCT track_id AS track1, 0 AS i1, track_id + 1 AS track2, 0 AS i2 FROM f2) "
-    "SELECT track1, i1::BIGINT AS i1, track2, i2::BIGINT AS i2, coalesce(sum(least(a.n, b.n)), 0)::BIGINT AS common FROM pr LEFT JOIN (c a JOIN c b ON a.hash = b.hash AND a.idx = 0 AND b.idx = 0 AND b.track_id = a.track_id + 1) ON a.track_id = track1 AND b.track_id = track2 GROUP BY track1, i1, track2, i2"
+    f"WITH {_H}, f2 AS (SELECT track_id, idx // 16 AS idx, hash % 256 AS hash FROM fp), c AS (SELECT track_id, idx, hash, count(*) AS n FROM f2 GROUP BY ALL), fr AS (SELECT DISTINCT track_id, idx FROM f2), "
+    "pr AS (SELECT track_id AS track1, idx AS i1, track_id + 1 AS track2, idx AS i2 FROM fr) SELECT track1, i1, track2, i2, coalesce(sum(least(a.n, b.n)), 0)::BIGINT AS common "
+    "FROM pr LEFT JOIN (c a JOIN c b ON a.hash = b.hash AND a.idx = b.idx AND b.track_id = a.track_id + 1) ON a.track_id = track1 AND b.track_id = track2 AND a.idx = i1 GROUP BY ALL"
 )
 def fp_multiset_overlap(spark, sf):
+    """Every frame of 16 shingles against the same frame of the next text."""
     h = hashes(spark, sf).select("track_id", F.expr("idx div 16").alias("idx"), (F.col("hash") % 256).alias("hash"))
-    pairs = h.select(F.col("track_id").alias("track1"), F.lit(0).cast("long").alias("i1"), (F.col("track_id") + 1).alias("track2"), F.lit(0).cast("long").alias("i2")).distinct()
+    pairs = h.select(F.col("track_id").alias("track1"), F.col("idx").alias("i1"), (F.col("track_id") + 1).alias("track2"), F.col("idx").alias("i2")).distinct()
     return I.multiset_overlap(h, pairs)
 
 
@@ -195,18 +196,49 @@ def match_move_to_start(spark, sf):
     return M.move_to_start(tracks(spark, sf), 1000).select("track_id", "offset_ticks")
 
 
-@query(f"WITH {MATCHES}, p AS (SELECT a.t AS track1, b.t AS track2 FROM range(12) a(t), range(12) b(t) WHERE a.t < b.t) SELECT p.track1, p.track2, round(coalesce(avg(similarity), 0), 6) AS similarity FROM p LEFT JOIN m USING (track1, track2) GROUP BY ALL")
+_MATCHED = "mt AS (SELECT track1 AS t FROM m UNION SELECT track2 FROM m)"
+
+
+def _matched(spark, sf):
+    m = matches(spark, sf)
+    return m.select(F.col("track1").alias("track_id")).union(m.select("track2")).distinct()
+
+
+@query(f"WITH {MATCHES}, {_MATCHED} SELECT a.t AS track1, b.t AS track2, round(coalesce(avg(similarity), 0), 6) AS similarity FROM mt a JOIN mt b ON a.t < b.t LEFT JOIN m ON m.track1 = a.t AND m.track2 = b.t GROUP BY ALL")
 def match_average_similarity(spark, sf):
-    pairs = M.track_pairs(spark.range(12).select(F.col("id").alias("track_id")))
-    return M.average_similarity(pairs, matches(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+    """Over all pairs of tracks that have matches."""
+    return M.average_similarity(M.track_pairs(_matched(spark, sf)), matches(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {MATCHES} SELECT p.b AS p1, p.a AS p2, count(*) AS n FROM m JOIN (SELECT i AS a, i + 1 AS b FROM range(10) r(i)) p ON p.a = track1 AND p.b = track2 GROUP BY ALL")
+@query(f"WITH {MATCHES}, {_MATCHED} SELECT b.t AS p1, a.t AS p2, count(*) AS n FROM mt a JOIN mt b ON a.t < b.t JOIN m ON m.track1 = a.t AND m.track2 = b.t GROUP BY ALL")
 def match_assign(spark, sf):
-    pairs = spark.range(10).select((F.col("id") + 1).alias("track1"), F.col("id").alias("track2"))
+    """Pairs given the other way round."""
+    pairs = M.track_pairs(_matched(spark, sf)).select(F.col("track2").alias("track1"), F.col("track1").alias("track2"))
     return M.assign(pairs, matches(spark, sf)).groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"WITH {MATCHES}, x AS (SELECT track1, track2 FROM m UNION ALL SELECT track2, track1 FROM m WHERE t1 % 700000 = 0 UNION ALL SELECT track1, track1 FROM m WHERE t1 = 0) "
+    "SELECT least(track1, track2) AS a, greatest(track1, track2) AS b, count(DISTINCT track1) AS n, bool_or(track1 = track2) AS same FROM x GROUP BY 1, 2 HAVING count(DISTINCT track1) > 1 OR bool_or(track1 = track2)"
+)
+def match_check_pairs(spark, sf):
+    """Pairs in both orientations, or of a track with itself."""
+    m = matches(spark, sf).select("track1", "track2", "t1")
+    turned = m.where("t1 % 700000 = 0").select(F.col("track2").alias("track1"), F.col("track1").alias("track2"), "t1")
+    own = m.where("t1 = 0").select("track1", F.col("track1").alias("track2"), "t1")
+    return M.check_pairs(m.unionByName(turned).unionByName(own)).select("pair.col1", "pair.col2", "n", "same").toDF("a", "b", "n", "same")
+
+
+@query(
+    f"WITH {MATCHES}, d AS (SELECT DISTINCT * FROM m), w AS (SELECT track1, track2, t2, first(t2) OVER w + t1 - first(t1) OVER w AS to_t FROM d WINDOW w AS (PARTITION BY track1, track2 ORDER BY t1, t2)), "
+    "g AS (SELECT track1, track2, t2, min(to_t) AS to_t FROM w GROUP BY ALL) SELECT track1, track2, t1, to_t AS t2, similarity, source FROM d JOIN g USING (track1, track2, t2)"
+)
+def match_apply_warps(spark, sf):
+    """Matches as they stand once their second tracks are warped."""
+    m = matches(spark, sf).distinct()
+    return M.apply_warps(m, M.time_warps(m))
+
+
 @query(f"WITH {MATCHES}, {TRACKS} SELECT track_id FROM tr WHERE track_id IN (SELECT track1 FROM m) AND track_id NOT IN (SELECT track2 FROM m WHERE track2 % 3 = 0)")
 def match_semi_anti(spark, sf):
     m = matches(spark, sf)
@@ -214,11 +246,11 @@ def match_semi_anti(spark, sf):
     return t.join(m.select(F.col("track1").alias("track_id")), "track_id", "left_semi").join(m.where("track2 % 3 = 0").select(F.col("track2").alias("track_id")), "track_id", "left_anti")
 
 
-_EDGES = "ed AS (SELECT c_custkey AS u, c_custkey + 20 AS v, (c_custkey % 17) / 17.0::DOUBLE AS weight FROM customer WHERE c_custkey % 5 <> 0)"
+_EDGES = "ed AS (SELECT c_custkey AS u, c_custkey + 20 AS v, (c_custkey % 17) / 17.0::DOUBLE AS weight FROM customer)"
 
 
 def _edges(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 5 <> 0")
+    c = table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 20).alias("v"), (F.col("c_custkey") % 17 / 17.0).alias("weight"))
 
 
@@ -229,22 +261,62 @@ def graph_components(spark, sf):
     return G.components(_edges(spark, sf))
 
 
-@query()
+@query("SELECT c_custkey AS node, c_custkey % 20 = 3 AS near, count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_custkey IN (3, 23)) GROUP BY ALL")
+def graph_edges_of(spark, sf):
+    """Edges of a node, by the other end and by its own; and whether nodes are connected."""
+    e = _edges(spark, sf)
+    near = G.has_path(e, 3, 23)
+    return G.edges_of(e, 23).select(F.col("u").alias("node")).distinct().select("node", F.lit(near).alias("near"), F.lit(1).cast("long").alias("n"))
+
+
+def _tree_sql(kept: str) -> str:
+    """tree (track1, track2, weight, group_id): an edge is in the minimum spanning tree if lighter ones do not connect its ends."""
+    return (
+        f"{kept}, ed AS (SELECT track1 AS u, track2 AS v, 1 - avg(similarity) AS weight FROM kept GROUP BY ALL), rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY weight, u, v) AS r FROM ed), "
+        "bo AS MATERIALIZED (SELECT u, v, r FROM rk UNION ALL SELECT v, u, r FROM rk), rc(r, node) AS (SELECT r, u FROM rk UNION SELECT c.r, b.v FROM rc c JOIN bo b ON b.u = c.node AND b.r < c.r), "
+        "cn(node, root) AS (SELECT u, u FROM bo UNION SELECT b.v, c.root FROM cn c JOIN bo b ON b.u = c.node AND c.root < b.v), gr AS MATERIALIZED (SELECT node, min(root) AS root FROM cn GROUP BY node), "
+        "tree AS MATERIALIZED (SELECT u AS track1, v AS track2, weight, root AS group_id FROM rk JOIN gr ON node = u WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.r = rk.r AND rc.node = rk.v))"
+    )
+
+
+_BEST = f"{MATCHES}, kept AS MATERIALIZED (SELECT track1, track2, t1, t2, similarity, source FROM (SELECT *, row_number() OVER (PARTITION BY track1, track2 ORDER BY similarity DESC, t1, t2) AS rn FROM (SELECT DISTINCT * FROM m)) WHERE rn = 1)"
+
+
+@query(f"WITH RECURSIVE {_tree_sql(_BEST)} SELECT track1, track2, group_id, round(weight, 9) AS weight, t1, t2, similarity, source FROM tree JOIN kept USING (track1, track2)")
 def match_groups(spark, sf):
-    return M.groups(matches(spark, sf).distinct())
+    return M.groups(matches(spark, sf).distinct()).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {_tree_sql(f'{MATCHES}, kept AS MATERIALIZED (SELECT DISTINCT * FROM m)')} SELECT track1, track2, group_id, round(weight, 9) AS weight, t1, t2, similarity, source FROM tree JOIN kept USING (track1, track2)")
+def match_groups_all(spark, sf):
+    """Groups with all matches of their pairs."""
+    return M.groups(matches(spark, sf).distinct(), None).withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    f"WITH RECURSIVE {TRACKS}, {_tree_sql(_BEST)}, sh AS (SELECT track1 AS a, track2 AS b, t1 - t2 AS s FROM tree JOIN kept USING (track1, track2) UNION ALL SELECT track2, track1, t2 - t1 FROM tree JOIN kept USING (track1, track2)), "
+    "wk(node, off, grp) AS (SELECT track_id, offset_ticks, group_id FROM tr JOIN (SELECT DISTINCT group_id FROM tree) ON track_id = group_id UNION SELECT b, off + s, grp FROM wk JOIN sh ON a = node) "
+    "SELECT grp AS group_id, node AS track_id, off AS offset_ticks FROM wk"
+)
 def match_align_tracks(spark, sf):
+    """Offsets of the tracks of each group, none of them locked; one match a pair, so nothing is warped."""
+    t = tracks(spark, sf).withColumn("locked", F.lit(False))
+    found = M.align_tracks(M.groups(matches(spark, sf).distinct()), t)
+    return found.where("kind = 'track'").select("group_id", "track_id", "offset_ticks")
+
+
+@query()
+def match_align_warped(spark, sf):
+    """The same with windows of matches, locked tracks, and warps."""
     t = tracks(spark, sf)
-    return M.align_tracks(M.groups(matches(spark, sf).distinct()), t)
+    return M.align_tracks(M.groups(matches(spark, sf).distinct(), "best", 10_000_000), t)
 
 
-_STEP = f"{SIGNAL}, pr AS (SELECT a.track_id AS track1, b.track_id AS track2, a.idx, a.value AS x, b.value AS y FROM sig a JOIN sig b ON a.idx = b.idx AND a.track_id < b.track_id AND a.track_id < 20 AND b.track_id < 20)"
+_STEP = f"{SIGNAL}, pr AS (SELECT a.track_id AS track1, b.track_id AS track2, a.idx, a.value AS x, b.value AS y FROM sig a JOIN sig b ON a.idx = b.idx AND a.track_id < b.track_id)"
 
 
 def _pairs(spark, sf):
-    return K.pairs_in_step(signal(spark, sf).where("track_id < 20"))
+    return K.pairs_in_step(signal(spark, sf))
 
 
 @query(f"WITH {_STEP} SELECT track1, track2, round(coalesce(corr(x, y), 0), 6) + 0.0 AS r FROM pr GROUP BY ALL")
@@ -264,23 +336,24 @@ def _lag_inputs(spark, sf):
     return a, b
 
 
+# lags up to half of 256 cover all of every track
 _XC = (
-    f"{SIGNAL}, ca AS (SELECT track_id AS p, idx, value - avg(value) OVER (PARTITION BY track_id) AS x FROM sig WHERE idx < 32), cb AS (SELECT track_id - 1 AS p, idx, value - avg(value) OVER (PARTITION BY track_id) AS y FROM sig WHERE idx < 32), "
-    "sa AS (SELECT p, sum(x * x) AS sx FROM ca GROUP BY p), sb AS (SELECT p, sum(y * y) AS sy FROM cb GROUP BY p), "
-    "xc AS (SELECT ca.p AS pair_id, l AS lag, sum(x * y) / any_value(sqrt(sx * sy)) AS r FROM ca, range(-16, 16) r(l) JOIN cb ON cb.p = ca.p AND cb.idx = ca.idx + l JOIN sa ON sa.p = ca.p JOIN sb ON sb.p = ca.p GROUP BY ca.p, l)"
+    f"{SIGNAL}, ca AS (SELECT track_id AS p, idx, value - avg(value) OVER (PARTITION BY track_id) AS x FROM sig), cb AS (SELECT track_id - 1 AS p, idx, value - avg(value) OVER (PARTITION BY track_id) AS y FROM sig), "
+    "sa AS (SELECT p, sum(x * x) AS sx FROM ca GROUP BY p), sb AS (SELECT p, sum(y * y) AS sy FROM cb GROUP BY p), pl AS (SELECT p, l, sqrt(sx * sy) AS low FROM sa JOIN sb USING (p), range(-128, 128) r(l)), "
+    "sm AS (SELECT ca.p, cb.idx - ca.idx AS l, sum(x * y) AS s FROM ca JOIN cb ON cb.p = ca.p GROUP BY ALL), xc AS (SELECT p AS pair_id, l AS lag, coalesce(s, 0) / low AS r FROM pl LEFT JOIN sm USING (p, l))"
 )
 
 
 @query(f"WITH {_XC} SELECT pair_id, lag::INT AS lag, round(r, 6) + 0.0 AS r FROM xc")
 def corr_cross(spark, sf):
     a, b = _lag_inputs(spark, sf)
-    return K.cross_correlation(a, b, 32).select("pair_id", "lag", rounded(F.col("r")).alias("r"))
+    return K.cross_correlation(a, b, 256).select("pair_id", "lag", rounded(F.col("r")).alias("r"))
 
 
-@query(f"WITH {_XC}, b AS (SELECT pair_id, arg_max(lag, abs(r)) AS lag, max(abs(r)) AS r FROM xc GROUP BY ALL) SELECT pair_id, lag::INT AS lag, round((1 - abs(lag) / 16.0::DOUBLE) * r, 6) + 0.0 AS score FROM b")
+@query(f"WITH {_XC}, b AS (SELECT pair_id, arg_max(lag, abs(r)) AS lag, max(abs(r)) AS r FROM xc GROUP BY ALL) SELECT pair_id, lag::INT AS lag, round((1 - abs(lag) / 128.0::DOUBLE) * r, 6) + 0.0 AS score FROM b")
 def corr_best_lag(spark, sf):
     a, b = _lag_inputs(spark, sf)
-    return K.best_lag(K.cross_correlation(a, b, 32)).select("pair_id", "lag", rounded(K.lag_score(F.col("lag"), F.col("r"), 32)).alias("score"))
+    return K.best_lag(K.cross_correlation(a, b, 256)).select("pair_id", "lag", rounded(K.lag_score(F.col("lag"), F.col("r"), 256)).alias("score"))
 
 
 @query(
@@ -294,18 +367,54 @@ def corr_analysis(spark, sf):
 
 @query(f"WITH {_STEP} SELECT track1, track2, idx // 16 AS \"interval\", round(coalesce(CASE WHEN isnan(corr(x, y)) THEN NULL ELSE corr(x, y) END, 0), 6) + 0.0 AS value FROM pr GROUP BY ALL")
 def corr_analyse(spark, sf):
-    df = K.analyse(signal(spark, sf).where("track_id < 20"), "correlation", 16)
+    df = K.analyse(signal(spark, sf), "correlation", 16)
     return df.select("track1", "track2", F.col("interval").cast("long").alias("interval"), rounded(F.col("value")).alias("value"))
 
 
-@query()
+# neighbours, in intervals that both have in full
+_NEXT = "nb AS (SELECT a.track_id AS track1, b.track_id AS track2, a.idx // {0} AS k, a.idx % {0} AS i, a.value AS x, b.value AS y FROM sig a JOIN sig b ON b.track_id = a.track_id + 1 AND b.idx = a.idx), fl AS (SELECT * FROM nb QUALIFY count(*) OVER (PARTITION BY track1, k) = {0})"
+
+
+def _neighbours(spark, sf):
+    t = signal(spark, sf).select("track_id").distinct()
+    return t.select(F.col("track_id").alias("track1"), (F.col("track_id") + 1).alias("track2"))
+
+
+@query(
+    f"WITH {SIGNAL}, {_NEXT.format(16)}, ce AS (SELECT track1, track2, k, i, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM fl WINDOW w AS (PARTITION BY track1, k)), sq AS (SELECT track1, track2, k, sqrt(sum(x * x) * sum(y * y)) AS low FROM ce GROUP BY ALL), "
+    "sm AS (SELECT a.track1, a.k, b.i - a.i AS lag, sum(a.x * b.y) AS s FROM ce a JOIN ce b ON b.track1 = a.track1 AND b.k = a.k AND b.i - a.i BETWEEN -8 AND 7 GROUP BY ALL), "
+    'bs AS (SELECT track1, k, arg_max(lag, abs(s)) AS lag, max(abs(s)) AS s FROM sm GROUP BY ALL) SELECT track1, track2, k AS "interval", round((1 - abs(lag) / 8.0::DOUBLE) * s / low, 6) + 0.0 AS value FROM bs JOIN sq USING (track1, k)'
+)
 def corr_analyse_lag(spark, sf):
-    return K.analyse(signal(spark, sf).where("track_id < 20"), "lag", 16)
+    df = K.analyse(signal(spark, sf), "lag", 16, _neighbours(spark, sf))
+    return df.select("track1", "track2", "interval", rounded(F.col("value")).alias("value"))
 
 
-@query()
+def _spectrum_sql(side: str) -> str:
+    return (
+        f"h{side} AS (SELECT track1, track2, list_transform(list_zip(list({side} ORDER BY i), [0.5 - 0.5 * cos(2 * pi() * j / 63) for j in range(64)]), lambda z: z[1] * z[2]) AS v FROM fl GROUP BY track1, track2, k), "
+        f"m{side} AS (SELECT track1, track2, b, sqrt(list_dot_product(v, [cos(2 * pi() * b * j / 64) for j in range(64)]) ** 2 + list_dot_product(v, [sin(2 * pi() * b * j / 64) for j in range(64)]) ** 2) AS m FROM h{side}, range(1, 32) r(b)), "
+        f"n{side} AS (SELECT *, m / sum(m) OVER (PARTITION BY track1) AS p FROM m{side})"
+    )
+
+
+@query(f"WITH {SIGNAL}, {_NEXT.format(64)}, {_spectrum_sql('x')}, {_spectrum_sql('y')} SELECT track1, x.track2, 0::BIGINT AS \"interval\", round(1 - sum(abs(x.p - y.p)) / 2, 6) + 0.0 AS value FROM nx x JOIN ny y USING (track1, b) GROUP BY ALL")
+def corr_frequency(spark, sf):
+    """Likeness of spectra of neighbours; tracks of 64 samples or more have one interval each."""
+    df = K.analyse(signal(spark, sf), "frequency", 64, _neighbours(spark, sf))
+    return df.select("track1", "track2", "interval", rounded(F.col("value")).alias("value"))
+
+
+@query(
+    f"WITH {SIGNAL}, {MATCHES}, d AS (SELECT DISTINCT track1, track2, t1, t2, round_even(t1 / 1000000.0, 0)::BIGINT AS i1, round_even(t2 / 1000000.0, 0)::BIGINT AS i2 FROM m), z AS (SELECT track_id, max(idx) + 1 AS n FROM sig GROUP BY ALL), "
+    "s AS (SELECT track1, track2, t1, t2, i1 - o AS b1, i2 - o AS b2 FROM (SELECT d.*, greatest(0, i1 + 20 - a.n, i2 + 20 - b.n) AS o FROM d JOIN z a ON a.track_id = track1 JOIN z b ON b.track_id = track2) WHERE i1 - o >= 0 AND i2 - o >= 0), "
+    "w AS (SELECT s.*, a.idx - b1 AS i, a.value - avg(a.value) OVER p AS x, b.value - avg(b.value) OVER p AS y FROM s JOIN sig a ON a.track_id = track1 AND a.idx >= b1 AND a.idx < b1 + 20 JOIN sig b ON b.track_id = track2 AND b.idx = b2 + a.idx - b1 WINDOW p AS (PARTITION BY track1, track2, t1, t2)), "
+    "q AS (SELECT track1, track2, t1, t2, sqrt(sum(x * x) * sum(y * y)) AS low FROM w GROUP BY ALL), sm AS (SELECT a.track1, a.track2, a.t1, a.t2, b.i - a.i AS lag, sum(a.x * b.y) AS s FROM w a JOIN w b ON b.track1 = a.track1 AND b.track2 = a.track2 AND b.t1 = a.t1 AND b.t2 = a.t2 AND b.i - a.i BETWEEN -10 AND 9 GROUP BY ALL), "
+    "bs AS (SELECT track1, track2, t1, t2, arg_max(lag, abs(s)) AS lag, max(abs(s)) AS s FROM sm GROUP BY ALL) SELECT track1, track2, t1, t2 + lag * 1000000 AS t2, round(s / low, 6) AS similarity, 'CC' AS source FROM bs JOIN q USING (track1, track2, t1, t2)"
+)
 def corr_adjust(spark, sf):
-    return K.adjust(matches(spark, sf).where("track1 < 15 and track2 < 15"), signal(spark, sf), 10, 2.0)
+    m = matches(spark, sf).select("track1", "track2", "t1", "t2").distinct()
+    return K.adjust(m, signal(spark, sf), 10, 2.0).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {TRACKS}, {MATCHES} SELECT a.name AS name1, t1 AS time1, t1 // 10000 AS time1_ms, b.name AS name2, t2 AS time2, t2 // 10000 AS time2_ms, t1 - t2 AS shift, (t1 - t2) // 10000 AS shift_ms, similarity, source FROM m JOIN tr a ON a.track_id = track1 JOIN tr b ON b.track_id = track2")
@@ -313,14 +422,54 @@ def sink_matches(spark, sf):
     return sinks.match_rows(matches(spark, sf), tracks(spark, sf))
 
 
-@query()
-def stream_hop_frames(spark, sf):
-    """Frames of a stream of samples, a file source read to its end in micro-batches."""
+_FRAMING = (
+    f"{SIGNAL}, n AS (SELECT track_id, count(*) AS n FROM sig GROUP BY ALL), fx AS (SELECT track_id, unnest(range(0, (n - 16) // 8 + 1)) AS frame_idx FROM n WHERE n >= 16), "
+    "fs AS (SELECT f.track_id, f.frame_idx, s.idx - f.frame_idx * 8 AS i, s.value FROM fx f JOIN sig s ON s.track_id = f.track_id AND s.idx >= f.frame_idx * 8 AND s.idx < f.frame_idx * 8 + 16)"
+)
+
+
+def _streamed(spark, df, step, schema, mode="append"):
+    """Two parts of a signal as files, one read after the other by a stream; what it puts out."""
     base = scratch(spark, "stream")
-    source = signal(spark, sf)
-    source.where("idx < 30").write.parquet(f"{base}/in")
-    source.where("idx >= 30").write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
-    run = stateful.hop_frames(stream, 16, 8).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("track_id long, frame_idx long, values array<double>, n_late long").parquet(f"{base}/out").drop("n_late")
+    df.where("idx < 30").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+
+    def go():
+        write = step(source).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        run = write.format("parquet").option("path", f"{base}/out").start() if mode == "append" else write.foreachBatch(lambda x, k: x.write.mode("append").parquet(f"{base}/out")).start()
+        run.awaitTermination()
+
+    go()
+    df.where("idx >= 30").write.mode("append").parquet(f"{base}/in")
+    go()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query(f"WITH {_FRAMING} SELECT track_id, frame_idx, i::INT AS i, value FROM fs")
+def stream_hop_frames(spark, sf):
+    """Frames of a stream of samples, in two runs of a query that goes on from its state."""
+    out = _streamed(spark, signal(spark, sf), lambda s: stateful.hop_frames(s, 16, 8), "track_id long, frame_idx long, values array<double>, n_late long")
+    return out.select("track_id", "frame_idx", F.posexplode("values").alias("i", "value"))
+
+
+@query(f"WITH {SIGNAL}, b AS (SELECT track_id, max(idx) AS last FROM sig GROUP BY ALL UNION ALL SELECT track_id, 29 FROM sig GROUP BY ALL) SELECT track_id, last::BIGINT AS last, (idx - last + 7)::INT AS i, value FROM b JOIN sig USING (track_id) WHERE idx > last - 8 AND idx <= last")
+def stream_ring(spark, sf):
+    """The last 8 samples of each track after each part of a stream."""
+    out = _streamed(spark, signal(spark, sf), lambda s: stateful.ring(s, 8), "track_id long, last long, values array<double>", "update")
+    return out.select("track_id", "last", F.posexplode("values").alias("i", "value"))
+
+
+@query(f"WITH {SIGNAL}, d AS (SELECT track_id, idx, value FROM sig UNION ALL SELECT track_id, idx, value + 1 FROM sig WHERE idx >= 25 AND idx < 30) SELECT track_id, idx, value, (SELECT count(*) FROM sig s WHERE s.track_id = sig.track_id AND s.idx >= 25 AND s.idx < 30) AS n_late FROM sig WHERE idx >= 30")
+def stream_late_rows(spark, sf):
+    """Rows that come again behind later ones are dropped, and counted."""
+    df = signal(spark, sf)
+    first = df.where("idx < 30")
+    again = df.where("idx >= 25 and idx < 30").select("track_id", (F.col("idx") + 0).alias("idx"), (F.col("value") + 1).alias("value"))
+    base = scratch(spark, "late")
+    for part in (first, df.where("idx >= 30").unionByName(again)):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+        run = stateful.hop_frames(source, 1, 1).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = spark.read.schema("track_id long, frame_idx long, values array<double>, n_late long").parquet(f"{base}/out")
+    return out.where("frame_idx >= 30").select("track_id", F.col("frame_idx").alias("idx"), F.col("values")[0].alias("value"), "n_late")

@@ -256,9 +256,9 @@ def fp_band_hashes(spark, sf):
 HOLD = 128
 
 
-def _long(spark, sf):
-    """Signals long enough for fingerprints: every track's values held for 128 samples, under a tone of its own."""
-    df = R.resample(signal(spark, sf), float(HOLD), "hold")
+def _long(spark, sf, hold=HOLD):
+    """Signals long enough for fingerprints: every track's values held for many samples, under a tone of its own."""
+    df = R.resample(signal(spark, sf), float(hold), "hold")
     return df.withColumn("value", F.col("value") / 100 + F.sin(F.col("idx") * (F.lit(0.05) + F.col("track_id") * 0.001)))
 
 
@@ -290,7 +290,7 @@ def fp_chromaprint(spark, sf):
 
 @query()
 def fp_echoprint(spark, sf):
-    return P.hashes(_long(spark, sf), "echoprint")
+    return P.hashes(_long(spark, sf, 300), "echoprint")
 
 
 #: Small profiles of the generators, whose hashes SQL can work out from the samples.
