@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from waveloom.llm import exact_dedup, langid, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, secrets, token_ids, token_store
-from waveloom.llm.common import words
+from waveloom.llm.common import word_hashes, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -318,13 +318,24 @@ def test_licenses(spark, docs, empty):
 
 
 def brute_licenses(text):
-    best = []
-    for passage in re.split(r"\n|(?<=[.!?])[ \t]+", text or ""):
+    """Matches as (name, dice) in order: lines, sentences over lines, paragraphs."""
+    grams = [(name, set(licenses.bigrams(t))) for name, t in licenses.TEMPLATES]
+
+    def best(passage):
         own = set(licenses.bigrams(passage))
-        scores = [(2 * len(own & set(g)) / (len(own) + len(g)), -k, name) for k, (name, t) in enumerate(licenses.TEMPLATES) if own and (g := licenses.bigrams(t))]
-        if scores and max(scores)[0] >= licenses.THRESHOLD:
-            best.append(max(scores)[2])
-    return ",".join(sorted(set(best)))
+        found = max(((2 * len(own & g) / (len(own) + len(g)), -k, name) for k, (name, g) in enumerate(grams) if own), default=None)
+        return found if found and found[0] >= licenses.THRESHOLD else None
+
+    out = []
+    for paragraph in re.split(r"\r?\n[ \t]*\r?\n", text or ""):
+        sentences, own = re.split(r"(?<=[.!?])\s+", paragraph), []
+        for sentence in sentences:
+            lines = [m for m in map(best, sentence.split("\n")) if m]
+            one = best(sentence) if "\n" in sentence else None
+            own += [one] if one and (not lines or len(lines) == 1 and one[0] >= lines[0][0]) else lines
+        one = best(paragraph) if len(sentences) > 1 else None
+        out += [one] if one and max((m[0] for m in own), default=0) <= one[0] else own
+    return out
 
 
 def test_licenses_against_brute_force(spark):
@@ -334,9 +345,23 @@ def test_licenses_against_brute_force(spark):
         w = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split(" ")
         for _ in range(k % 4):
             w[rng.integers(0, len(w))] = rng.choice(["the", "License", "x", "under"])
-        texts.append(english(5, k) + ". " + " ".join(w) + "\n" + english(30, k))
+        joint = (" ", "\n", "\n\n")[k % 5 % 3]
+        texts.append(english(5, k) + "." + joint + ("\n" if k % 7 == 0 else " ").join([" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])]) + joint + english(30, k))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r["licenses"] for r in table(licenses.scan(df).orderBy("doc_id"))] == [brute_licenses(t) for t in texts]
+    for r, t in zip(table(licenses.scan(df).orderBy("doc_id")), texts, strict=True):
+        found = brute_licenses(t)
+        top = max(found, key=lambda m: m[0], default=None)
+        assert (r["licenses"], r["n_matches"], r["best"]) == (",".join(sorted({m[2] for m in found})), len(found), top and next(m[2] for m in found if m[0] == top[0]))
+        assert np.isclose(r["dice"], top[0] if top else 0)
+
+
+def test_whole_license_texts(spark):
+    """Every paragraph of a wrapped licence is found, among other text."""
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT" and ("furnished" in t or "substantial" in t or "NONINFRINGEMENT" in t)]
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    text = english(20, 1) + "\n\nMIT License\n\nCopyright (c) 2020 Somebody\n\n" + "\n\n".join(wrap(t, 12) for t in mit) + "\n\n" + english(20, 2)
+    r = licenses.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert len(mit) == 3 and r["licenses"] == "MIT" and r["n_matches"] == 3 and r["dice"] == 1
 
 
 def test_wrapped_and_long_licenses(spark):
@@ -354,9 +379,21 @@ def test_wrapped_and_long_licenses(spark):
 # ---- 7 language models
 
 
+def word_ids(text):
+    return lm_scoring.word_ids(pa.array([text], pa.string()))[0]
+
+
+def test_words_are_hashed_in_order():
+    texts = ["a b\ta", None, "", " \n\r\x0b\x0c ", "x\x1cy é  é", "end"] + [r[1] for r in rows()]
+    flat, sizes = word_hashes(pa.array(texts, pa.string()), xxhash.xxh64_intdigest)
+    assert sizes.tolist() == [len(words(t or "")) for t in texts]
+    assert flat.tolist() == [xxhash.xxh64_intdigest(w.encode()) for t in texts for w in words(t or "")]
+    assert [len(x) for x in word_hashes(pa.array(texts, pa.string()).slice(1, 3), xxhash.xxh64_intdigest)] == [0, 3]
+
+
 def test_lm_scores(docs, empty, labels):
     good = {k for k in [*range(100, 124), *range(200, 216)]}
-    ids = {i: lm_scoring.word_ids(r[1]).tolist() for i, r in enumerate(rows())}
+    ids = {i: word_ids(r[1]).tolist() for i, r in enumerate(rows())}
 
     def losses(i, members):
         w, b, c = collections.Counter(), collections.Counter(), collections.Counter()
@@ -391,7 +428,7 @@ def test_lm_scores(docs, empty, labels):
 
 def test_lm_scores_by_real_words(spark):
     """Words and bigrams that share a bucket of 2**18 or 2**20 must not share counts, and the tables grow with the words."""
-    many = lm_scoring.word_ids(" ".join(f"w{k}" for k in range(300_000)))
+    many = word_ids(" ".join(f"w{k}" for k in range(300_000)))
     assert len(np.unique(many)) == 300_000 and len(np.unique(lm_scoring.bigram_ids(many))) == 300_000
     first, clash = {}, None
     for k in range(100_000):
