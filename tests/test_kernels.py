@@ -223,6 +223,64 @@ def test_a_crop_has_the_hashes_of_the_whole(kind):
     assert len(common) > 0.3 * len({h for _, h, v in part if not v})
 
 
+@pytest.mark.parametrize("kind, profile", [("hk", P.BandProfile(size=64, hop=16, bands=9, flips=1)), ("chromaprint", P.ChromaProfile(5512, 64, 16, mapping="paper", low=100, high=2500))])
+def test_blocks_give_the_hashes_of_whole_tracks(spark, monkeypatch, kind, profile):
+    x = np.random.default_rng(9).normal(size=1500)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, i, float(v)) for i, v in enumerate(x[:700])], "track_id long, idx long, value double")
+    monkeypatch.setattr(P, "BLOCK_FRAMES", 7)
+    got = sorted(map(tuple, P.hashes(df, kind, profile).collect()))
+    assert got == sorted((t, *row) for t, v in ((1, x), (2, x[:700])) for row in P.KERNELS[kind](v, profile)) and len(got) > 50
+
+
+def test_a_dtw_path_is_that_of_plain_filling():
+    """Cell by cell along the line between the ends, as published, in wide and narrow bands."""
+    rng = np.random.default_rng(10)
+    for n, m, width in ((9, 9, 50), (14, 9, 50), (8, 15, 50), (20, 12, 4), (12, 25, 6), (1, 5, 3), (5, 1, 3), (1, 1, 2)):
+        a, b = rng.random((n, 4)), rng.random((m, 4))
+        dn, dm = (1.0, 1.0) if n == m else (1.0, (m - 1) / (n - 1)) if n > m else ((n - 1) / (m - 1), 1.0)
+        total, pn, pm, x, y = {(0, 0): 0.0}, 0.0, 0.0, 0, 0
+        get = lambda i, j: total.get((i, j), math.inf)
+        while x < n or y < m:
+            x, y = min(n, int(pn + 1e-9) + 1), min(m, int(pm + 1e-9) + 1)
+            for i, j in [(i, y) for i in range(max(x - width, 1), x + 1)] + [(x, j) for j in range(max(y - width, 1), y + 1)]:
+                total[i, j] = A.frame_cost(a[i - 1], b[j - 1]) + min(get(i - 1, j), get(i, j - 1), get(i - 1, j - 1))
+            pn, pm = pn + dn, pm + dm
+        assert A.dtw(a, b, width) == A.backtrack(get, n, m)
+
+
+def test_a_forest_of_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(1, int(u), int(v), float(w)) for u, v, w in zip(rng.integers(0, 30, 300), rng.integers(30, 60, 300), rng.integers(0, 9, 300))]
+    df = spark.createDataFrame(sorted(set(rows)), "group_id long, u long, v long, weight double")
+    whole = sorted(map(tuple, G.spanning_forest(df).collect()))
+    monkeypatch.setattr(G, "EDGES", 100)
+    assert sorted(map(tuple, G.spanning_forest(df).collect())) == whole and len(whole) == 59
+
+
+def test_whitening_is_linear_prediction():
+    """Against the normal equations of each block's smoothed autocorrelation."""
+    p = P.OnsetProfile(poles=6, block=200)
+    x = np.cumsum(np.random.default_rng(12).normal(size=700)) * 0.1
+    out, r = P.whiten(x, p), np.array([0.001] + [0.0] * 6)
+    for at in range(0, 700, 200):
+        v = x[at : at + 200]
+        r = r + p.alpha * (np.array([v[k:] @ v[: len(v) - k] for k in range(7)]) - r)
+        a = np.linalg.solve(r[np.abs(np.subtract.outer(np.arange(6), np.arange(6)))], r[1:])
+        past = np.concatenate([np.zeros(6), x])[at : at + len(v) + 6]
+        for t in range(len(v)):
+            assert math.isclose(out[at + t], v[t] - sum(a[k] * past[t + 5 - k] for k in range(6)), abs_tol=1e-6)
+
+
+def test_subbands_by_their_formula():
+    x = np.random.default_rng(13).normal(size=160)
+    e = P.subband_energies(x)
+    for f in range(len(e)):
+        for i in range(8):
+            re = sum(P.ANALYSIS_WINDOW[k] * x[f * 8 + k] * math.cos((2 * i + 1) * (k % 16 - 4) * math.pi / 16) for k in range(128))
+            im = sum(P.ANALYSIS_WINDOW[k] * x[f * 8 + k] * math.sin((2 * i + 1) * (k % 16 - 4) * math.pi / 16) for k in range(128))
+            assert math.isclose(e[f, i], re * re + im * im, abs_tol=1e-9)
+
+
 def test_variations_flip_the_weakest_bits():
     rows = P.band_hashes(np.random.default_rng(6).random((3, 33)), 3)
     assert len(rows) == 3 * 8

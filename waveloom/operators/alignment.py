@@ -17,25 +17,29 @@ from ..functions.columns import TICKS_PER_SECOND
 HOP, RATE = 882, 44100
 
 
+def frame_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Frames against one frame: 90 * L1 difference over the sum, weighted by the sum's level; 0 for two empty frames."""
+    total = a.sum(1) + b.sum()
+    some = total > 0
+    safe = np.where(some, total, 1.0)
+    level = np.clip((8 + np.log(safe)) / 10, 0.0, 1.0)
+    return np.where(some, 90.0 * np.abs(a - b).sum(1) / safe * level, 0.0)
+
+
 def frame_cost(a: np.ndarray, b: np.ndarray) -> float:
-    """90 * L1 difference over the sum, weighted by the sum's level; 0 for two empty frames."""
-    total = float(a.sum() + b.sum())
-    if total == 0:
-        return 0.0
-    level = min(1.0, max(0.0, (8 + math.log(total)) / 10)) if total > 0 else 0.0
-    return 90.0 * float(np.abs(a - b).sum()) / total * level
+    return float(frame_costs(a[None, :], b)[0])
 
 
-def backtrack(total: dict, i: int, j: int) -> list[tuple[int, int]]:
-    """The path from (0, 0): the diagonal first, then i - 1, then j - 1 among equal costs."""
-    inf, path = math.inf, [(i, j)]
+def backtrack(total, i: int, j: int) -> list[tuple[int, int]]:
+    """The path from (0, 0) by the costs total(i, j): the diagonal first, then i - 1, then j - 1 among equal ones."""
+    path = [(i, j)]
     while i > 0 or j > 0:
         if i == 0:
             j -= 1
         elif j == 0:
             i -= 1
         else:
-            d, u, l = total.get((i - 1, j - 1), inf), total.get((i - 1, j), inf), total.get((i, j - 1), inf)
+            d, u, l = total(i - 1, j - 1), total(i - 1, j), total(i, j - 1)
             least = min(d, u, l)
             if d == least:
                 i, j = i - 1, j - 1
@@ -47,29 +51,39 @@ def backtrack(total: dict, i: int, j: int) -> list[tuple[int, int]]:
     return path[::-1]
 
 
+def band(n: int, m: int, width: int) -> tuple[list[int], list[int]]:
+    """For each row 1 .. n the first and last column of the band: from a cell of the line between the ends, `width` cells back along its row and column."""
+    # the band's centre goes from the first frames to the last ones of both sides
+    dn, dm = (1.0, 1.0) if n == m else (1.0, (m - 1) / (n - 1)) if n > m else ((n - 1) / (m - 1), 1.0)
+    steps = np.arange(max(n, m))
+    x, y = np.minimum(n, (steps * dn + 1e-9).astype(int) + 1), np.minimum(m, (steps * dm + 1e-9).astype(int) + 1)
+    rows = np.arange(1, n + 1)
+    first = np.maximum(1, y[np.searchsorted(x, rows, "left")] - width)
+    last = y[np.searchsorted(x, np.minimum(n, rows + width), "right") - 1]
+    return first.tolist(), last.tolist()
+
+
 def dtw(a: np.ndarray, b: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """The cheapest path in a band of `width` cells along the n : m diagonal, in 1-based cells from (0, 0)."""
+    """The cheapest path in a band of `width` cells along the n : m diagonal, in 1-based cells from (0, 0). Rows of the band are kept, so memory is
+    n * width."""
     n, m = len(a), len(b)
     if not n or not m:
         return []
-    width = max(width, 1)
-    # the band's centre goes from the first frames to the last ones of both sides
-    dn, dm = (1.0, 1.0) if n == m else (1.0, (m - 1) / (n - 1)) if n > m else ((n - 1) / (m - 1), 1.0)
-    total = {(0, 0): 0.0}
     inf = math.inf
-
-    def fill(i, j):
-        total[i, j] = frame_cost(a[i - 1], b[j - 1]) + min(total.get((i - 1, j), inf), total.get((i, j - 1), inf), total.get((i - 1, j - 1), inf))
-
-    pn = pm = 0.0
-    x = y = 0
-    while x < n or y < m:
-        x, y = min(n, int(pn + 1e-9) + 1), min(m, int(pm + 1e-9) + 1)
-        for i in range(max(x - width, 1), x + 1):
-            fill(i, y)
-        for j in range(max(y - width, 1), y + 1):
-            fill(x, j)
-        pn, pm = pn + dn, pm + dm
+    first, last = band(n, m, max(width, 1))
+    first, last, rows = [0, *first], [0, *last], [[0.0]]
+
+    def total(i: int, j: int) -> float:
+        return rows[i][j - first[i]] if first[i] <= j <= last[i] else inf
+
+    for i in range(1, n + 1):
+        low, high = first[i], last[i]
+        above = [total(i - 1, j) for j in range(low - 1, high + 1)]
+        left, row = inf, []
+        for c, d, u in zip(frame_costs(b[low - 1 : high], a[i - 1]).tolist(), above, above[1:]):
+            left = c + min(u, left, d)
+            row.append(left)
+        rows.append(row)
     return backtrack(total, n, m)
 
 
@@ -82,20 +96,20 @@ def oltw(a: np.ndarray, b: np.ndarray, width: int, max_run: int = 3, diagonal: f
     c = max(1, min(width, n, m))
     inf = math.inf
     total = {(0, 0): frame_cost(a[0], b[0])}
+    get = total.get
     i = j = run = 0
     previous = None
     per = (lambda x, y: 1 + x + y) if by_length else (lambda x, y: 1)
 
-    def fill(x, y):
-        cost = frame_cost(a[x], b[y])
-        total[x, y] = min(total.get((x - 1, y - 1), inf) + diagonal * cost, total.get((x - 1, y), inf) + cost, total.get((x, y - 1), inf) + cost)
+    def fill(x, y, cost):
+        total[x, y] = min(get((x - 1, y - 1), inf) + diagonal * cost, get((x - 1, y), inf) + cost, get((x, y - 1), inf) + cost)
 
     while i < n - 1 or j < m - 1:
         if i < c:
             step = "both"
         else:
-            row = min(((total.get((x, j), inf) / per(x, j), -x) for x in range(max(0, i - c + 1), i + 1)))
-            col = min(((total.get((i, y), inf) / per(i, y), -y) for y in range(max(0, j - c + 1), j + 1)))
+            row = min(((get((x, j), inf) / per(x, j), -x) for x in range(max(0, i - c + 1), i + 1)))
+            col = min(((get((i, y), inf) / per(i, y), -y) for y in range(max(0, j - c + 1), j + 1)))
             step = "both" if -row[1] == i and -col[1] == j else "row" if row[0] < col[0] else "column"
         run = run + 1 if step == previous else run
         if step == "both":
@@ -109,14 +123,16 @@ def oltw(a: np.ndarray, b: np.ndarray, width: int, max_run: int = 3, diagonal: f
             step = "row"
         if j < m - 1 and step in ("row", "both"):
             j += 1
-            for x in range(max(i - c + 1, 0), i + 1):
-                fill(x, j)
+            low = max(i - c + 1, 0)
+            for x, cost in enumerate(frame_costs(a[low : i + 1], b[j]).tolist(), low):
+                fill(x, j, cost)
         if i < n - 1 and step in ("column", "both"):
             i += 1
-            for y in range(max(j - c + 1, 0), j + 1):
-                fill(i, y)
+            low = max(j - c + 1, 0)
+            for y, cost in enumerate(frame_costs(b[low : j + 1], a[i]).tolist(), low):
+                fill(i, y, cost)
         previous = step
-    return backtrack(total, n - 1, m - 1)
+    return backtrack(lambda x, y: get((x, y), inf), n - 1, m - 1)
 
 
 def smooth(path: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,6 +1,6 @@
 """Fingerprint generators: mono signals to (track_id, idx, hash, is_variation).
 
-A track is the unit of work. hashes() sends each track's samples to one kernel, in Arrow batches; the kernels are numpy. Signals
+hashes() sends blocks of frames, or whole tracks where a generator has a running state, to a kernel; the kernels are numpy. Signals
 must have the profile's rate already (see resample).
 """
 
@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.columns import pack_peaks
 from .spectral import band_bins, chroma_classes, log_edges, spectrum
 from .windows import WindowConfig
 
@@ -121,12 +123,11 @@ def spectral_peaks(row: np.ndarray) -> list[int]:
     return out
 
 
-def wang(values: np.ndarray, p: PeakProfile = PEAK_PROFILES["default"]) -> list[tuple[int, int, bool]]:
-    """Peaks above a temporal average, the largest few a frame, paired with those of a zone ahead; the zone counts frames that were kept. Ties in
-    mean energy go by bins and distance."""
+def frame_peaks(values: np.ndarray, p: PeakProfile, average: np.ndarray | None = None) -> tuple[list[tuple[int, list[tuple[int, float]]]], np.ndarray | None, int]:
+    """(frame, its peaks as (bin, energy)) of the frames that are loud enough: the largest few above a running average of spectra; also that
+    average after the last frame, from which more can go on, and the number of frames."""
     spectra = spectrum(np.fft.rfft(_frames(values, p.size, p.hop) * np.array(WindowConfig("Hann", p.size).values()), axis=1)[:, : p.size // 2], "decibel", p.size // 2)
-    kept: list[tuple[int, list[tuple[int, float]]]] = []
-    average = None
+    kept = []
     for f, row in enumerate(spectra):
         if row.mean() < p.least_mean:
             continue
@@ -134,8 +135,14 @@ def wang(values: np.ndarray, p: PeakProfile = PEAK_PROFILES["default"]) -> list[
         rest = row - average - p.drop
         top = sorted(spectral_peaks(rest), key=lambda k: -rest[k])[: p.peaks]
         kept.append((f, [(k, float(row[k])) for k in sorted(top)]))
+    return kept, average, len(spectra)
+
+
+def zone_hashes(kept: list[tuple[int, list[tuple[int, float]]]], n: int, p: PeakProfile) -> list[tuple[int, int]]:
+    """(frame, hash) of the first n frames: pairs with peaks of the zone ahead, which counts frames that were kept. Ties in mean energy go by bins
+    and distance."""
     out = []
-    for at, (f, peaks) in enumerate(kept[: max(0, len(kept) - p.distance)]):
+    for at, (f, peaks) in enumerate(kept[:n]):
         pairs = []
         for ahead in range(p.distance, p.distance + p.length):
             if at + ahead >= len(kept):
@@ -143,10 +150,15 @@ def wang(values: np.ndarray, p: PeakProfile = PEAK_PROFILES["default"]) -> list[
             for b1, e1 in peaks:
                 pairs += [((e1 + e2) / 2, b1, b2, ahead) for b2, e2 in kept[at + ahead][1] if abs(b1 - b2) <= p.width / 2]
         pairs.sort(key=lambda x: (-x[0], *x[1:]))
-        out += [(f, h, False) for h in sorted((b1 & 255) << 16 | (b2 & 255) << 8 | (d & 255) for _, b1, b2, d in pairs[: p.fanout])]
+        out += [(f, h) for h in sorted((b1 & 255) << 16 | (b2 & 255) << 8 | (d & 255) for _, b1, b2, d in pairs[: p.fanout])]
     return out
 
 
+def wang(values: np.ndarray, p: PeakProfile = PEAK_PROFILES["default"]) -> list[tuple[int, int, bool]]:
+    kept, _, _ = frame_peaks(values, p)
+    return [(f, h, False) for f, h in zone_hashes(kept, max(0, len(kept) - p.distance), p)]
+
+
 # ---- Chromaprint: classified rectangles of a chroma image
 
 #: Fixed values: (filter, first class, height in classes, width in frames; thresholds), as published with Chromaprint.
@@ -414,16 +426,47 @@ KERNELS = {"hk": haitsma_kalker, "wang": wang, "chromaprint": chromaprint, "echo
 SOURCES = {"hk": "FP-HK02", "wang": "FP-W03", "chromaprint": "FP-CP", "echoprint": "FP-EP"}
 
 
+#: Frames of a block. Generators whose hashes depend on few frames are dealt in blocks: on how many before and after, by profile.
+BLOCK_FRAMES = 1024
+REACH = {"hk": lambda p: (1, 0), "chromaprint": lambda p: (0, len(SMOOTHING) - 1 + max(w for (_, _, _, w), _ in p.classifiers) - 1)}
+DEFAULTS = {"hk": BAND_PROFILES["default"], "wang": PEAK_PROFILES["default"], "chromaprint": CHROMA_PROFILES["default"], "echoprint": OnsetProfile()}
+
+
 def hashes(df: DataFrame, kind: str, profile=None) -> DataFrame:
-    """Mono signals (track_id, idx, value) -> hashes, a track at a time."""
-    kernel = KERNELS[kind]
+    """Mono signals (track_id, idx, value) -> hashes. Where a hash depends on few frames, tracks of any length are dealt in blocks with the
+    frames around them; generators with a running state take a track at a time."""
+    kernel, profile = KERNELS[kind], profile or DEFAULTS[kind]
+    blocked = kind in REACH
+    before, after = REACH[kind](profile) if blocked else (0, 0)
+    span = BLOCK_FRAMES * profile.hop if blocked else 1
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        values = part.sort_values("idx")["value"].to_numpy(float)
-        rows = kernel(values, profile) if profile is not None else kernel(values)
+        part = part.sort_values("idx")
+        block = int(part["block"].iloc[0])
+        rows = kernel(part["value"].to_numpy(float), profile)
         out = pd.DataFrame(rows, columns=["idx", "hash", "is_variation"]).astype({"idx": "int64", "hash": "int64", "is_variation": bool})
         out.insert(0, "track_id", part["track_id"].iloc[0])
+        if blocked:
+            out["idx"] += max(0, block * BLOCK_FRAMES - before)
+            out = out[(out["idx"] >= block * BLOCK_FRAMES) & (out["idx"] < (block + 1) * BLOCK_FRAMES)]
         return out
 
     rows = df.select("track_id", "idx", F.col("value").cast("double").alias("value"))
-    return rows.groupBy("track_id").applyInPandas(run, "track_id long, idx long, hash long, is_variation boolean")
+    if blocked:
+        low = F.ceil((F.col("idx") - (profile.size - 1) - (BLOCK_FRAMES - 1 + after) * profile.hop) / span)
+        high = F.floor((F.col("idx") + before * profile.hop) / span)
+        rows = rows.withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), low), high)))
+    else:
+        rows = rows.withColumn("block", F.lit(0).cast("long"))
+    return rows.groupBy("track_id", "block").applyInPandas(run, "track_id long, idx long, hash long, is_variation boolean")
+
+
+def pair_peaks(peaks: DataFrame, p: PeakProfile = PEAK_PROFILES["default"]) -> DataFrame:
+    """Peaks (track_id, frame_idx, bin, energy) -> (track_id, idx, hash): each with the peaks of a zone ahead, in frames and bins, the `fanout` pairs of a
+    frame with the largest mean energy. Frames ahead are exploded on one side, so the zone is an equi-join; frames are counted as given."""
+    a = peaks.select("track_id", F.col("frame_idx").alias("idx"), F.col("bin").alias("b1"), F.col("energy").alias("e1"), F.explode(F.sequence(F.lit(p.distance), F.lit(p.distance + p.length - 1))).alias("d"))
+    b = peaks.select("track_id", F.col("frame_idx").alias("ahead"), F.col("bin").alias("b2"), F.col("energy").alias("e2"))
+    pairs = a.withColumn("ahead", F.col("idx") + F.col("d")).join(b, ["track_id", "ahead"]).where(F.abs(F.col("b1") - F.col("b2")) <= p.width / 2)
+    order = Window.partitionBy("track_id", "idx").orderBy(F.desc(F.col("e1") + F.col("e2")), "b1", "b2", "d")
+    pairs = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= p.fanout)
+    return pairs.select("track_id", "idx", pack_peaks(F.col("b1"), F.col("b2"), F.col("d")).alias("hash"))

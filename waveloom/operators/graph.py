@@ -40,9 +40,16 @@ def edges_of(edges: DataFrame, node) -> DataFrame:
     return edges.where((F.col("u") == node) | (F.col("v") == node))
 
 
+#: Edges that a task of a spanning forest takes.
+EDGES = 1 << 18
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """The minimum spanning tree of each group (group_id, u, v, weight); ties by (u, v). Kruskal's rule, a group a task: groups
-    are tracks of a project."""
+    """The minimum spanning tree of each group (group_id, u, v, weight); ties by (u, v).
+
+    Edges of a large group are dealt into chunks: what is not in the forest of its chunk is not in the group's, so each round leaves at most a chunk's
+    nodes of each, until a group is one chunk, or chunks do not shrink any more. A task so holds EDGES edges, or those of a forest.
+    """
 
     def tree(part):
         root: dict = {}
@@ -53,11 +60,22 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
                 x = root[x]
             return x
 
+        part = part.sort_values(["weight", "u", "v"])
         keep = []
-        for r in part.sort_values(["weight", "u", "v"]).itertuples():
-            a, b = find(r.u), find(r.v)
+        for u, v in zip(part["u"].tolist(), part["v"].tolist()):
+            a, b = find(u), find(v)
             keep.append(a != b)
             root[a] = b
-        return part.sort_values(["weight", "u", "v"])[keep]
-
-    return edges.select("group_id", "u", "v", "weight").groupBy("group_id").applyInPandas(tree, edges.select("group_id", "u", "v", "weight").schema)
+        return part[keep]
+
+    rows = edges.select("group_id", "u", "v", "weight")
+    largest = rows.groupBy("group_id").count().agg(F.max("count")).first()[0] or 0
+    while largest > EDGES:
+        sizes = rows.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / EDGES).alias("parts")).withColumnRenamed("group_id", "__g")
+        dealt = rows.join(sizes, F.col("group_id") == F.col("__g")).withColumn("__part", F.pmod(F.xxhash64("u", "v"), F.col("parts")))
+        rows = materialize(dealt.groupBy("group_id", "__part").applyInPandas(lambda part: tree(part[["group_id", "u", "v", "weight"]]), rows.schema), "forest")
+        left = rows.groupBy("group_id").count().agg(F.max("count")).first()[0]
+        if left > 0.9 * largest:
+            break
+        largest = left
+    return rows.groupBy("group_id").applyInPandas(tree, rows.schema)

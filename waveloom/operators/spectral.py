@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import SILENCE, spectrum_db
-from .windows import WindowConfig
+from .windows import WindowConfig, frames
 
 FORMATS = ("complex", "magnitude", "squared", "polar", "decibel")
 
@@ -205,6 +205,27 @@ def onset_frames(values: np.ndarray, rate: int = 44100, size: int = 2048, hop: i
     return np.divide(rise, s, out=rise, where=s > 0)
 
 
+def onset_spectra(df: DataFrame, rate: int = 44100, size: int = 2048, hop: int = 882, silence: float = 0.0004) -> DataFrame:
+    """onset_frames() of signals (track_id, idx, value) of any length: (track_id, frame_idx, band, rise)."""
+    window, of = np.array(WindowConfig("Hamming", size).values()), onset_band_map(rate, size)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.array(batch.column(2).to_pylist(), float) * window
+            power = np.abs(np.fft.rfft(raw, axis=1)[:, : size // 2]) ** 2
+            total = np.zeros((len(raw), 84))
+            np.add.at(total.T, of, power.T)
+            silent = np.sqrt((raw**2).mean(1)) <= silence
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(silent), pa.array(list(total))], ["track_id", "frame_idx", "silent", "energies"])
+
+    out = frames(df, size, hop).select(F.col("track_id").cast("long"), F.col("frame_idx").cast("long"), "values")
+    out = out.mapInArrow(run, "track_id long, frame_idx long, silent boolean, energies array<double>")
+    rows = out.select("track_id", "frame_idx", "silent", F.posexplode("energies").alias("band", "energy"))
+    return rectified_difference(rows, silent=F.col("silent")).select("track_id", "frame_idx", "band", "rise")
+
+
 def analyzer_offset(config: WindowConfig) -> float:
     """Decibels that bring a full-scale tone of 16 cycles in 1024 samples to 1 under a window: what its gain takes away."""
     tone = np.sin(2 * np.pi * 16 * np.arange(1024) / 1024)

@@ -14,6 +14,7 @@ from ..sources import sinks
 from ..streaming import stateful
 from .inputs import MATCHES, SIGNAL, TRACKS, hashes, hashes_sql, matches, rounded, signal, table, tracks
 from .registry import query
+from .spectral_queries import BAND, CHROMA, PEAK, _chromaprint_sql, _hk_sql, _long, _wang_sql
 
 N = 8
 _H = hashes_sql()
@@ -473,3 +474,27 @@ def stream_late_rows(spark, sf):
         run.awaitTermination()
     out = spark.read.schema("track_id long, frame_idx long, values array<double>, n_late long").parquet(f"{base}/out")
     return out.where("frame_idx >= 30").select("track_id", F.col("frame_idx").alias("idx"), F.col("values")[0].alias("value"), "n_late")
+
+
+def _live(name, sql, step):
+    def run(spark, sf):
+        df = _long(spark, sf).select("track_id", "idx", "value")
+        base = scratch(spark, "live")
+        for part in (df.where("idx < 3000"), df.where("idx >= 3000")):
+            part.write.mode("append").parquet(f"{base}/in")
+            source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+            out = step(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            out.awaitTermination()
+        return spark.read.schema("track_id long, idx long, hash long").parquet(f"{base}/out")
+
+    run.__doc__ = "Hashes of a stream of samples in two parts: those of the whole signal."
+    query(sql, name)(run)
+
+
+_live("stream_live_hashes", f"SELECT track_id, idx, hash FROM ({_hk_sql()}) WHERE NOT is_variation", lambda s: stateful.live_hashes(s, BAND))
+_live("stream_live_chromaprint", f"SELECT track_id, idx, hash FROM ({_chromaprint_sql()})", lambda s: stateful.live_chromaprint(s, CHROMA))
+# frames whose zone has not come in full have no hashes yet
+_live(
+    "stream_live_wang", f"WITH z AS ({_wang_sql()}), n AS (SELECT user_id AS track_id, (count(*) * 128 - {PEAK.size}) // {PEAK.hop} + 1 AS n FROM events GROUP BY ALL) SELECT track_id, idx, hash FROM z JOIN n USING (track_id) WHERE idx < n - {PEAK.distance + PEAK.length - 1}",
+    lambda s: stateful.live_wang(s, PEAK),
+)

@@ -167,11 +167,30 @@ def music_activation(spark, sf):
     return M.activation(df, 10, 5).select("track_id", "block", "bin", F.round("activation", 6).alias("activation"))
 
 
-@query()
+_ACTIVE = (
+    f"{DFT}, l AS (SELECT *, CASE WHEN magnitude - avg(magnitude) OVER (PARTITION BY track_id, frame_idx ORDER BY bin ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) > 0.1 THEN 1.0 ELSE 0.0 END::DOUBLE AS active, "
+    "dense_rank() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS f, FROM mg), n AS (SELECT track_id, max(f) + 1 AS n FROM l GROUP BY ALL), b AS (SELECT track_id, unnest(range(0, greatest(0, (n - 10) // 5 + 1))) AS block FROM n), "
+    "ac AS (SELECT b.track_id, b.block, l.bin, avg(active) AS v FROM b JOIN l ON l.track_id = b.track_id AND l.f >= b.block * 5 AND l.f < b.block * 5 + 10 GROUP BY ALL), "
+    "rn AS (SELECT *, sum(CASE WHEN v > p THEN 0 ELSE 1 END) OVER w AS up, sum(CASE WHEN v < p THEN 0 ELSE 1 END) OVER w AS dn, lead(v) OVER w AS nx FROM (SELECT *, lag(v) OVER (PARTITION BY track_id, block ORDER BY bin) AS p FROM ac) WINDOW w AS (PARTITION BY track_id, block ORDER BY bin)), "
+    "sd AS (SELECT *, v - min(v) OVER u AS hl, bin - min(bin) OVER u AS wl, v - min(v) OVER d AS hr, max(bin) OVER d - bin AS wr FROM rn WINDOW u AS (PARTITION BY track_id, block, up), d AS (PARTITION BY track_id, block, dn)), "
+    "pk AS (SELECT track_id, block, CASE WHEN hl < hr OR hl = hr AND wl <= wr THEN CASE WHEN wl > 0 THEN hl / wl ELSE 0 END ELSE CASE WHEN wr > 0 THEN hr / wr ELSE 0 END END AS s FROM sd WHERE v > p AND v >= nx), "
+    "st AS (SELECT b.track_id, b.block, coalesce(list_sum(list_sort(list(s) FILTER (s IS NOT NULL), 'DESC')[1:5]), 0)::DOUBLE AS strength FROM b LEFT JOIN pk USING (track_id, block) GROUP BY ALL)"
+)
+#: The middle of the strengths of these blocks, so that both labels occur.
+_MUSIC_BAR = 1.9
+
+
+@query(
+    f"WITH RECURSIVE {_ACTIVE}, p0 AS (SELECT track_id, list(strength > {_MUSIC_BAR} ORDER BY block) AS l FROM st GROUP BY ALL), "
+    "p1(track_id, k, l) AS (SELECT track_id, 2, l FROM p0 UNION ALL SELECT track_id, k + 1, CASE WHEN l[k - 1] = l[k + 1] AND l[k] <> l[k - 1] THEN list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = k THEN l[k - 1] ELSE l[i] END) ELSE l END FROM p1 WHERE k < len(l)), "
+    "m1 AS (SELECT track_id, arg_max(l, k) AS l FROM p1 GROUP BY ALL), p2(track_id, k, l) AS (SELECT track_id, 2, l FROM m1 UNION ALL SELECT track_id, k + 1, CASE WHEN l[k - 1] = l[k + 2] AND l[k] <> l[k - 1] AND l[k + 1] <> l[k - 1] "
+    "THEN list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = k OR i = k + 1 THEN l[k - 1] ELSE l[i] END) ELSE l END FROM p2 WHERE k + 1 < len(l)), "
+    "m2 AS (SELECT track_id, arg_max(l, k) AS l FROM p2 GROUP BY ALL) SELECT st.track_id, block, round(strength, 6) AS strength, l[block + 1] AS is_music FROM st JOIN m2 USING (track_id)"
+)
 def music_labels(spark, sf):
     order = Window.partitionBy("track_id").orderBy("frame_idx")
     df = M.binarize(M.emphasize(bins(spark, sf), "magnitude")).withColumn("frame_idx", (F.dense_rank().over(order) - 1).cast("long"))
-    return M.label(M.quantify(M.activation(df, 10, 5)))
+    return M.label(M.quantify(M.activation(df, 10, 5)), _MUSIC_BAR).withColumn("strength", F.round("strength", 6))
 
 
 @query(f"WITH {DFT} SELECT track_id, frame_idx, round(sum(magnitude), 4) AS total FROM mg GROUP BY ALL")
@@ -380,13 +399,63 @@ def fp_chromaprint_small(spark, sf):
     return P.hashes(_long(spark, sf), "chromaprint", CHROMA)
 
 
-def _align(kind):
+@query(
+    f"WITH {DFT}, tp AS (SELECT * FROM mg QUALIFY row_number() OVER (PARTITION BY track_id, frame_idx ORDER BY magnitude DESC, bin) <= 4), "
+    f"pr AS (SELECT a.track_id, a.frame_idx AS idx, a.bin AS b1, b.bin AS b2, b.frame_idx - a.frame_idx AS d, a.magnitude + b.magnitude AS e FROM tp a JOIN tp b ON b.track_id = a.track_id AND b.frame_idx BETWEEN a.frame_idx + {PEAK.distance} AND a.frame_idx + {PEAK.distance + PEAK.length - 1} AND abs(a.bin - b.bin) <= {PEAK.width / 2}), "
+    f"kp AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY track_id, idx ORDER BY e DESC, b1, b2, d) <= {PEAK.fanout}) SELECT track_id, idx, (((b1 & 255) << 16) | ((b2 & 255) << 8) | (d & 255))::BIGINT AS hash FROM kp"
+)
+def fp_zone_pairs(spark, sf):
+    """Pairs of the four loudest bins of frames with those of a zone ahead, as a join."""
+    order = Window.partitionBy("track_id", "frame_idx").orderBy(F.desc("magnitude"), "bin")
+    peaks = bins(spark, sf).withColumn("rn", F.row_number().over(order)).where("rn <= 4").select("track_id", "frame_idx", "bin", F.col("magnitude").alias("energy"))
+    return P.pair_peaks(peaks, PEAK)
+
+
+def _onset_sql() -> str:
+    table = ", ".join(f"({k}, {b})" for k, b in enumerate(X.onset_band_map()))
+    return (
+        f"WITH {long_frames_sql(2048, 882)}, {windowed_sql('fr', 'Hamming', 2048)}, cl(bin, band) AS (VALUES {table}), si AS (SELECT track_id, frame_idx, sqrt(list_sum(list_transform(v, lambda x: x * x)) / 2048) <= 0.0004 AS silent FROM wv), "
+        "en AS (SELECT track_id, frame_idx, band, sum(magnitude * magnitude) AS e FROM mg JOIN cl USING (bin) GROUP BY ALL), "
+        "al AS (SELECT si.track_id, si.frame_idx, b.band, silent, coalesce(e, 0) AS e FROM si CROSS JOIN range(84) b(band) LEFT JOIN en ON en.track_id = si.track_id AND en.frame_idx = si.frame_idx AND en.band = b.band), "
+        "df AS (SELECT *, CASE WHEN silent THEN 0.0 ELSE greatest(0.0::DOUBLE, e - coalesce(lag(e) OVER (PARTITION BY track_id, band ORDER BY frame_idx), 0)) END AS rise, sum(e) OVER (PARTITION BY track_id, frame_idx) AS total FROM al) "
+        "SELECT track_id, frame_idx, band::INT AS band, round(CASE WHEN total > 0 THEN rise / total ELSE rise END, 6) + 0.0 AS rise FROM df"
+    )
+
+
+@query(_onset_sql())
+def spec_onset_frames(spark, sf):
+    """The 84-band onset spectra of the long signals."""
+    return X.onset_spectra(_long(spark, sf)).withColumn("rise", rounded(F.col("rise")))
+
+
+_DTW = (
+    f"WITH RECURSIVE {FRAMES}, sq AS MATERIALIZED (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) AS i, list_transform(v, lambda x: abs(x)) AS v, list_sum(list_transform(v, lambda x: abs(x))) AS s FROM fr), "
+    "ce AS (SELECT a.track_id AS pair, a.i, b.i AS j, a.s + b.s AS t, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS d FROM sq a JOIN sq b ON b.track_id = a.track_id + 1), "
+    "cs AS MATERIALIZED (SELECT pair, i, list(90 * d / t * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (8 + ln(t)) / 10)) ORDER BY j) AS c FROM ce GROUP BY ALL), "
+    "rw(pair, i, t) AS (SELECT pair, 0::BIGINT, [0.0::DOUBLE] || list_transform(c, lambda x: 'inf'::DOUBLE) FROM cs WHERE i = 1 UNION ALL "
+    "SELECT pair, i, ['inf'::DOUBLE] || list_transform(range(1, len(c) + 1), lambda j: cum[j] + list_min(g[1:j])) FROM ("
+    "SELECT pair, i, c, cum, list_transform(range(1, len(c) + 1), lambda j: least(t[j], t[j + 1]) - cum[j] + c[j]) AS g FROM ("
+    "SELECT r.pair, k.i, k.c, r.t, list_transform(range(1, len(k.c) + 1), lambda j: list_sum(k.c[1:j])) AS cum FROM rw r JOIN cs k ON k.pair = r.pair AND k.i = r.i + 1))), "
+    "tt AS MATERIALIZED (SELECT * FROM rw), bt(pair, i, j, s) AS (SELECT pair, max(i), (SELECT max(j) FROM ce WHERE ce.pair = tt.pair), 0 FROM tt GROUP BY pair UNION ALL "
+    "SELECT pair, CASE WHEN i = 0 THEN i WHEN j = 0 OR d = lo OR u = lo THEN i - 1 ELSE i END, CASE WHEN i = 0 THEN j - 1 WHEN j = 0 THEN j WHEN d = lo THEN j - 1 WHEN u = lo THEN j ELSE j - 1 END, s + 1 FROM ("
+    "SELECT bt.pair, bt.i, bt.j, bt.s, p.t[bt.j] AS d, p.t[bt.j + 1] AS u, least(p.t[bt.j], p.t[bt.j + 1], q.t[bt.j]) AS lo FROM bt JOIN tt q ON q.pair = bt.pair AND q.i = bt.i LEFT JOIN tt p ON p.pair = bt.pair AND p.i = bt.i - 1 WHERE bt.i > 0 OR bt.j > 0)) "
+    "SELECT pair AS pair_id, (row_number() OVER (PARTITION BY pair ORDER BY s DESC) - 1)::INT AS step, i AS i1, j AS i2, i * 200000 AS t1, j * 200000 AS t2 FROM bt"
+)
+
+
+@query(_DTW)
+def align_dtw_path(spark, sf):
+    """The cheapest paths between neighbouring tracks, every cell of them."""
+    return _align("dtw", False)(spark, sf)
+
+
+def _align(kind, optimize=True):
     def run(spark, sf):
         df = frames(spark, sf).withColumn("values", F.transform("values", lambda x: F.abs(x)))
         next_ = df.select((F.col("track_id") - 1).alias("track_id")).distinct()
         pairs = df.select("track_id").distinct().join(next_, "track_id").select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("track1"), (F.col("track_id") + 1).alias("track2"))
         order = Window.partitionBy("track_id").orderBy("frame_idx")
-        return A.align(pairs, df.withColumn("frame_idx", F.row_number().over(order)), kind)
+        return A.align(pairs, df.withColumn("frame_idx", F.row_number().over(order)), kind, optimize=optimize)
 
     return run
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.fingerprints import BAND_PROFILES, BandProfile, band_energies, band_hashes
+from ..operators.fingerprints import BAND_PROFILES, CHROMA_PROFILES, PEAK_PROFILES, BandProfile, ChromaProfile, PeakProfile, band_energies, band_hashes, chromaprint, frame_peaks, zone_hashes
 
 
 class RingBuffer:
@@ -103,6 +103,44 @@ def live_hashes(stream: DataFrame, profile: BandProfile = BAND_PROFILES["default
     )
 
 
+def live_chromaprint(stream: DataFrame, profile: ChromaProfile = CHROMA_PROFILES["default"]) -> DataFrame:
+    """Chromaprint hashes of a stream. A hash needs the frames of its rectangles only, so the state is the samples of frames without a hash yet."""
+
+    def run(key, parts, state: GroupState):
+        last, index, tail = state.get if state.exists else (-1, 0, [])
+        values, last, _ = _ordered(parts, last)
+        held = np.concatenate([np.array(tail, float), values])
+        rows = chromaprint(held, profile)
+        out = [(key[0], index + f, h) for f, h, _ in rows]
+        state.update((last, index + len(rows), held[len(rows) * profile.hop :].tolist()))
+        yield pd.DataFrame(out, columns=["track_id", "idx", "hash"])
+
+    return stream.groupBy("track_id").applyInPandasWithState(run, "track_id long, idx long, hash long", "last long, index long, tail array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_wang(stream: DataFrame, profile: PeakProfile = PEAK_PROFILES["default"]) -> DataFrame:
+    """Wang hashes of a stream, as soon as a frame's whole zone has come. State is the tail of samples, the running average of spectra, and the
+    peaks of frames whose zone is open: (frame, bins, energies)."""
+    zone = profile.distance + profile.length - 1
+
+    def run(key, parts, state: GroupState):
+        last, index, tail, average, frames, bins, energies = state.get if state.exists else (-1, 0, [], [], [], [], [])
+        values, last, _ = _ordered(parts, last)
+        held = np.concatenate([np.array(tail, float), values])
+        kept = [(f, list(zip(b, e))) for f, b, e in zip(frames, bins, energies)]
+        found, average_, n = frame_peaks(held, profile, np.array(average) if average else None)
+        kept += [(f + index, peaks) for f, peaks in found]
+        whole = max(0, len(kept) - zone)
+        out = [(key[0], f, h) for f, h in zone_hashes(kept, whole, profile)]
+        kept = kept[whole:]
+        tail = held[n * profile.hop :].tolist()
+        state.update((last, index + n, tail, [] if average_ is None else average_.tolist(), [f for f, _ in kept], [[int(b) for b, _ in p] for _, p in kept], [[float(e) for _, e in p] for _, p in kept]))
+        yield pd.DataFrame(out, columns=["track_id", "idx", "hash"])
+
+    schema = "last long, index long, tail array<double>, average array<double>, frames array<long>, bins array<array<long>>, energies array<array<double>>"
+    return stream.groupBy("track_id").applyInPandasWithState(run, "track_id long, idx long, hash long", schema, "append", GroupStateTimeout.NoTimeout)
+
+
 def ring(stream: DataFrame, capacity: int) -> DataFrame:
     """The last `capacity` samples of each track, after each micro-batch: (track_id, last, values)."""
 
