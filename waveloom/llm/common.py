@@ -47,33 +47,24 @@ def hold(owner: str, forget: Callable[[], None]) -> None:
     pa.default_memory_pool().release_unused()
 
 
-class Remembered(dict):
-    """A memory of bounded size: when `most` keys are held they become the former generation, and only those asked for again live on.
-
-    Keys longer than LONGEST are made anew each time, so bytes are bounded as well.
-    """
-
-    LONGEST = 64
-
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most, self.former = make, most, {}
-
-    def __missing__(self, key):
-        found = self.former.get(key)
-        if found is None:
-            found = self.make(key)
-            if len(key) > self.LONGEST:
-                return found
-        if len(self) >= self.most:
-            self.former = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-    def forget(self) -> None:
-        self.clear()
-        self.former = {}
+def word_hashes(texts: pa.Array, of: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """of(bytes) of every word of some texts, one after another, and how many words each text has. Each distinct word is hashed once."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    texts = pc.fill_null(texts, "")
+    for c in "\t\n\x0b\x0c\r":
+        texts = pc.replace_substring(texts, c, " ")
+    lists = pc.split_pattern(texts, " ")
+    real = pc.not_equal(pc.binary_length(lists.values), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    coded = lists.values.filter(real).dictionary_encode()
+    _, offsets, data = coded.dictionary.buffers()
+    at = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1].tolist() if len(coded.dictionary) else [0]
+    data = memoryview(data) if data is not None else b""
+    hashed = np.fromiter((of(data[a:b]) for a, b in zip(at, at[1:])), np.uint64, len(at) - 1)
+    return hashed[coded.indices.to_numpy()], np.diff(before[lists.offsets.to_numpy()])
 
 
 def words(text: str) -> list[str]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, hold, words
+from .common import word_hashes
 
 #: Least number of words that smoothing leaves room for, weight of the bigram estimate, mass added to every word.
 VOCABULARY, LAMBDA, ADDED = 1 << 18, 0.7, 0.5
@@ -29,12 +29,10 @@ START = 0
 CHUNK, CHUNKS_PER_SHARD = 1 << 22, 4
 
 
-#: Word -> id of 63 bits; never 0, which is START.
-IDS = Remembered(lambda word: (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1) or 1, 1 << 18)
-
-
-def word_ids(text: str | None) -> np.ndarray:
-    return np.fromiter(map(IDS.__getitem__, words(text or "")), np.int64)
+def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of 63 bits of all words, never 0, which is START, and how many words each text has."""
+    flat, sizes = word_hashes(texts, xxhash.xxh3_64_intdigest)
+    return np.maximum(flat >> np.uint64(1), np.uint64(1)).astype(np.int64), sizes
 
 
 def bigram_ids(ids: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
@@ -49,12 +47,10 @@ class Chunk:
     """The tokens of some texts as places in their sorted distinct words (START is the first) and bigrams."""
 
     def __init__(self, texts: pa.Table, good: set[int]):
-        hold("lm_scoring", IDS.forget)
-        found = [word_ids(t.as_py()) for t in texts.column("text")]
-        self.sizes = np.array([len(f) for f in found], np.int64)
+        found, self.sizes = word_ids(texts.column("text"))
         self.target = np.array([d in good for d in texts.column("doc_id").to_pylist()], bool)
-        self.doc = np.repeat(np.arange(len(found)), self.sizes)
-        ids = np.concatenate([np.zeros(1, np.int64), *found])
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        ids = np.concatenate([np.zeros(1, np.int64), found])
         self.words, place = np.unique(ids, return_inverse=True)
         self.word = place[1:]
         first = np.cumsum(self.sizes)[self.sizes > 0] - self.sizes[self.sizes > 0]

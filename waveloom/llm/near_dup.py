@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Remembered, hold, materialize, slices, text_of, words
+from .common import materialize, slices, text_of, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a text, how many are compared at a time, and the posterior probability below which a pair goes.
@@ -42,9 +41,6 @@ FREQUENT = 12
 _MIX = [((2 * k + 1) * 0x9E3779B97F4A7C15 ^ (k * 0xD1B54A32D192ED03)) % (1 << 64) | 1 for k in range(HASHES + WORDS)]
 
 
-_HASH = Remembered(lambda word: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")), 1 << 17)
-
-
 def _finish(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -52,12 +48,10 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingles(texts: list[str | None], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles (with repeats), and how many each text has. A text of fewer than n words has one
     shingle, all its words; one without words has none."""
-    lists = [words(t or "") for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    flat, sizes = word_hashes(texts, xxhash.xxh64_intdigest)
     short = np.flatnonzero((sizes > 0) & (sizes < n))
     counts = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
     starts = np.cumsum(sizes) - sizes
@@ -74,7 +68,7 @@ def shingles(texts: list[str | None], n: int = WORDS) -> tuple[np.ndarray, np.nd
     return rolled[at], counts
 
 
-def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
     flat, counts = shingles(texts, n)
     ends = np.cumsum(counts).tolist()
     out = []
@@ -159,9 +153,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        hold("near_dup", _HASH.forget)
         for batch in slices(batches, 0, 1000):
-            flat, _ = shingles(batch.column(0).to_pylist(), n)
+            flat, _ = shingles(batch.column(0), n)
             total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
@@ -185,10 +178,9 @@ def features(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     multipliers = (np.array(_MIX[:HASHES], np.uint64) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
     def run(batches):
-        hold("near_dup", _HASH.forget)
         rank = ranks.value
         for batch in slices(batches, 2, 1000):
-            sets = shingle_sets(batch.column(2).to_pylist(), n)
+            sets = shingle_sets(batch.column(2), n)
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
             sig = np.zeros((len(sets), HASHES), np.uint16)
@@ -477,9 +469,8 @@ def classes_by_text(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     wanted = live.select("id").distinct().join(nodes.select("id", "rep", "copies"), "id")
 
     def collect_sets(batches):
-        hold("near_dup", _HASH.forget)
         for batch in slices(batches, 2, 1000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(shingle_sets(batch.column(2).to_pylist(), n))], ["id", "copies", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(shingle_sets(batch.column(2), n))], ["id", "copies", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of().cast("binary")).alias("__id"), text_of().alias("__text"))
     sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("__id") == F.col("id"))).select("id", "copies", F.col("__text").alias("text"))
