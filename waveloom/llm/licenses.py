@@ -176,3 +176,37 @@ def mandatory(table, threshold: float) -> tuple[list[str], list[str]]:
                 pairs.add(g)
     # a word that holds another one is found with it
     return sorted(w for w in words if not any(o != w and o in w for o in words)), sorted(pairs)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql(threshold: float = THRESHOLD) -> str:
+    """The scan of `documents` as DuckDB SQL: every passage against every template of a fitting size."""
+    table = []
+    for k, (name, text) in enumerate(TEMPLATES):
+        grams = bigrams(text)
+        table.append(f"({k}, {_quoted(name)}, [{', '.join(map(_quoted, grams))}], {size_bounds(len(grams), threshold)[0]}, {size_bounds(len(grams), threshold)[1]})")
+    return f"""
+WITH tp(k, name, g, lo, hi) AS (VALUES {", ".join(table)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+pa AS (SELECT r, generate_subscripts(l, 1) AS p, unnest(l) AS x FROM (SELECT r, string_split_regex(t, '\r?\n[ \t]*\r?\n') AS l FROM d)),
+se AS (SELECT r, p, generate_subscripts(l, 1) AS s, unnest(l) AS x, len(l) AS n FROM (SELECT r, p, string_split(regexp_replace(x, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM pa)),
+li AS (SELECT r, p, s, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT r, p, s, string_split(x, chr(10)) AS l FROM se)),
+ps AS (SELECT 'line' AS kind, r, p, s, i, x FROM li UNION ALL SELECT 'sentence', r, p, s, 0, x FROM se WHERE contains(x, chr(10)) UNION ALL SELECT DISTINCT 'paragraph', se.r, se.p, 0, 0, pa.x FROM se JOIN pa ON pa.r = se.r AND pa.p = se.p WHERE n > 1),
+ws AS (SELECT kind, r, p, s, i, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM ps),
+gr AS (SELECT kind, r, p, s, i, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM ws WHERE len(w) > 1),
+sc AS (SELECT kind, r, p, s, i, k, name, 2::DOUBLE * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice FROM gr JOIN tp ON len(b) BETWEEN lo AND hi),
+bs AS (SELECT * FROM sc WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY kind, r, p, s, i ORDER BY dice DESC, k) = 1),
+ln AS (SELECT *, count(*) OVER w AS n, max(dice) OVER w AS top FROM bs WHERE kind = 'line' WINDOW w AS (PARTITION BY r, p, s)),
+so AS (SELECT b.* FROM bs b LEFT JOIN (SELECT DISTINCT r, p, s, n, top FROM ln) l USING (r, p, s) WHERE kind = 'sentence' AND (l.n IS NULL OR l.n = 1 AND b.dice >= l.top)),
+sm AS (SELECT r, p, s, i, name, dice FROM ln WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.r = ln.r AND so.p = ln.p AND so.s = ln.s) UNION ALL SELECT r, p, s, i, name, dice FROM so),
+po AS (SELECT b.* FROM bs b LEFT JOIN (SELECT r, p, max(dice) AS top FROM sm GROUP BY ALL) m USING (r, p) WHERE kind = 'paragraph' AND coalesce(m.top, 0) <= b.dice),
+al AS (SELECT r, p, s, i, name, dice FROM sm WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.r = sm.r AND po.p = sm.p) UNION ALL SELECT r, p, s, i, name, dice FROM po),
+ag AS (SELECT r, count(*) AS n, array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses, arg_min(name, (-dice, p, s, i)) AS best, max(dice) AS dice FROM al GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best, coalesce(dice, 0)::DOUBLE AS dice FROM d LEFT JOIN ag USING (r)
+"""
+
+
+SQL = _sql()

@@ -199,3 +199,29 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = texts.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(_send(chunks // CHUNKS_PER_SHARD + 1), SENT)
     totals = sent.groupBy("shard").applyInArrow(_totals, TOTALS).unionByName(good, allowMissingColumns=True)
     return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_judge, SCORES)
+
+
+def _bits(part: str, seen: str) -> str:
+    """A token's loss under one model, its own text's counts taken off if that model has seen it."""
+    off = f"CASE WHEN {seen} THEN 1 ELSE 0 END"
+    context, scale = f"(v.{part} - {off} * xv.n)", f"(CASE WHEN tot.{part} > {off} * s.n THEN tot.mass / (tot.{part} - {off} * s.n) ELSE 0 END)"
+    trust = f"({LAMBDA}::DOUBLE * {context} * {scale} / ({context} * {scale} + 1))"
+    estimate = f"(CASE WHEN {context} > 0 THEN (p.{part} - {off} * xp.n) / {context}::DOUBLE ELSE 0 END)"
+    single = f"(((w.{part} - {off} * xw.n) * {scale} + {ADDED}::DOUBLE) / (tot.mass + {ADDED}::DOUBLE * tot.room))"
+    return f"sum(xp.n * -log2({trust} * {estimate} + (1 - {trust}) * {single})) / any_value(s.n)"
+
+
+#: score() of `documents` and `labels` as DuckDB SQL, losses rounded to 6 places.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS l FROM documents),
+gd AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING bool_and(coalesce(quality = 1 AND coalesce(toxic, 0) = 0, false))),
+sz AS (SELECT r, doc_id, len(l) AS n, doc_id IN (SELECT doc_id FROM gd) AS good FROM d),
+tk AS (SELECT r, l[i] AS w, CASE WHEN i = 1 THEN '' ELSE l[i - 1] END AS v FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+ow AS MATERIALIZED (SELECT r, w, count(*) AS n FROM tk GROUP BY ALL), ov AS MATERIALIZED (SELECT r, v, count(*) AS n FROM tk GROUP BY ALL), op AS MATERIALIZED (SELECT r, v, w, count(*) AS n FROM tk GROUP BY ALL),
+cw AS (SELECT w, sum(o.n) AS b, coalesce(sum(o.n) FILTER (good), 0) AS t FROM ow o JOIN sz USING (r) GROUP BY ALL), cv AS (SELECT v, sum(o.n) AS b, coalesce(sum(o.n) FILTER (good), 0) AS t FROM ov o JOIN sz USING (r) GROUP BY ALL),
+cp AS (SELECT v, w, sum(o.n) AS b, coalesce(sum(o.n) FILTER (good), 0) AS t FROM op o JOIN sz USING (r) GROUP BY ALL),
+tot AS (SELECT b, t, CASE WHEN t > 0 THEN t ELSE b END::DOUBLE AS mass, greatest({VOCABULARY}, (SELECT count(*) FROM cw)) AS room FROM (SELECT sum(n) AS b, coalesce(sum(n) FILTER (good), 0) AS t FROM sz)),
+ls AS (SELECT xp.r, {_bits("t", "s.good")} AS target_loss, {_bits("b", "true")} AS background_loss FROM op xp JOIN sz s USING (r) JOIN ow xw ON xw.r = xp.r AND xw.w = xp.w JOIN ov xv ON xv.r = xp.r AND xv.v = xp.v
+JOIN cw w ON w.w = xp.w JOIN cv v ON v.v = xp.v JOIN cp p ON p.v = xp.v AND p.w = xp.w, tot GROUP BY xp.r)
+SELECT doc_id, n AS n_tokens, round(target_loss, 6) + 0.0 AS target_loss, round(background_loss, 6) + 0.0 AS background_loss, round(target_loss - background_loss, 6) + 0.0 AS score FROM sz LEFT JOIN ls USING (r)
+"""

@@ -32,7 +32,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a text, how many are compared at a time, and the posterior probability below which a pair goes.
 HASHES, STEP, TOLERANCE = 64, 8, 1e-8
 #: Nodes of a block, about; buckets of the frequency sketch; shingles that two prefixes must have in common.
-BLOCK, SKETCH_BITS, COMMON = 256, 18, 6
+BLOCK, SKETCH_BITS, COMMON = 128, 18, 6
 #: Postings of a shingle beyond which they are paired by several tasks.
 LONG = 2048
 #: The frequency class from which a shingle counts as very frequent: seven times the mean of the sketch.
@@ -504,3 +504,17 @@ def drop_near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THR
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("id").alias("__hash")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(text_of().cast("binary")) == F.col("__hash"))
     return docs.join(gone, same, "left_anti")
+
+
+#: near_classes() of `documents` with the defaults, as DuckDB SQL: all pairs that share a shingle, by exact counts. Ids are unique there.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(t, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM d),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+lk AS (SELECT a, b FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD}::DOUBLE * (x.n + y.n - c) - 1e-9 UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.t = y.t AND x.doc_id < y.doc_id),
+bo AS MATERIALIZED (SELECT a AS u, b AS v FROM lk UNION ALL SELECT b, a FROM lk),
+rc(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.v, r.root FROM rc r JOIN bo b ON b.u = r.node AND r.root < b.v)
+SELECT doc_id, (SELECT min(root) FROM rc WHERE node = doc_id) AS class_id, (SELECT count(*) FROM bo WHERE u = doc_id) AS n_links FROM d
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, secrets, token_store
 from .common import documents, scratch
@@ -41,7 +42,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(documents(spark, sf_dir), _labels(spark, sf_dir))
+    """Losses in bits to 6 places."""
+    out = lm_scoring.score(documents(spark, sf_dir), _labels(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("target_loss", "background_loss", "score")})
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op2_jaccard_join": near_dup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_secret_scan": secrets.SQL, "op6_license_scan": licenses.SQL, "op7_lm_scoring": lm_scoring.SQL}

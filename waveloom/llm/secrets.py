@@ -236,3 +236,26 @@ def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def _sql() -> str:
+    """The scan of `documents` as DuckDB SQL: each rule's matches are marked in the text by two private characters, and places counted from those."""
+    kinds = []
+    for k, r in enumerate(BASE_RULES + MORE_RULES):
+        pattern = "'" + r.pattern.replace(r"[^\s", r"[^ \t\n\v\f\r").replace("'", "''") + "'"
+        kinds.append(
+            f"SELECT r, {k} AS k, '{r.kind}' AS kind, list_sum(list_transform(l[1:e - 1], lambda x: length(x) - 1)) + 1 AS a, split_part(l[e], chr(57345), 1) AS m, length(regexp_extract(split_part(l[e], chr(57345), 1), {pattern}, {r.group})) >= {r.least} AS ok "
+            f"FROM (SELECT r, l, unnest(range(2, len(l) + 1)) AS e FROM (SELECT r, string_split(regexp_replace(t, {pattern}, chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) AS l FROM d WHERE regexp_matches(t, {pattern})))"
+        )
+    n = len(BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE_RULES))
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || a::BIGINT || ':' || (a + length(m))::BIGINT, ',' ORDER BY a, k){where}, '')"
+    filled = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(kinds)}),
+g AS (SELECT r, {counts}, {joined(f" FILTER (k < {n})")} AS base, {joined("")} AS spans FROM f WHERE ok GROUP BY r)
+SELECT doc_id, {filled}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+SQL = _sql()
