@@ -8,6 +8,7 @@ import itertools
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -18,6 +19,7 @@ from tokenizers import Tokenizer
 from waveloom.llm import exact_dedup, langid, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, secrets, token_ids, token_store
 from waveloom.llm.common import word_hashes, words
 
+DATA = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -652,6 +654,51 @@ def test_few_sequences_and_little_padding():
     assert sum(2048 - n for n in sizes.tolist() if n & (n - 1)) < 0.01 * len(ids)
 
 
+# ---- all
+
+
+def test_held_out_quality(spark):
+    """Rules fitted on half of the labels at sf0.01 hold on the other half: no good text in fifty goes, nine bad ones in ten do."""
+    stats = quality_rules.materialize(quality_rules.statistics(spark.read.parquet(f"{DATA}/documents.parquet")), "stats").where(~quality_rules.base_failed())
+    marks = spark.read.parquet(f"{DATA}/labels.parquet")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)) == 0
+    rules = quality_rules.learn_from(stats, marks.where(fold))
+    held = stats.join(marks.where(~fold).select("doc_id", "quality"), "doc_id").withColumn("keeps", rules.keeps(quality_rules.features()))
+    kept = {r["quality"]: (r["k"], r["n"]) for r in held.groupBy("quality").agg(F.count_if("keeps").alias("k"), F.count(F.lit(1)).alias("n")).collect()}
+    assert kept[1][0] >= 0.98 * kept[1][1] and kept[0][0] <= 0.1 * kept[0][1] + 1
+
+
+def test_no_link_is_lost_at_sf001(spark):
+    """The join against all pairs by exact counts."""
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = near_dup.near_classes(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(near_dup.SQL).fetchall())
+
+
+def test_sequences_at_sf001(spark):
+    pieces = packing.pack(spark.read.parquet(f"{DATA}/documents.parquet"))
+    r = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
+    assert r["k"] <= 1.1 * r["n"] / 2048 + 8
+
+
+def test_nothing_and_clashing_columns(spark, docs, empty, labels):
+    """Empty tables and extra columns with clashing names in every operator and stage."""
+    import corpus_pipeline
+
+    assert table(near_dup.drop_near_duplicates(empty)) == table(langid.accepted(empty)) == table(mixing.mix(empty)) == []
+    assert secrets.scan(docs).count() == licenses.scan(docs).count() == lm_scoring.score(docs, labels).count() == len(rows())
+    assert lm_scoring.score(docs, labels.where("false")).where("score is not null").count() == sum(bool(words(r[1] or "")) for r in rows())
+    assert table(quality_rules.judge(empty, labels.where("false"))) == []
+    kept, nothing = docs, empty
+    for name, stage in corpus_pipeline.STAGES:
+        kept, nothing = stage(spark, kept, ""), stage(spark, nothing, "")
+        if name != "packing":
+            assert kept.columns == nothing.columns == docs.columns
+            kept, nothing = (spark.createDataFrame(x.collect(), x.schema) for x in (kept, nothing))
+    assert nothing.isEmpty() and not kept.isEmpty()
+
+
 # ---- pipeline
 
 

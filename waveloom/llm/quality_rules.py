@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Thresholds tried for a statistic lie at these quantiles of the labelled rows.
-QUANTILES = (0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)
-MAX_RULES, MAX_LITERALS, LEAST_PRECISION, LEAST_COVERED = 6, 3, 0.8, 5
+#: Thresholds tried for a statistic lie at these quantiles of the labelled rows that pass the base rule; the tails are finer.
+QUANTILES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
+#: Rules of a list, conditions of a rule, its least precision on the pruning part, the bad rows it must cover, and rules given up.
+MAX_RULES, MAX_LITERALS, LEAST_PRECISION, LEAST_COVERED, MAX_REJECTED = 6, 3, 0.8, 5, 4
 WINDOW = 8
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -91,6 +92,10 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def features() -> dict[str, Column]:
     """Ratios the rules may test. An empty text has 0 in all of them."""
     over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -153,12 +158,13 @@ def learn_from(stats: DataFrame, labels: DataFrame) -> DecisionList:
     """Fit a list that drops what labels call quality 0.
 
     Labels with a null doc_id or quality are left out, and so are documents labelled both ways; repeated labels count
-    once. Without labels of both kinds, or without a rule of LEAST_PRECISION on the pruning part, the list keeps all.
+    once. Texts that the base rule drops teach nothing. A rule below LEAST_PRECISION on the pruning part is given up, and its first condition is
+    not tried again. Without labels of both kinds, or without a good rule, the list keeps all.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id"))
     marks = marks.agg(F.min("quality").alias("bad"), F.max("quality").alias("most")).where("bad = most").select("__id", (F.col("bad") == 0).alias("bad"))
     # counts are joined, not texts, so what is shuffled is a few numbers a document
-    known = stats.withColumnRenamed("doc_id", "__id").join(marks, "__id")
+    known = stats.where(~base_failed()).withColumnRenamed("doc_id", "__id").join(marks, "__id")
     names = list(features())
     rows = known.select("bad", (F.pmod(F.xxhash64(F.lit("prune"), "__id"), F.lit(3)) == 0).alias("pruning"), *(c.alias(n) for n, c in features().items()))
     rows = materialize(rows, "quality-labelled")
@@ -167,6 +173,7 @@ def learn_from(stats: DataFrame, labels: DataFrame) -> DecisionList:
     literals = [Literal(n, above, cut) for n in names for cut in sorted(set(found[n] or ())) for above in (True, False)]
     left = rows
     rules: list[tuple[Literal, ...]] = []
+    rejected = 0
 
     def sums(part: DataFrame, tests: list[Column]) -> list[tuple[int, int]]:
         """(bad, good) rows of a part for which each test holds."""
@@ -174,7 +181,7 @@ def learn_from(stats: DataFrame, labels: DataFrame) -> DecisionList:
         row = part.agg(*(c.alias(f"c{i}") for i, c in enumerate(both))).first()
         return [(row[2 * i], row[2 * i + 1]) for i in range(len(tests))]
 
-    while literals and len(rules) < MAX_RULES:
+    while literals and len(rules) < MAX_RULES and rejected <= MAX_REJECTED:
         grown: list[Literal] = []
         part = left.where("not pruning")
         while len(grown) < MAX_LITERALS:
@@ -194,7 +201,9 @@ def learn_from(stats: DataFrame, labels: DataFrame) -> DecisionList:
         worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in counts]
         k = max(range(len(worth)), key=lambda i: (worth[i], -i))
         if (worth[k] + 1) / 2 < LEAST_PRECISION:
-            break
+            rejected += 1
+            literals = [x for x in literals if (x.name, x.above) != (grown[0].name, grown[0].above)]
+            continue
         rules.append(tuple(grown[: k + 1]))
         left = left.where(~_both([x.column(of) for x in rules[-1]]))
     return DecisionList(tuple(rules))
@@ -208,7 +217,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     stats = materialize(statistics(docs), "quality-statistics")
     verdict = learn_from(stats, labels).keeps(features())
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = base_failed()
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, False).otherwise(verdict).alias("kept")
     )
