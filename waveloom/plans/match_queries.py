@@ -159,10 +159,10 @@ def match_window_filter(spark, sf):
 @query(
     f"WITH {MATCHES}, d AS (SELECT DISTINCT * FROM m), j AS (SELECT *, CASE WHEN abs(t1 - t2 - lag(t1 - t2) OVER w) > 10000000 THEN 1 ELSE 0 END AS j FROM d WINDOW w AS (PARTITION BY track1, track2 ORDER BY t1, t2, similarity)), "
     "g AS (SELECT *, sum(j) OVER (PARTITION BY track1, track2 ORDER BY t1, t2 RANGE UNBOUNDED PRECEDING)::BIGINT AS run FROM j) "
-    "SELECT track1, track2, run, min(t1) AS from1, max(t1) AS to1, min(t2) AS from2, max(t2) AS to2, count(*) AS n, round(avg(similarity), 6) AS similarity FROM g GROUP BY ALL"
+    "SELECT track1, track2, run, min(t1) AS from1, max(t1) AS to1, min(t2) AS from2, max(t2) AS to2, count(*) AS n, avg(similarity) AS similarity FROM g GROUP BY ALL"
 )
 def match_intervals(spark, sf):
-    return M.intervals(matches(spark, sf).distinct()).withColumn("similarity", F.round("similarity", 6))
+    return M.intervals(matches(spark, sf).distinct())
 
 
 @query(
@@ -205,10 +205,10 @@ def _matched(spark, sf):
     return m.select(F.col("track1").alias("track_id")).union(m.select("track2")).distinct()
 
 
-@query(f"WITH {MATCHES}, {_MATCHED} SELECT a.t AS track1, b.t AS track2, round(coalesce(avg(similarity), 0), 6) AS similarity FROM mt a JOIN mt b ON a.t < b.t LEFT JOIN m ON m.track1 = a.t AND m.track2 = b.t GROUP BY ALL")
+@query(f"WITH {MATCHES}, {_MATCHED} SELECT a.t AS track1, b.t AS track2, coalesce(avg(similarity), 0) AS similarity FROM mt a JOIN mt b ON a.t < b.t LEFT JOIN m ON m.track1 = a.t AND m.track2 = b.t GROUP BY ALL")
 def match_average_similarity(spark, sf):
     """Over all pairs of tracks that have matches."""
-    return M.average_similarity(M.track_pairs(_matched(spark, sf)), matches(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+    return M.average_similarity(M.track_pairs(_matched(spark, sf)), matches(spark, sf))
 
 
 @query(f"WITH {MATCHES}, {_MATCHED} SELECT b.t AS p1, a.t AS p2, count(*) AS n FROM mt a JOIN mt b ON a.t < b.t JOIN m ON m.track1 = a.t AND m.track2 = b.t GROUP BY ALL")
@@ -325,9 +325,9 @@ def corr_pearson(spark, sf):
     return K.pearson(_pairs(spark, sf), "track1", "track2").withColumn("r", rounded(F.col("r")))
 
 
-@query(f"WITH {_STEP}, c AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM pr WINDOW w AS (PARTITION BY track1, track2)) SELECT track1, track2, round(1 - avg(abs((x - mx) - (y - my))), 9) + 0.0 AS score FROM c GROUP BY ALL")
+@query(f"WITH {_STEP}, c AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM pr WINDOW w AS (PARTITION BY track1, track2)) SELECT track1, track2, round(1 - avg(abs((x - mx) - (y - my))) + 1e-11::DOUBLE, 9) + 0.0 AS score FROM c GROUP BY ALL")
 def corr_interference(spark, sf):
-    return K.interference(_pairs(spark, sf), "track1", "track2").withColumn("score", rounded(F.col("score"), 9))
+    return K.interference(_pairs(spark, sf), "track1", "track2").withColumn("score", rounded(F.col("score") + 1e-11, 9))  # sums of decimals stand on ties; a little more decides them
 
 
 def _lag_inputs(spark, sf):
