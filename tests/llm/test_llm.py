@@ -226,6 +226,12 @@ def test_exact_classes(docs, keep, pick, hash_of):
     assert got == expected_exact(pick)
 
 
+def test_large_classes_are_dealt_to_several_tasks(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 1)
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in table(exact_dedup.exact_classes(docs, "max")))
+    assert got == expected_exact(max)
+
+
 def test_dropping_exact_duplicates(docs, empty):
     out = table(exact_dedup.drop_exact_duplicates(docs, "max"))
     assert sorted(r["doc_id"] for r in out) == sorted({max(r[0] for r in rows() if (r[1] or "") == t) for t in {r[1] or "" for r in rows()}})

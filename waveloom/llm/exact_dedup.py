@@ -2,7 +2,8 @@
 
 Rows are grouped by (hash, text): the hash leads, the bytes decide, so texts whose hashes collide end in
 separate classes. The partial aggregate runs before the shuffle, so a text that holds a third of all rows
-sends one row per task. The classes go back to the documents on (hash, SHA-256), without the texts.
+sends one row per task. The classes go back to the documents on (hash, SHA-256), without the texts; documents of very large
+classes are dealt to several tasks for that.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
+
+#: Classes above this size, and above one in SHARE of all rows, are dealt to SALTS tasks. There are less than SHARE of them, so they can be broadcast.
+LARGE, SHARE, SALTS = 100_000, 10_000, 64
 
 
 def content_hash(text: Column) -> Column:
@@ -34,8 +38,15 @@ def exact_classes(docs: DataFrame, keep: str = "min", hash_of=content_hash) -> D
         .agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h", F.sha2(F.col("t"), 256).alias("text_sha256"), "keep_id", "group_size")
     )
+    classes = materialize(classes, "exact-classes")
+    bar = max(LARGE, (classes.agg(F.sum("group_size")).first()[0] or 0) // SHARE)
+    large = classes.where(F.col("group_size") > bar)
     rows = rows.select("doc_id", "h", F.sha2(F.col("t"), 256).alias("text_sha256"))
-    return rows.join(classes, ["h", "text_sha256"]).select(
+    rows = rows.join(F.broadcast(large.select("h", "text_sha256", F.lit(SALTS).alias("salts"))), ["h", "text_sha256"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    salts = F.when(F.col("group_size") > bar, F.lit(SALTS)).otherwise(1)
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.join(classes, ["h", "text_sha256", "salt"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
