@@ -30,10 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    path = scratch(df.sparkSession, name)
+    """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs nothing. What the job shuffled is
+    not needed any more; Spark's cleaner removes it once the driver has collected its garbage."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -41,6 +44,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keep_last(made: list[str]) -> None:
+    """The table made last stays when its scope ends; the scope around it takes it over."""
+    path = made.pop()
+    if len(_SCOPES) > 1:
+        _SCOPES[-2].append(path)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[str]]:
     """Tables made inside are deleted at the end, but for those taken off the list: what is lazily read later must stay."""
