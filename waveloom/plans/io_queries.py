@@ -13,7 +13,11 @@ from .inputs import MATCHES, SIGNAL, TRACKS, channels, channels_sql, matches, si
 from .registry import query
 from .signal_queries import PEAKS_SQL
 
-_TRACK = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
+def _track():
+    """The track that a file is named after."""
+    return F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
+
+
 # a track with an odd number of samples lacks the last one of its second channel, which a file holds as silence
 _STEREO = f"{channels_sql()}, st AS (SELECT * FROM ch UNION ALL SELECT track_id, 1, max(idx), 0.0 FROM ch GROUP BY track_id HAVING count(*) % 2 = 1)"
 
@@ -31,14 +35,14 @@ def src_wav(spark, sf):
     """Signals as 16-bit WAV files, opened through the registry of readers."""
     folder = scratch(spark, "wav")
     sinks.write_wav(_stereo(spark, sf), folder, 8000, 16)
-    return _as_int(readers.blocks_to_samples(readers.open_signal(spark, folder), _TRACK))
+    return _as_int(readers.blocks_to_samples(readers.open_signal(spark, folder), _track()))
 
 
 @query(f"WITH {_STEREO} SELECT track_id, count(*) AS n, round(sum((value / 100)::FLOAT::DOUBLE), 3) + 0.0 AS total FROM st GROUP BY ALL")
 def sink_wav_float(spark, sf):
     folder = scratch(spark, "wav")
     sinks.write_wav(_stereo(spark, sf), folder, 8000)
-    df = readers.blocks_to_samples(readers.read_wav(spark, folder), _TRACK)
+    df = readers.blocks_to_samples(readers.read_wav(spark, folder), _track())
     return df.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.col("value").cast("double")), 3) + 0.0).alias("total"))
 
 
@@ -118,7 +122,7 @@ def src_project_upgrade(spark, sf):
 def src_peaks(spark, sf):
     folder = scratch(spark, "peaks")
     sinks.write_peaks(S.peak_store(signal(spark, sf), 8).withColumn("channel", F.lit(0)), folder, 77)
-    return readers.read_peaks(spark, folder, 1, 77).select(_TRACK.alias("track_id"), "channel", "peak", "low", "high")
+    return readers.read_peaks(spark, folder, 1, 77).select(_track().alias("track_id"), "channel", "peak", "low", "high")
 
 
 @query("SELECT n_name || '*' AS pattern, n_nationkey / 4.0::DOUBLE AS factor FROM nation")
@@ -158,7 +162,7 @@ def sink_render(spark, sf):
     folder = scratch(spark, "mix")
     t = tracks(spark, sf).withColumn("offset", F.expr("offset_ticks div 1000000"))
     sinks.render(_stereo(spark, sf), t, folder, 8000)
-    df = readers.blocks_to_samples(readers.read_wav(spark, folder), _TRACK)
+    df = readers.blocks_to_samples(readers.read_wav(spark, folder), _track())
     return df.select(F.col("channel").cast("int").alias("channel"), "idx", (F.round(F.col("value").cast("double") * 1009) + 0.0).alias("level"))
 
 
