@@ -517,6 +517,16 @@ def test_mixing(docs, empty):
     assert sum(size(r["text"]) for r in table(mixing.mix(docs))) == sum(taken.values())
 
 
+def test_targets_of_many_sources(spark):
+    """Sources in several ranges, with ties, zeros and null."""
+    rng = np.random.default_rng(14)
+    sizes = {f"s{k}": int(x) for k, x in enumerate(rng.choice([0, 1, 5, 5, 40, 3000], 700))} | {None: 17, "é": 4, "Z": 9}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    aims = brute_targets(sizes)
+    for r in mixing.targets(df).collect():
+        assert r["source_size"] == sizes[r["source"]] and np.isclose(r["target"], aims[r["source"]])
+
+
 def test_pivotal_rounding_over_levels(spark):
     """Several levels; the sum of sizes stays within one document, and single probabilities hold on average."""
     n = 3000

@@ -35,28 +35,40 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(bare, " "), "")).cast("bigint")
 
 
+def running(rows: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """rows with `place` (from 1) in an order and, for each value, `<name>_before`: its sum over the rows before. Ranges of rows are ordered in
+    parallel, and the sums of whole ranges, one row each, are added; so no task holds all rows."""
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "mix-ranges")
+    every = {"place": F.lit(1), **values}
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumns({f"__{k}": F.coalesce(F.sum(v).over(within), F.lit(0)) for k, v in every.items()})
+    # one row per range
+    front = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__range").agg(*(F.sum(v).alias(f"__sum_{k}") for k, v in every.items()))
+    ranges = ranges.select("__range", *(F.coalesce(F.sum(f"__sum_{k}").over(front), F.lit(0)).alias(f"__from_{k}") for k in every))
+    out = dealt.join(ranges, "__range")
+    names = {k: "place" if k == "place" else f"{k}_before" for k in every}
+    return out.select(*rows.columns, *((F.col(f"__from_{k}") + F.col(f"__{k}") + (1 if k == "place" else 0)).alias(n) for k, n in names.items()))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size -> also target. Sources rank by code point, null last.
 
     Capping and sharing out again ends at min(3 * source_size, level * weight) with one level for all; sources sorted by
-    size per weight are capped from the front, so the level follows from running sums over one row per source.
+    size per weight are capped from the front, so the level follows from running sums over one row per source, of which there may be many.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(rank) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight.cast("bigint"))
-    front = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    until = front.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rows = rows.withColumns({
-        "all_size": F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything),
-        "size_before": F.coalesce(F.sum("source_size").over(until), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(until), F.lit(0)),
-    })
+    ranked = running(sizes, [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("place") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    ranked = ranked.withColumn("weight", weight.cast("bigint")).drop("place")
+    per_weight = F.col("source_size") / F.col("weight")
+    rows = running(ranked, [per_weight.asc(), F.col("source").asc_nulls_last()], size=F.col("source_size"), weight=F.col("weight"))
+    total = rows.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    rows = rows.crossJoin(F.broadcast(total))
     level = (F.col("all_size") - MOST * F.col("size_before")) / (F.col("all_weight") - F.col("weight_before"))
-    capped = MOST * F.col("source_size") <= level * F.col("weight")
-    rows = rows.withColumns({"level": level, "capped": capped})
+    rows = materialize(rows.withColumns({"own_level": level, "capped": MOST * F.col("source_size") <= level * F.col("weight")}), "mix-levels")
     # the level is that of the first source, in this order, that is not capped
-    rows = rows.withColumn("level", F.min_by("level", F.when(~F.col("capped"), F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source")))).over(everything))
-    return rows.select("source", "source_size", F.least(F.lit(float(MOST)) * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf")))).alias("target"))
+    first = rows.agg(F.min_by("own_level", F.when(~F.col("capped"), F.col("place"))).alias("level"))
+    return rows.crossJoin(F.broadcast(first)).select("source", "source_size", F.least(F.lit(float(MOST)) * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf")))).alias("target"))
 
 
 def _round_block(items: Column, level: int) -> Column:
