@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from waveloom.operators.fingerprints import BAND_PROFILES, haitsma_kalker
+from waveloom.operators.fingerprints import BAND_PROFILES, KERNELS, ChromaProfile, PeakProfile, haitsma_kalker
 from waveloom.streaming import stateful as S
 
 
@@ -32,6 +32,17 @@ def test_fifo_loses_what_is_overwritten():
         f.write([1])
 
 
+def test_a_waiting_reader():
+    f = S.BlockingFifo()
+    assert f.read(3) is None and len(f) > 1 << 40
+    f.write([1, 2])
+    assert f.read(5) == [1, 2] and f.read(1) is None
+    f.end()
+    assert f.read(1) == [] and len(f) == 2
+    with pytest.raises(ValueError):
+        f.write([3])
+
+
 def _stream(spark, path, parts, run, schema="track_id long, idx long, value double"):
     for k, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in/{k}")
@@ -55,3 +66,14 @@ def test_live_hashes_are_those_of_the_whole(spark, tmp_path):
     got = _stream(spark, tmp_path, [rows[:1000], rows[1000:2500], rows[2500:]], lambda s: S.live_hashes(s, BAND_PROFILES["default"]))
     whole = {(f, h) for f, h, v in haitsma_kalker(x) if not v}
     assert {(r["idx"], r["hash"]) for r in got.collect()} == whole
+
+
+@pytest.mark.parametrize("kind", ["wang", "chromaprint"])
+def test_live_generators_in_uneven_parts(spark, tmp_path, kind):
+    x = np.random.default_rng(1).normal(size=4000)
+    rows = [(0, i, float(v)) for i, v in enumerate(x)]
+    small = {"wang": PeakProfile(size=64, hop=32, drop=5.0, distance=2, length=4), "chromaprint": ChromaProfile(5512, 64, 16, mapping="paper", low=100, high=2500)}[kind]
+    live = {"wang": S.live_wang, "chromaprint": S.live_chromaprint}[kind]
+    got = {(r["idx"], r["hash"]) for r in _stream(spark, tmp_path, [rows[:10], rows[10:1000], rows[1000:1017], rows[1017:]], lambda s: live(s, small)).collect()}
+    whole = {(f, h) for f, h, _ in KERNELS[kind](x, small)}
+    assert got <= whole and len(got) > 0.9 * len(whole)

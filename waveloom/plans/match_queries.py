@@ -460,6 +460,16 @@ def stream_ring(spark, sf):
     return out.select("track_id", "last", F.posexplode("values").alias("i", "value"))
 
 
+@query(
+    f"WITH {SIGNAL}, n AS (SELECT track_id, count(*) AS n FROM sig GROUP BY ALL), r AS (SELECT track_id, 10 AS first, 10 AS lost FROM n UNION ALL SELECT track_id, greatest(18, n - 20), 10 + greatest(0, n - 38) FROM n) "
+    "SELECT r.track_id, (idx - first)::INT AS i, value, lost::BIGINT AS lost FROM r JOIN sig ON sig.track_id = r.track_id AND idx >= first AND idx < first + 8"
+)
+def stream_lossy(spark, sf):
+    """A slow reader of 8 samples after each part of a stream, behind a buffer of 20."""
+    out = _streamed(spark, signal(spark, sf), lambda s: stateful.lossy(s, 20, 8), "track_id long, first long, values array<double>, lost long")
+    return out.select("track_id", "lost", F.posexplode("values").alias("i", "value"))
+
+
 @query(f"WITH {SIGNAL}, d AS (SELECT track_id, idx, value FROM sig UNION ALL SELECT track_id, idx, value + 1 FROM sig WHERE idx >= 25 AND idx < 30) SELECT track_id, idx, value, (SELECT count(*) FROM sig s WHERE s.track_id = sig.track_id AND s.idx >= 25 AND s.idx < 30) AS n_late FROM sig WHERE idx >= 30")
 def stream_late_rows(spark, sf):
     """Rows that come again behind later ones are dropped, and counted."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,26 @@ class LossyFifo:
         self.ended = True
 
 
+class BlockingFifo(LossyFifo):
+    """A reader that waits: nothing is lost, read() gives None while there is nothing yet, and an empty list after the end of input; the length is
+    known only then."""
+
+    def __init__(self):
+        super().__init__(1 << 62)
+        self.written = 0
+
+    def write(self, items) -> None:
+        items = list(items)
+        super().write(items)
+        self.written += len(items)
+
+    def read(self, n: int) -> list | None:
+        return super().read(n) if self.items or self.ended else None
+
+    def __len__(self):
+        return self.written if self.ended else sys.maxsize
+
+
 def _ordered(parts: Iterator[pd.DataFrame], after: int) -> tuple[np.ndarray, int, int]:
     """Values with idx above `after` in order, the new last idx, and how many rows were late or repeated."""
     rows = pd.concat(list(parts))
@@ -141,6 +162,24 @@ def live_wang(stream: DataFrame, profile: PeakProfile = PEAK_PROFILES["default"]
     return stream.groupBy("track_id").applyInPandasWithState(run, "track_id long, idx long, hash long", schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def lossy(stream: DataFrame, capacity: int, read: int) -> DataFrame:
+    """A reader that takes `read` samples of each track after each micro-batch from a buffer of `capacity`: (track_id, first, values, lost). `first` is
+    the idx of the first sample taken, lost how many were overwritten so far. idx are dense."""
+
+    def run(key, parts, state: GroupState):
+        last, held, lost = state.get if state.exists else (-1, [], 0)
+        values, last, _ = _ordered(parts, last)
+        fifo = LossyFifo(capacity)
+        fifo.write(held)
+        fifo.write(values.tolist())
+        first = last + 1 - len(fifo.items)
+        out = fifo.read(read)
+        state.update((last, fifo.items, lost + fifo.lost))
+        yield pd.DataFrame([(key[0], first, out, lost + fifo.lost)], columns=["track_id", "first", "values", "lost"])
+
+    return stream.groupBy("track_id").applyInPandasWithState(run, "track_id long, first long, values array<double>, lost long", "last long, held array<double>, lost long", "append", GroupStateTimeout.NoTimeout)
+
+
 def ring(stream: DataFrame, capacity: int) -> DataFrame:
     """The last `capacity` samples of each track, after each micro-batch: (track_id, last, values)."""
 
