@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from ..scratch import keep_last, materialize, scope
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node, which points to none."""
+    pointed = edges.select(F.col("v").alias("u")).distinct()
+    if not edges.where("v > u").isEmpty() or not edges.join(pointed, "u", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").count().where("count > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node is connected with. Large-star and small-star steps alternate until the
-    edges stay; every round is two aggregates and two joins over edges, whatever a component's size."""
+    edges are stars; every round is two aggregates and two joins over edges, whatever a component's size."""
     loops = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     with scope(edges.sparkSession) as made:
         now = materialize(edges.where("u <> v").select("u", "v").distinct(), "graph-edges")
-        known = None
-        while True:
+        while not _stars(now):
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            # the least neighbours are written, so that both sides of a join are shuffles of their own, which Spark can split at a hub with very many edges
+            least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "graph-least")
+            large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "graph-large")
+            least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "graph-least")
             star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
             now = materialize(large.join(least, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct(), "graph-stars")
-            state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-            if state == known or not state[0]:
-                break
-            known = state
         keep_last(made)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return loops.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _SCOPES: list[list[str]] = []
+_COLLECTED = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    spark._jvm.System.gc()
+    if time.monotonic() - _COLLECTED[0] > 5:
+        spark._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
