@@ -464,7 +464,7 @@ def classes_by_text(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
         large = nodes.where("n > 0").groupBy("least").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK)
         large = materialize(large.select("least", F.ceil(F.col("k") / BLOCK).alias("parts")), "near-large")
         block = F.xxhash64("least", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).alias("block")
-        members = materialize(nodes.where("n > 0").join(large, "least", "left").select(block, "id", "sig"), "near-members")
+        members = nodes.where("n > 0").join(large, "least", "left").select(block, "id", "sig")
         postings = rows.where("n > 0").select("id", "least", "prefix", F.col("n").cast("int").alias("n")).join(large, "least", "left").select(F.explode("prefix").alias("h"), block, "n")
         own = members.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
         pairs = block_pairs(postings, threshold).unionByName(own)
