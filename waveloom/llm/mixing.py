@@ -137,12 +137,12 @@ def make_up(keyed: DataFrame, drawn: DataFrame) -> DataFrame:
     state = materialize(keyed.join(d, F.col("key") == F.col("__k")).drop("__k"), "mix-drawn")
     for _ in range(ROUNDS):
         rests = state.groupBy("group").agg(F.sum(F.col("size") * (F.col("p") - F.col("copy"))).alias("rest")).withColumnRenamed("group", "__g")
-        rests = materialize(rests, "mix-rests")
         turned = F.abs(F.col("rest") - F.col("size") * (1 - 2 * F.col("copy")))
         choices = state.join(rests, F.col("group").eqNullSafe(F.col("__g"))).where(turned < F.abs("rest"))
         turns = choices.groupBy("group").agg(F.min(F.struct(turned.alias("left"), "key")).alias("best")).select(F.col("best.key").alias("__k"))
-        state = state.join(turns, F.col("key") == F.col("__k"), "left")
-        state = materialize(state.withColumn("copy", F.when(F.col("__k").isNull(), F.col("copy")).otherwise(1 - F.col("copy"))).drop("__k"), "mix-drawn")
+        # one row per group is written, the state is worked out again from it
+        state = state.join(materialize(turns, "mix-turns"), F.col("key") == F.col("__k"), "left")
+        state = state.withColumn("copy", F.when(F.col("__k").isNull(), F.col("copy")).otherwise(1 - F.col("copy"))).drop("__k")
     return state.select("key", "copy")
 
 
@@ -166,7 +166,6 @@ def copies(docs: DataFrame) -> DataFrame:
     # a clash of 64-bit keys would join two documents' draws, so units with one key are rounded as one
     keyed = units.where((F.col("size") > 0) & (F.col("part") > EPSILON))
     keyed = keyed.groupBy("key").agg(F.min("source").alias("group"), F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.first("part").alias("p"))
-    keyed = materialize(keyed, "mix-keyed")
     drawn = make_up(keyed, decide(keyed))
     drawn = drawn.withColumnRenamed("key", "__k")
     out = units.join(drawn, F.col("key") == F.col("__k"), "left")
