@@ -248,6 +248,50 @@ def test_a_dtw_path_is_that_of_plain_filling():
         assert A.dtw(a, b, width) == A.backtrack(get, n, m)
 
 
+@pytest.mark.parametrize("diagonal, by_length", [(2.0, False), (1.0, True)])
+def test_online_warping_by_plain_matrices(diagonal, by_length):
+    """The published procedure on whole matrices: the frontier's next side, at most three in a row, cells of the last row and column only."""
+    rng = np.random.default_rng(15)
+    for n, m, width in ((12, 12, 4), (20, 15, 5), (9, 16, 6), (6, 6, 50), (1, 4, 3)):
+        a, b = rng.random((n, 3)), rng.random((m, 3))
+        cost = np.array([[A.frame_cost(x, y) for y in b] for x in a])
+        total = np.full((n + 1, m + 1), np.inf)  # one row and column of infinity at the end, which -1 reaches
+        total[0, 0] = cost[0, 0]
+        c, i, j, run, last = max(1, min(width, n, m)), 0, 0, 0, None
+
+        def put(x, y):
+            total[x, y] = min(total[x - 1, y - 1] + diagonal * cost[x, y], total[x - 1, y] + cost[x, y], total[x, y - 1] + cost[x, y])
+
+        def weight(x, y):
+            return total[x, y] / (1 + x + y) if by_length else total[x, y]
+
+        while (i, j) != (n - 1, m - 1):
+            step = "both"
+            if i >= c:
+                rows = {x: weight(x, j) for x in range(max(0, i - c + 1), i + 1)}
+                columns = {y: weight(i, y) for y in range(max(0, j - c + 1), j + 1)}
+                x = max(k for k, v in rows.items() if v == min(rows.values()))
+                y = max(k for k, v in columns.items() if v == min(columns.values()))
+                step = "both" if (x, y) == (i, j) else "row" if rows[x] < columns[y] else "column"
+            run = 0 if step == "both" else run + 1 if step == last else run
+            if step != "both" and run >= 3:
+                step, run = {"row": "column", "column": "row"}[step], 0
+            if step == "row" and j == m - 1:
+                step = "column"
+            elif step == "column" and i == n - 1:
+                step = "row"
+            if step != "column" and j < m - 1:
+                j += 1
+                for x in range(max(i - c + 1, 0), i + 1):
+                    put(x, j)
+            if step != "row" and i < n - 1:
+                i += 1
+                for y in range(max(j - c + 1, 0), j + 1):
+                    put(i, y)
+            last = step
+        assert A.oltw(a, b, width, 3, diagonal, by_length) == A.backtrack(lambda x, y: float(total[x, y]), n - 1, m - 1)
+
+
 def test_a_forest_of_chunks(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows = [(1, int(u), int(v), float(w)) for u, v, w in zip(rng.integers(0, 30, 300), rng.integers(30, 60, 300), rng.integers(0, 9, 300))]
