@@ -325,6 +325,34 @@ def test_subbands_by_their_formula():
             assert math.isclose(e[f, i], re * re + im * im, abs_tol=1e-9)
 
 
+def test_onsets_step_by_step():
+    """The detector fed one value at a time, with its last seven values at hand."""
+    p = P.OnsetProfile(least_distance=8, target_distance=20)
+    rng = np.random.default_rng(16)
+    rms = np.abs(rng.normal(size=(900, 2))) * (1 + 5 * (np.arange(900)[:, None] % 37 < 6))
+    for band in range(2):
+        recent, onsets, out, total, level, was, since, tau = [], [], [], 0, 0.0, False, 0, 1
+        bar = rms[0, band]
+        for t, v in enumerate(rms[:, band]):
+            recent = [*recent, v][-7:]
+            level = 0.98 * level + (sum(c * (recent[-1 - k] - recent[k]) for k, c in enumerate(P.TAPS)) if t >= 6 else 0.0)
+            above = level > bar
+            bar = level * p.over if above else bar * math.exp(-1 / tau)
+            if was and not above:
+                near = total > 0 and t - onsets[-1] < p.least_distance
+                onsets, total = (onsets[:-1] if near else onsets) + [t], total + (not near)
+                onsets, since = onsets[-6:], 0
+                if not near and total > 1 and len(onsets) == 6:
+                    out += P.onset_hashes(band, onsets, p)
+            since += 1
+            tau = max(1, tau - 1) if since > p.target_distance else tau + 1
+            was = above
+        for k in range((len(onsets) + 1) // 2):
+            out += P.onset_hashes(band, onsets[k + 1 :], p)
+        x = P.rise(rms)
+        assert P.band_onsets(band, np.stack([x[:, band], rms[:, band]], 1), p) == out and len(out) > 20
+
+
 def test_variations_flip_the_weakest_bits():
     rows = P.band_hashes(np.random.default_rng(6).random((3, 33)), 3)
     assert len(rows) == 3 * 8

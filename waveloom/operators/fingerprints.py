@@ -6,6 +6,7 @@ must have the profile's rate already (see resample).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -343,81 +344,71 @@ def murmur2(data: bytes, seed: int) -> int:
     return h ^ h >> 15
 
 
-class _Band:
-    """Onset detector of one band: an adaptive threshold over filtered RMS values."""
-
-    TAPS = (0.1883, 0.4230, 0.3392)
-
-    def __init__(self, band: int, p: OnsetProfile):
-        self.band, self.p = band, p
-        self.recent: list[float] = []
-        self.onsets: list[int] = []
-        self.count = self.total = 0
-        self.out: list[tuple[int, int]] = []
-
-    def feed(self, rms: float) -> None:
-        p = self.p
-        if not self.count:
-            self.bar, self.tau, self.above, self.since, self.level = rms, 1, False, 0, 0.0
-        self.recent = [*self.recent, rms][-7:]
-        x = 0.0
-        if self.count >= 6:
-            x = sum(c * (self.recent[-1 - k] - self.recent[k]) for k, c in enumerate(self.TAPS))
-        x += 0.98 * self.level
-        self.level = x
-        above = x > self.bar
-        self.bar = x * p.over if above else self.bar * np.exp(-1 / self.tau)
-        settled = False
-        if self.above and not above:
-            merged = self.total > 0 and self.count - self.onsets[-1] < p.least_distance
+#: Taps of the detector's filter, and how far the three onsets behind a hash's distances lie ahead of each other.
+TAPS = (0.1883, 0.4230, 0.3392)
+HOPS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
+
+
+def onset_hashes(band: int, o: list[int], p: OnsetProfile) -> list[tuple[int, int]]:
+    """(time, hash) of up to six successive onsets: the distances of three of them, by band."""
+    if len(o) <= 2:
+        return []
+    q = lambda v: round(v / p.quantum)
+    out = []
+    for a, b, c in HOPS:
+        d = (q(o[b] - o[a]), q(o[c] - o[b])) if c < min(len(o), 5) else (0, 0)
+        key = b"".join((v & 0xFFFF).to_bytes(2, "big") for v in d) + bytes([band])
+        out.append((q(o[0]), murmur2(key, p.seed) & p.mask))
+    return out
+
+
+def band_onsets(band: int, levels: np.ndarray, p: OnsetProfile) -> list[tuple[int, int]]:
+    """Hashes of one band's onsets: where filtered levels (from rise()) fall below an adaptive threshold again."""
+    out: list[tuple[int, int]] = []
+    onsets: list[int] = []
+    bar, total, tau, was, since = float(levels[0, 1]), 0, 1, False, 0
+    for count, x in enumerate(levels[:, 0].tolist()):
+        above = x > bar
+        bar = x * p.over if above else bar * math.exp(-1 / tau)
+        if was and not above:
+            merged = total > 0 and count - onsets[-1] < p.least_distance
             if merged:
-                self.onsets.pop()
-                self.total -= 1
-            self.onsets = [*self.onsets, self.count][-6:]
-            self.total += 1
-            self.since = 0
-            settled = not merged and self.total > 1
-        self.since += 1
-        if self.since > p.target_distance:
-            self.tau = max(1, self.tau - 1)
-        else:
-            self.tau += 1
-        self.above = above
-        if settled and len(self.onsets) == 6:
-            self.emit(self.onsets)
-        self.count += 1
-
-    def emit(self, o: list[int]) -> None:
-        if len(o) <= 2:
-            return
-        q = lambda v: round(v / self.p.quantum)
-        hops = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]
-        for a, b, c in hops:
-            d = (q(o[b] - o[a]), q(o[c] - o[b])) if c < min(len(o), 5) else (0, 0)
-            key = b"".join((v & 0xFFFF).to_bytes(2, "big") for v in d) + bytes([self.band])
-            self.out.append((q(o[0]), murmur2(key, self.p.seed) & self.p.mask))
-
-    def flush(self) -> None:
-        left = list(self.onsets)
-        for _ in range((len(left) + 1) // 2 if self.p.short_flush else len(left)):
-            left = left[1:]
-            self.emit(left)
+                onsets.pop()
+                total -= 1
+            onsets = [*onsets, count][-6:]
+            total += 1
+            since = 0
+            if not merged and total > 1 and len(onsets) == 6:
+                out += onset_hashes(band, onsets, p)
+        since += 1
+        tau = max(1, tau - 1) if since > p.target_distance else tau + 1
+        was = above
+    for k in range((len(onsets) + 1) // 2 if p.short_flush else len(onsets)):
+        out += onset_hashes(band, onsets[k + 1 :], p)
+    return out
+
+
+def rise(rms: np.ndarray) -> np.ndarray:
+    """Levels of all bands (times x bands): differences about the middle of seven values, summed up with a slow decay."""
+    n = len(rms)
+    x = np.zeros_like(rms)
+    for k, c in enumerate(TAPS):
+        x[6:] += c * (rms[6 - k : n - k] - rms[k : n - 6 + k])
+    for t in range(1, n):
+        x[t] += 0.98 * x[t - 1]
+    return x
 
 
 def echoprint(values: np.ndarray, p: OnsetProfile = OnsetProfile()) -> list[tuple[int, int, bool]]:
     energies = subband_energies(whiten(values, p))
     window = np.array(WindowConfig("Hann", p.rms_size).values())
-    n = len(energies)
-    ends = np.arange(p.rms_size, n + 1)
+    ends = np.arange(p.rms_size, len(energies) + 1)
     ends = ends[ends % p.rms_hop == 0]
-    bands = [_Band(b, p) for b in range(8)]
-    for e in ends.tolist():
-        rms = np.sqrt(window @ energies[e - p.rms_size : e])
-        for band, v in zip(bands, rms.tolist()):
-            band.feed(v)
-    for band in bands:
-        band.flush()
-    return sorted((t, h, False) for band in bands for t, h in band.out)
+    if not len(ends):
+        return []
+    rms = np.sqrt(np.einsum("w,twb->tb", window, energies[ends[:, None] + np.arange(-p.rms_size, 0)]))
+    x = rise(rms)
+    return sorted((t, h, False) for b in range(8) for t, h in band_onsets(b, np.stack([x[:, b], rms[:, b]], 1), p))
 
 
 # ---- Spark
