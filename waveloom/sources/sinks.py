@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import TICKS_PER_SECOND
 from ..operators.signal import multitrack
+from ..scratch import materialize
 from .readers import PEAK_MAGIC, PEAK_VERSION
 
 
@@ -47,7 +48,7 @@ def encode_wav(df: DataFrame, rate: int, bit_depth: int = 32) -> DataFrame:
 
 def write_files(df: DataFrame, folder: str) -> DataFrame:
     """(name, content) -> files in a folder, written by the tasks that hold them: each first under a name of its own, then renamed, so a
-    task that is run again leaves the same files. Returns (name, size)."""
+    task that is run again leaves the same files. Any store that Arrow's file systems reach will do. Returns (name, size), once all are written."""
 
     def run(batches):
         from pyarrow import fs
@@ -66,7 +67,7 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
 
     out = df.select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "name string, size long")
-    return df.sparkSession.createDataFrame(out.collect(), out.schema)
+    return materialize(out, "written")
 
 
 def write_wav(df: DataFrame, folder: str, rate: int, bit_depth: int = 32) -> DataFrame:
@@ -90,10 +91,11 @@ def proxies(df: DataFrame, files: DataFrame, folder: str, rate: int) -> DataFram
     spark = df.sparkSession
     named = files.select("track_id", proxy_name(F.col("path"), F.col("size").cast("string"), F.col("modified").cast("string")).alias("name"))
     try:
-        there = [r["name"] for r in spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()]
+        known = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
     except AnalysisException:  # no copy was ever made
-        there = []
-    known = spark.createDataFrame([(n,) for n in there], "name string")
+        known = spark.createDataFrame([], "name string")
+    # the listing is taken before copies are added to it
+    known = materialize(known, "proxies")
     missing = named.join(known, "name", "left_anti")
     contents = encode_wav(df.join(missing.select("track_id"), "track_id", "left_semi"), rate).join(missing, "track_id")
     made = write_files(contents.select("name", "content"), folder)
