@@ -504,8 +504,12 @@ def near_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD)
 def drop_near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, one of each class: the one whose doc_id is the class_id. If rows repeat that doc_id in one class, all
     of them stay; exact deduplication comes first."""
-    classes = classes_by_text(docs, n, threshold)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("id").alias("__hash")).distinct()
+    with scope(docs.sparkSession) as made:
+        classes = classes_by_text(docs, n, threshold)
+        gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("id").alias("__hash")).distinct()
+        # all else is deleted before the documents are shuffled
+        gone = materialize(gone, "near-gone")
+        keep_last(made)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(text_of().cast("binary")) == F.col("__hash"))
     return docs.join(gone, same, "left_anti")
 
