@@ -37,7 +37,7 @@ def slices(batches, column: int, rows: int, size: int = 1 << 22) -> Iterator[pa.
 _HELD: list[tuple[str, Callable[[], None]]] = []
 
 
-def hold(owner: str, forget: Callable[[], None]) -> None:
+def hold(owner: str, forget: Callable[[], None] = lambda: None) -> None:
     """A Python worker remembers things for one operator at a time: when it is dealt another one's work, the former's memory is given back."""
     if _HELD and _HELD[0][0] == owner:
         return

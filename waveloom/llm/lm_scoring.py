@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import hold, word_hashes
 
 #: Least number of words that smoothing leaves room for, weight of the bigram estimate, mass added to every word.
 VOCABULARY, LAMBDA, ADDED = 1 << 18, 0.7, 0.5
@@ -47,6 +47,7 @@ class Chunk:
     """The tokens of some texts as places in their sorted distinct words (START is the first) and bigrams."""
 
     def __init__(self, texts: pa.Table, good: set[int]):
+        hold("lm_scoring")
         found, self.sizes = word_ids(texts.column("text"))
         self.target = np.array([d in good for d in texts.column("doc_id").to_pylist()], bool)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..scratch import keep_last, scope
-from .common import materialize, slices, text_of, word_hashes
+from .common import hold, materialize, slices, text_of, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a text, how many are compared at a time, and the posterior probability below which a pair goes.
@@ -153,6 +153,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How often shingles of each of 2**SKETCH_BITS buckets occur, over all documents: a fixed number of counts."""
 
     def run(batches):
+        hold("near_dup")
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in slices(batches, 0, 1000):
             flat, _ = shingles(batch.column(0), n)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import hold, slices
 from .token_ids import SLICE_BYTES, SLICE_ROWS, default_path, encoder, sentence_ends
 
 WINDOW = 2048
@@ -100,6 +100,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
     def run(batches):
         from pyspark import TaskContext
 
+        hold("encoder")
         encode, ends_sentence = encoder(tokenizer), sentence_ends(tokenizer)
         tail = np.array([end_id], encode.dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 32

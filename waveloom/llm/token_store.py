@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import hold, slices
 from .token_ids import SLICE_BYTES, SLICE_ROWS, default_path, encoder
 
 MAGIC, HEADER = b"EFT1", struct.Struct("<4s6I")
@@ -136,6 +136,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
+        hold("encoder")
         encode = encoder(tokenizer)
         tail = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
         ids: list[int | None] = []
