@@ -37,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    if time.monotonic() - _COLLECTED[0] > 5:
+    if time.monotonic() - _COLLECTED[0] > 1:
         spark._jvm.System.gc()
         _COLLECTED[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
