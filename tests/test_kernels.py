@@ -292,6 +292,17 @@ def test_online_warping_by_plain_matrices(diagonal, by_length):
         assert A.oltw(a, b, width, 3, diagonal, by_length) == A.backtrack(lambda x, y: float(total[x, y]), n - 1, m - 1)
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """A star of many edges, chains and loops, with and without hubs by broadcast."""
+    rows = [(5, k) for k in range(100, 160)] + [(k, k + 1) for k in range(200, 230)] + [(300, 300), (159, 161), (3, 161), (400, 399)]
+    df = spark.createDataFrame(rows, "u long, v long")
+    expected = {5: 3, 3: 3, 161: 3, 300: 300, 400: 399, 399: 399} | {k: 3 for k in range(100, 160)} | {k: 200 for k in range(200, 231)}
+    for large in (100_000, 10):
+        monkeypatch.setattr(G, "LARGE", large)
+        assert {r["node"]: r["root"] for r in G.components(df).collect()} == expected
+    assert G.components(df.where("false")).collect() == []
+
+
 def test_a_forest_of_chunks(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows = [(1, int(u), int(v), float(w)) for u, v, w in zip(rng.integers(0, 30, 300), rng.integers(30, 60, 300), rng.integers(0, 9, 300))]

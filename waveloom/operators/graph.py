@@ -16,6 +16,21 @@ def _stars(edges: DataFrame) -> bool:
     return edges.groupBy("u").count().where("count > 1").isEmpty()
 
 
+#: Nodes with more edges than this, and than one in SHARE of all, are hubs. There are less than 2 * SHARE of them, so they can be broadcast.
+LARGE, SHARE = 100_000, 10_000
+
+
+def _sent_on(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """Edges (u, v) -> (v, m), with m of the node u. Edges of a hub, which are many and of one key, get it by broadcast, all others by a shuffle."""
+    if n_edges > LARGE:
+        hubs = least.where(F.col("n") > max(LARGE, n_edges // SHARE)).select("u", F.col("m").alias("hub_m"))
+        edges = edges.join(F.broadcast(hubs), "u", "left")
+        of_hubs = edges.where("hub_m is not null").select(F.col("v").alias("u"), F.col("hub_m").alias("v"))
+        rest = edges.where("hub_m is null").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return of_hubs.unionByName(rest)
+    return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node is connected with. Large-star and small-star steps alternate until the
     edges are stars; every round is two aggregates and two joins over edges, whatever a component's size."""
@@ -24,8 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(edges.where("u <> v").select("u", "v").distinct(), "graph-edges")
         while not _stars(now):
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            large = _sent_on(both.where("v > u"), least, now.count()).where("u <> v").distinct()
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
             now = materialize(large.join(least, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct(), "graph-stars")
