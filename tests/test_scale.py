@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waveloom.operators import correlation as K
 from waveloom.plans import registry
+from waveloom.sources import readers, sinks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -50,3 +51,24 @@ def test_pearson_of_what_does_not_vary_is_no_error(spark):
 @pytest.mark.parametrize("name", ["corr_pearson", "corr_interference", "corr_analyse"])
 def test_every_two_tracks_are_not_joined_by_sample(spark, name):
     assert "Join" not in _plan(registry.QUERIES[name](spark, DATA))
+
+
+def test_a_project_is_written_and_read_in_parts(spark, tmp_path):
+    """Tracks keep their places over the parts of a project; a file of one part reads the same."""
+    n = 500
+    tracks = spark.range(n).select((F.col("id") * 3).alias("track_id"), F.concat(F.lit("<é> \n"), "id").alias("name"), F.concat("id", F.lit(".wav")).alias("file"), F.lit(10).cast("long").alias("length_ticks"), (-F.col("id")).alias("offset_ticks"), *(F.lit(False).alias(c) for c in ("mute", "solo", "inverted_phase", "locked")), *(F.lit(0.5).alias(c) for c in ("volume", "balance")))
+    matches = spark.range(n - 1).select((F.col("id") * 3).alias("track1"), (F.col("id") * 3 + 3).alias("track2"), F.col("id").alias("t1"), (F.col("id") * 7).alias("t2"), F.lit(0.25).alias("similarity"), F.lit("CC").alias("source"))
+    warps = spark.range(0, n, 2).select((F.col("id") * 3).alias("track_id"), F.col("id").alias("from_t"), (F.col("id") + 1).alias("to_t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_project(tracks, matches, str(tmp_path / "p"), warps, 0.25)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "p").glob("part-*"))
+    assert len(parts) > 1
+    (tmp_path / "one.xml").write_bytes(b"<?xml version='1.0'?>\n" + b"".join(p.read_bytes() for p in parts).replace(b"\n", b""))
+    for path in ("p", "one.xml"):
+        t, m, w, settings = readers.read_project(spark, str(tmp_path / path))
+        assert sorted(map(tuple, t.select("track_id", "name", "offset_ticks").collect())) == [(k, f"<é> \n{k}", -k) for k in range(n)]
+        assert sorted(map(tuple, m.collect())) == [(k, k + 1, k, 7 * k, 0.25, "CC") for k in range(n - 1)]
+        assert sorted(map(tuple, w.collect())) == [(k, k, k + 1) for k in range(0, n, 2)] and settings.first()["master_volume"] == 0.25

@@ -147,14 +147,14 @@ def span_of_ticks(ticks: Column) -> Column:
 
 def _attribute(name: str, value: Column) -> Column:
     text = value.cast("string")
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return F.coalesce(F.concat(F.lit(f' {name}="'), text, F.lit('"')), F.lit(""))
 
 
 def write_project(tracks: DataFrame, matches: DataFrame, path: str, warps: DataFrame | None = None, master_volume: float = 1.0, version: int = 2) -> None:
-    """A project file: tracks in the order of their ids, with time warps, matches by the tracks' places, and the master volume. A project's
-    lists are short, so the file is one row."""
+    """A project: tracks in the order of their ids, with time warps, matches by the tracks' places, and the master volume. An element is a line,
+    and lines are sorted over all tasks, so the parts of the folder, in the order of their names, make up the file; none is held as a whole."""
     spark = tracks.sparkSession
     warps = spark.createDataFrame([], "track_id long, from_t long, to_t long") if warps is None else warps
     warp = F.concat(F.lit("<timewarp"), _attribute("from", F.col("from_t")), _attribute("to", F.col("to_t")), F.lit("/>"))
@@ -165,17 +165,20 @@ def write_project(tracks: DataFrame, matches: DataFrame, path: str, warps: DataF
         "mute": F.col("mute"), "solo": F.col("solo"), "volume": F.col("volume"), "balance": F.col("balance"), "invertedphase": F.col("inverted_phase"), "locked": F.col("locked"),
     }
     track = F.concat(F.lit("<track"), *(_attribute(k, v) for k, v in attributes.items()), F.lit("><timewarps>"), F.coalesce("w", F.lit("")), F.lit("</timewarps></track>"))
-    listed = tracks.join(inner, "track_id", "left").agg(F.sort_array(F.collect_list(F.struct("track_id", track.alias("x")))).alias("t"))
+    listed = tracks.join(inner, "track_id", "left")
     place = tracks.select("track_id", (F.row_number().over(Window.orderBy("track_id")) - 1).alias("place"))
     at = lambda k: place.select(F.col("track_id").alias(f"track{k}"), F.col("place").alias(f"place{k}"))
     attributes = {"track1": F.col("place1"), "track1time": span_of_ticks(F.col("t1")), "track2": F.col("place2"), "track2time": span_of_ticks(F.col("t2")), "similarity": F.col("similarity"), "source": F.col("source")}
     match = F.concat(F.lit("<match"), *(_attribute(k, v) for k, v in attributes.items()), F.lit("/>"))
-    found = matches.join(at(1), "track1").join(at(2), "track2").agg(F.sort_array(F.collect_list(F.struct("place1", "place2", "t1", "t2", match.alias("x")))).alias("m"))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x["x"]), "")
-    text = F.concat(
-        F.lit(f"<project><format>{version}</format><audiotracks>"), joined(F.col("t")), F.lit("</audiotracks><matches>"), joined(F.col("m")), F.lit(f"</matches><mastervolume>{master_volume}</mastervolume></project>")
-    )
-    listed.crossJoin(F.broadcast(found)).select(text.alias("value")).coalesce(1).write.text(path)
+    found = matches.join(at(1), "track1").join(at(2), "track2")
+    keys = ("a", "b", "t1", "t2")
+    none = {c: F.lit(None).cast("long").alias(c) for c in keys}
+    line = lambda section, df, value, **own: df.select(F.lit(section).alias("section"), *(own.get(c, none[c]).alias(c) for c in keys), value.alias("value"))
+    frame = ((0, f"<project><format>{version}</format><audiotracks>"), (2, "</audiotracks><matches>"), (4, f"</matches><mastervolume>{master_volume}</mastervolume></project>"))
+    lines = line(1, listed, track, a=F.col("track_id").cast("long")).unionByName(line(3, found, match, a=F.col("place1").cast("long"), b=F.col("place2").cast("long"), t1=F.col("t1"), t2=F.col("t2")))
+    for section, text in frame:
+        lines = lines.unionByName(line(section, spark.range(1), F.lit(text)))
+    lines.orderBy("section", *keys, "value").select("value").write.text(path)
 
 
 def write_sync(tracks: DataFrame, matches: DataFrame, path: str) -> None:
