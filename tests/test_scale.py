@@ -72,3 +72,34 @@ def test_a_project_is_written_and_read_in_parts(spark, tmp_path):
         assert sorted(map(tuple, t.select("track_id", "name", "offset_ticks").collect())) == [(k, f"<é> \n{k}", -k) for k in range(n)]
         assert sorted(map(tuple, m.collect())) == [(k, k + 1, k, 7 * k, 0.25, "CC") for k in range(n - 1)]
         assert sorted(map(tuple, w.collect())) == [(k, k, k + 1) for k in range(0, n, 2)] and settings.first()["master_volume"] == 0.25
+
+
+def test_cross_correlation_holds_few_pairs_at_a_time(spark, monkeypatch):
+    """Lists stay in Arrow's arrays, and many pairs of one batch are taken in slices; sparse, empty and constant windows are as by hand."""
+    n = 4096
+    rows = [(k, i, float((i * (k + 3)) % 7)) for k in range(150) for i in range(k % 2, 20 + k % 5, 1 + k % 3)] + [(200, i, 1.0) for i in range(5)] + [(201, n + 1, 2.0)]
+    df = spark.createDataFrame(rows, "pair_id long, idx long, value double").coalesce(1)
+    found = {}
+    for r in K.cross_correlation(df, df.withColumn("value", F.col("value") * F.col("idx")), n).where("abs(lag) < 3").collect():
+        found[r["pair_id"], r["lag"]] = r["r"]
+    own = {}
+    for k, i, v in rows:
+        own.setdefault(k, []).append((i, v))
+    assert {k for k, _ in found} == set(own) - {201}
+    for k, v in own.items():
+        if k < 200:
+            i, x = np.array([a for a, _ in v]), np.array([b for _, b in v])
+            y = x * i - (x * i).mean()
+            x = x - x.mean()
+            for lag in range(-2, 3):
+                s = sum(x[p] * y[q] for p in range(len(i)) for q in range(len(i)) if i[q] - i[p] == lag)
+                low = math.sqrt((x * x).sum() * (y * y).sum())
+                assert found[k, lag] == pytest.approx(s / low if low else 0.0, abs=1e-9)
+    assert found[200, 0] == 0
+
+
+def test_late_rows_are_not_written_by_one_task(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "coalesce", lambda *_: pytest.fail("one task for all rows"))
+    assert registry.QUERIES["stream_late_rows"](spark, DATA).count() > 0
