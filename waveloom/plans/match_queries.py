@@ -474,8 +474,9 @@ def stream_late_rows(spark, sf):
     again = df.where("idx >= 25 and idx < 30").select("track_id", (F.col("idx") + 0).alias("idx"), (F.col("value") + 1).alias("value"))
     base = scratch(spark, "late")
     for part in (first, df.where("idx >= 30").unionByName(again)):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+        # all files of a part are one micro-batch, however many tasks write them
+        part.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(df.schema).parquet(f"{base}/in")
         run = stateful.hop_frames(source, 1, 1).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     out = spark.read.schema("track_id long, frame_idx long, values array<double>, n_late long").parquet(f"{base}/out")
