@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waveloom.operators import alignment as A
 from waveloom.operators import correlation as K
 from waveloom.plans import registry
 from waveloom.sources import readers, sinks
@@ -103,3 +105,32 @@ def test_late_rows_are_not_written_by_one_task(spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "coalesce", lambda *_: pytest.fail("one task for all rows"))
     assert registry.QUERIES["stream_late_rows"](spark, DATA).count() > 0
+
+
+def _frames(spark, n):
+    r = np.random.default_rng(3)
+    return spark.createDataFrame([(k, i, [float(v) for v in r.random(4)]) for k in (1, 2) for i in range(n + 5 * k)], "track_id long, frame_idx long, values array<double>")
+
+
+@pytest.mark.parametrize("kind", list(A.KERNELS))
+def test_paths_are_found_with_few_costs_held(kind):
+    """Memory is some steps a cell of the band, not its costs; the path is that of the costs."""
+    r = np.random.default_rng(1)
+    a, b = r.random((1500, 3)), r.random((1480, 3))
+    tracemalloc.start()
+    path = A.KERNELS[kind](a, b, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert path[0] == (0, 0) and path[-1] in ((1500, 1480), (1499, 1479))
+    # 300,000 cells of the band on both sides; a cost alone takes 8 bytes
+    assert peak < 1_200_000
+
+
+def test_alignment_of_tracks_is_that_of_their_frames(spark):
+    df = _frames(spark, 30)
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, track1 long, track2 long")
+    stack = {k: np.array([r["values"] for r in df.where(F.col("track_id") == k).orderBy("frame_idx").collect()]) for k in (1, 2)}
+    for kind, kernel in A.KERNELS.items():
+        rows = A.align(pairs, df.orderBy(F.desc("frame_idx")), kind, 10, optimize=False).orderBy("step").collect()
+        assert [(r["i1"], r["i2"]) for r in rows] == kernel(stack[1], stack[2], 10)
+        assert all(r["pair_id"] == 7 and r["t1"] == round(r["i1"] * A.HOP / A.RATE * 10**7) for r in rows)

@@ -1,6 +1,7 @@
 """Sequence alignment of feature frames: dynamic time warping and two on-line forms (Dixon 2005).
 
-A pair of tracks is the unit of work: both sides' frames meet by cogroup, and numpy fills the band.
+A pair of tracks is the unit of work: both sides' frames meet by cogroup, as Arrow's arrays, and the band is filled line by line. Of its costs only
+the last lines are held, of the rest two bits a cell, by which the path is followed back.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ HOP, RATE = 882, 44100
 
 def frame_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Frames against one frame: 90 * L1 difference over the sum, weighted by the sum's level; 0 for two empty frames."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
     total = a.sum(1) + b.sum()
     some = total > 0
     safe = np.where(some, total, 1.0)
@@ -63,76 +65,141 @@ def band(n: int, m: int, width: int) -> tuple[list[int], list[int]]:
     return first.tolist(), last.tolist()
 
 
+class Steps:
+    """Steps back from cells that are filled line by line, four in a byte: all that a path needs of cells that are no longer held."""
+
+    def __init__(self):
+        self.first, self.lines = [], []
+
+    def add(self, first: int, steps: bytes) -> None:
+        """The next line's cells, from `first` on."""
+        v = np.frombuffer(steps.ljust(-(-len(steps) // 4) * 4, b"\0"), np.uint8).reshape(-1, 4)
+        self.first.append(first)
+        self.lines.append((v[:, 0] | v[:, 1] << 2 | v[:, 2] << 4 | v[:, 3] << 6).tobytes())
+
+    def at(self, line: int, cell: int) -> int:
+        k = cell - self.first[line]
+        return self.lines[line][k >> 2] >> 2 * (k & 3) & 3
+
+
+def follow(step, i: int, j: int) -> list[tuple[int, int]]:
+    """backtrack() by the steps of cells."""
+    path = [(i, j)]
+    while i > 0 or j > 0:
+        k = 2 if i == 0 else 1 if j == 0 else step(i, j)
+        i, j = i - (k < 2), j - (k != 1)
+        path.append((i, j))
+    return path[::-1]
+
+
 def dtw(a: np.ndarray, b: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """The cheapest path in a band of `width` cells along the n : m diagonal, in 1-based cells from (0, 0). Rows of the band are kept, so memory is
-    n * width."""
+    """The cheapest path in a band of `width` cells along the n : m diagonal, in 1-based cells from (0, 0). Of the costs the last row is held, of
+    the rows before it the steps back, a quarter of a byte a cell."""
     n, m = len(a), len(b)
     if not n or not m:
         return []
     inf = math.inf
     first, last = band(n, m, max(width, 1))
-    first, last, rows = [0, *first], [0, *last], [[0.0]]
-
-    def total(i: int, j: int) -> float:
-        return rows[i][j - first[i]] if first[i] <= j <= last[i] else inf
-
+    first, last, steps = [0, *first], [0, *last], Steps()
+    steps.add(0, b"\0")
+    row = [0.0]
     for i in range(1, n + 1):
         low, high = first[i], last[i]
-        above = [total(i - 1, j) for j in range(low - 1, high + 1)]
-        left, row = inf, []
+        # costs of the row above from low - 1 to high; what lies outside of its band is infinite
+        start, end = first[i - 1], last[i - 1]
+        before = max(0, start - (low - 1))
+        above = [inf] * before + row[low - 1 + before - start : high + 1 - start]
+        above += [inf] * (high - low + 2 - len(above))
+        left, row, back = inf, [], bytearray()
         for c, d, u in zip(frame_costs(b[low - 1 : high], a[i - 1]).tolist(), above, above[1:]):
+            back.append(0 if d <= u and d <= left else 1 if u <= left else 2)
             left = c + min(u, left, d)
             row.append(left)
-        rows.append(row)
-    return backtrack(total, n, m)
+        steps.add(low, bytes(back))
+    return follow(steps.at, n, m)
 
 
 def oltw(a: np.ndarray, b: np.ndarray, width: int, max_run: int = 3, diagonal: float = 2.0, by_length: bool = False) -> list[tuple[int, int]]:
     """On-line time warping: the frontier grows by a row, a column or both, towards the cheapest cell of its last row and column, and no
-    side more than max_run times in a row. by_length divides costs by path length, the off-line variant (with diagonal 1)."""
+    side more than max_run times in a row. by_length divides costs by path length, the off-line variant (with diagonal 1).
+
+    Of the costs the last row and column are held. A cell is filled once, after all it is reached from, so its step back is known then.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return []
     c = max(1, min(width, n, m))
     inf = math.inf
-    total = {(0, 0): frame_cost(a[0], b[0])}
-    get = total.get
+    # costs of the cells (x, j) by x and (i, y) by y, from x0 and y0 on; steps of the cells of column j with x <= i, and of row i with y <= j
+    column, x0 = [frame_cost(a[0], b[0])], 0
+    row, y0 = list(column), 0
+    columns, rows = Steps(), Steps()
+    columns.add(0, b"\0")
+    rows.add(0, b"\0")
+    # i at the time when column j came, which tells where a cell was filled
+    reached = [0]
     i = j = run = 0
     previous = None
-    per = (lambda x, y: 1 + x + y) if by_length else (lambda x, y: 1)
 
-    def fill(x, y, cost):
-        total[x, y] = min(get((x - 1, y - 1), inf) + diagonal * cost, get((x - 1, y), inf) + cost, get((x, y - 1), inf) + cost)
+    def cheapest(costs: list[float], at: int, first: int, last: int, other: int) -> tuple[float, int]:
+        """The least cost of the cells first .. last, by length if so asked, and its place: the last of equal ones."""
+        own = np.array(costs[max(0, first - at) : last - at + 1])
+        if by_length:
+            own = own / (1 + np.arange(last - len(own) + 1, last + 1) + other)
+        k = len(own) - 1 - int(own[::-1].argmin())
+        return float(own[k]), last - len(own) + 1 + k
+
+    def fill(held: list[float], at: int, low: int, costs: list[float], of_column: bool) -> tuple[list[float], bytes]:
+        """The next column's or row's costs from `low` on, by those of the one before from `at` on, and the steps back: 0 for the diagonal, 1 for
+        i - 1, 2 for j - 1, the first of the least."""
+        before = max(0, at - (low - 1))
+        old = [inf] * before + held[low - 1 + before - at :]
+        out, back, last = [], bytearray(), inf
+        for cost, d, across in zip(costs, old, old[1:]):
+            u, l = (last, across) if of_column else (across, last)
+            back.append(0 if d <= u and d <= l else 1 if u <= l else 2)
+            last = min(d + diagonal * cost, u + cost, l + cost)
+            out.append(last)
+        return out, bytes(back)
 
     while i < n - 1 or j < m - 1:
         if i < c:
-            step = "both"
+            way = "both"
         else:
-            row = min(((get((x, j), inf) / per(x, j), -x) for x in range(max(0, i - c + 1), i + 1)))
-            col = min(((get((i, y), inf) / per(i, y), -y) for y in range(max(0, j - c + 1), j + 1)))
-            step = "both" if -row[1] == i and -col[1] == j else "row" if row[0] < col[0] else "column"
-        run = run + 1 if step == previous else run
-        if step == "both":
+            x, y = cheapest(column, x0, max(0, i - c + 1), i, j), cheapest(row, y0, max(0, j - c + 1), j, i)
+            way = "both" if x[1] == i and y[1] == j else "row" if x[0] < y[0] else "column"
+        run = run + 1 if way == previous else run
+        if way == "both":
             run = 0
         elif run >= max_run:
-            step, run = ("column" if step == "row" else "row"), 0
+            way, run = ("column" if way == "row" else "row"), 0
         # a side that has ended leaves the other to go on
-        if step == "row" and j == m - 1:
-            step = "column"
-        elif step == "column" and i == n - 1:
-            step = "row"
-        if j < m - 1 and step in ("row", "both"):
+        if way == "row" and j == m - 1:
+            way = "column"
+        elif way == "column" and i == n - 1:
+            way = "row"
+        if j < m - 1 and way in ("row", "both"):
             j += 1
             low = max(i - c + 1, 0)
-            for x, cost in enumerate(frame_costs(a[low : i + 1], b[j]).tolist(), low):
-                fill(x, j, cost)
-        if i < n - 1 and step in ("column", "both"):
+            column, back = fill(column, x0, low, frame_costs(a[low : i + 1], b[j]).tolist(), True)
+            x0 = low
+            columns.add(low, back)
+            reached.append(i)
+            row.append(column[-1])
+        if i < n - 1 and way in ("column", "both"):
             i += 1
             low = max(j - c + 1, 0)
-            for y, cost in enumerate(frame_costs(b[low : j + 1], a[i]).tolist(), low):
-                fill(i, y, cost)
-        previous = step
-    return backtrack(lambda x, y: get((x, y), inf), n - 1, m - 1)
+            row, back = fill(row, y0, low, frame_costs(b[low : j + 1], a[i]).tolist(), False)
+            y0 = low
+            rows.add(low, back)
+            column.append(row[-1])
+        # no more than the last c cells, and the one before, are looked at
+        if len(column) > 2 * c + 8:
+            x0, column = x0 + len(column) - c - 1, column[-c - 1 :]
+        if len(row) > 2 * c + 8:
+            y0, row = y0 + len(row) - c - 1, row[-c - 1 :]
+        previous = way
+    return follow(lambda x, y: columns.at(y, x) if x <= reached[y] else rows.at(x, y), n - 1, m - 1)
 
 
 def smooth(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,6 +221,15 @@ KERNELS = {
 }
 
 
+def _stack(own: pa.Table) -> np.ndarray:
+    """Frames (pair, frame, values) in order, as rows."""
+    own = own.combine_chunks()
+    order = np.argsort(own.column(1).to_numpy(), kind="stable")
+    lists = own.column(2).chunk(0)
+    values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return values if (order[:-1] < order[1:]).all() else values[order]
+
+
 def align(pairs: DataFrame, frames: DataFrame, kind: str = "dtw", width: int = 500, zero_based: bool = False, optimize: bool = True) -> DataFrame:
     """pairs (pair_id, track1, track2) and frames (track_id, frame_idx, values) -> path rows: pair_id, step, i1, i2, t1, t2 in ticks.
 
@@ -165,13 +241,12 @@ def align(pairs: DataFrame, frames: DataFrame, kind: str = "dtw", width: int = 5
     side = lambda n: pairs.select(F.col("pair_id").alias(f"pair{n}"), F.col(f"track{n}").alias("track_id")).join(f, "track_id").select(f"pair{n}", F.col("frame_idx").alias(f"frame{n}"), F.col("values").alias(f"values{n}"))
     shift = 1 if zero_based and kind == "dtw" else 0
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        stack = lambda d, n: np.array(d.sort_values(f"frame{n}")[f"values{n}"].to_list(), float)
-        path = kernel(stack(left, 1), stack(right, 2), width) if len(left) and len(right) else []
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        path = kernel(_stack(left), _stack(right), width) if len(left) and len(right) else []
         path = smooth(path) if optimize else path
-        path = [(max(0, i - shift), max(0, j - shift)) for i, j in path]
-        ticks = lambda k: round(k * HOP / RATE * TICKS_PER_SECOND)
-        rows = [(key[0], s, i, j, ticks(i), ticks(j)) for s, (i, j) in enumerate(path)]
-        return pd.DataFrame(rows, columns=["pair_id", "step", "i1", "i2", "t1", "t2"])
+        at = np.maximum(np.array(path, np.int64).reshape(-1, 2) - shift, 0)
+        ticks = np.rint(at * HOP / RATE * TICKS_PER_SECOND).astype(np.int64)
+        columns = (np.full(len(at), key[0].as_py(), np.int64), np.arange(len(at), dtype=np.int32), at[:, 0], at[:, 1], ticks[:, 0], ticks[:, 1])
+        return pa.table([pa.array(c) for c in columns], ["pair_id", "step", "i1", "i2", "t1", "t2"])
 
-    return side(1).groupBy("pair1").cogroup(side(2).groupBy("pair2")).applyInPandas(run, "pair_id long, step int, i1 long, i2 long, t1 long, t2 long")
+    return side(1).groupBy("pair1").cogroup(side(2).groupBy("pair2")).applyInArrow(run, "pair_id long, step int, i1 long, i2 long, t1 long, t2 long")
