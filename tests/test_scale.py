@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waveloom.operators import alignment as A
 from waveloom.operators import correlation as K
+from waveloom.operators import fingerprints as P
 from waveloom.plans import registry
 from waveloom.sources import readers, sinks
 
@@ -134,3 +135,22 @@ def test_alignment_of_tracks_is_that_of_their_frames(spark):
         rows = A.align(pairs, df.orderBy(F.desc("frame_idx")), kind, 10, optimize=False).orderBy("step").collect()
         assert [(r["i1"], r["i2"]) for r in rows] == kernel(stack[1], stack[2], 10)
         assert all(r["pair_id"] == 7 and r["t1"] == round(r["i1"] * A.HOP / A.RATE * 10**7) for r in rows)
+
+
+@pytest.mark.parametrize("kind", list(P.KERNELS))
+def test_held_signals_have_the_hashes_of_their_samples(spark, kind, monkeypatch):
+    """Samples are worked out behind the shuffle; blocks of few frames cut them anywhere."""
+    profile = {"hk": P.BandProfile(size=256, hop=96, bands=9, flips=2), "chromaprint": P.ChromaProfile(5512, 512, 128)}.get(kind)
+    df = spark.createDataFrame([(k, i, float((i * 37 + k * 11) % 91)) for k in (1, 2) for i in range(400)], "track_id long, idx long, value double")
+    held = P.Held(150, lambda values, idx, track: values / 100 + np.sin(idx * (0.05 + track * 0.001)))
+    long = df.select("track_id", F.explode(F.sequence(F.col("idx") * 150, F.col("idx") * 150 + 149)).alias("idx"), "value")
+    long = long.withColumn("value", F.col("value") / 100 + F.sin(F.col("idx") * (F.lit(0.05) + F.col("track_id") * 0.001)))
+    plain = sorted(map(tuple, P.hashes(long, kind, profile).collect()))
+    found = P.hashes(df, kind, profile, held)
+    assert sorted(map(tuple, found.collect())) == plain and plain
+
+
+@pytest.mark.parametrize("name", ["fp_wang", "fp_haitsma_kalker_small", "fp_chromaprint_small"])
+def test_fingerprints_sort_samples_before_they_are_held(spark, name):
+    plan = _plan(registry.QUERIES[name](spark, DATA))
+    assert "SIN(" not in plan

@@ -7,6 +7,7 @@ must have the profile's rate already (see resample).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,13 +74,13 @@ def band_hashes(energies: np.ndarray, flips: int = 3, reversed_sign: bool = True
     before = np.vstack([np.zeros((1, energies.shape[1])), energies[:-1]])
     d = (before[:, :-1] - before[:, 1:]) - (energies[:, :-1] - energies[:, 1:])
     d = d if reversed_sign else -d
-    out = []
-    for f, row in enumerate(d):
-        word = int(sum(1 << m for m in np.flatnonzero(row > 0).tolist()))
-        out.append((f, word, False))
-        weak = np.argsort(np.abs(row), kind="stable")[:flips].tolist()
-        out += [(f, word ^ sum(1 << weak[k] for k in range(len(weak)) if s >> k & 1), True) for s in range(1, 1 << len(weak))]
-    return out
+    n = len(d)
+    words = (d > 0) @ (1 << np.arange(d.shape[1], dtype=np.int64))
+    weak = np.argsort(np.abs(d), axis=1, kind="stable")[:, :flips]
+    flipped = [(1 << weak[:, [k for k in range(weak.shape[1]) if s >> k & 1]]).sum(1) for s in range(1, 1 << weak.shape[1])]
+    rows = np.stack([words, *(words ^ x for x in flipped)], 1)
+    per = rows.shape[1]
+    return list(zip(np.repeat(np.arange(n), per).tolist(), rows.ravel().tolist(), ([False] + [True] * (per - 1)) * n))
 
 
 def haitsma_kalker(values: np.ndarray, p: BandProfile = BAND_PROFILES["default"]) -> list[tuple[int, int, bool]]:
@@ -423,33 +424,60 @@ REACH = {"hk": lambda p: (1, 0), "chromaprint": lambda p: (0, len(SMOOTHING) - 1
 DEFAULTS = {"hk": BAND_PROFILES["default"], "wang": PEAK_PROFILES["default"], "chromaprint": CHROMA_PROFILES["default"], "echoprint": OnsetProfile()}
 
 
-def hashes(df: DataFrame, kind: str, profile=None) -> DataFrame:
-    """Mono signals (track_id, idx, value) -> hashes. Where a hash depends on few frames, tracks of any length are dealt in blocks with the
-    frames around them; generators with a running state take a track at a time."""
-    kernel, profile = KERNELS[kind], profile or DEFAULTS[kind]
-    blocked = kind in REACH
-    before, after = REACH[kind](profile) if blocked else (0, 0)
-    span = BLOCK_FRAMES * profile.hop if blocked else 1
+@dataclass(frozen=True)
+class Held:
+    """Signals kept as samples that each stand for `times` ones of the signal, worked out where they are needed: change(values, idx, track_id) of the values held."""
+
+    times: int
+    change: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = lambda values, idx, track: values
+
+
+def in_blocks(df: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame], schema: str, size: int, hop: int, reach: tuple[int, int] | None, held: Held | None = None) -> DataFrame:
+    """Signals (track_id, idx, value) -> rows of kernel(values), with idx the frame, under their track. With reach (frames before, frames after), tracks of
+    any length are dealt in blocks with the frames around them that a row depends on; without it a track is taken at a time. What is shuffled and sorted
+    are the rows of df, so held samples are far less than those of the signal."""
+    times = held.times if held else 1
+    before, after = reach or (0, 0)
+    span = BLOCK_FRAMES * hop if reach else 1
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
-        block = int(part["block"].iloc[0])
-        rows = kernel(part["value"].to_numpy(float), profile)
-        out = pd.DataFrame(rows, columns=["idx", "hash", "is_variation"]).astype({"idx": "int64", "hash": "int64", "is_variation": bool})
-        out.insert(0, "track_id", part["track_id"].iloc[0])
-        if blocked:
+        block, track = int(part["block"].iloc[0]), part["track_id"].iloc[0]
+        values = part["value"].to_numpy(float)
+        if held:
+            idx = (part["idx"].to_numpy()[:, None] * times + np.arange(times)).ravel()
+            own = slice(None)
+            if reach:
+                first, end = max(0, block * BLOCK_FRAMES - before) * hop, ((block + 1) * BLOCK_FRAMES - 1 + after) * hop + size
+                own = slice(*np.searchsorted(idx, [first, end]).tolist())
+            values = held.change(np.repeat(values, times)[own], idx[own], track)
+        out = kernel(values)
+        out.insert(0, "track_id", track)
+        if reach:
             out["idx"] += max(0, block * BLOCK_FRAMES - before)
             out = out[(out["idx"] >= block * BLOCK_FRAMES) & (out["idx"] < (block + 1) * BLOCK_FRAMES)]
         return out
 
     rows = df.select("track_id", "idx", F.col("value").cast("double").alias("value"))
-    if blocked:
-        low = F.ceil((F.col("idx") - (profile.size - 1) - (BLOCK_FRAMES - 1 + after) * profile.hop) / span)
-        high = F.floor((F.col("idx") + before * profile.hop) / span)
+    if reach:
+        low = F.ceil((F.col("idx") * times - (size - 1) - (BLOCK_FRAMES - 1 + after) * hop) / span)
+        high = F.floor((F.col("idx") * times + (times - 1) + before * hop) / span)
         rows = rows.withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), low), high)))
     else:
         rows = rows.withColumn("block", F.lit(0).cast("long"))
-    return rows.groupBy("track_id", "block").applyInPandas(run, "track_id long, idx long, hash long, is_variation boolean")
+    return rows.groupBy("track_id", "block").applyInPandas(run, "track_id long, idx long, " + schema)
+
+
+def hashes(df: DataFrame, kind: str, profile=None, held: Held | None = None) -> DataFrame:
+    """Mono signals (track_id, idx, value) -> hashes. Where a hash depends on few frames, tracks of any length are dealt in blocks with the
+    frames around them; generators with a running state take a track at a time."""
+    kernel, profile = KERNELS[kind], profile or DEFAULTS[kind]
+
+    def run(values: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(kernel(values, profile), columns=["idx", "hash", "is_variation"]).astype({"idx": "int64", "hash": "int64", "is_variation": bool})
+
+    blocked = kind in REACH
+    return in_blocks(df, run, "hash long, is_variation boolean", profile.size if blocked else 1, profile.hop if blocked else 1, REACH[kind](profile) if blocked else None, held)
 
 
 def pair_peaks(peaks: DataFrame, p: PeakProfile = PEAK_PROFILES["default"]) -> DataFrame:

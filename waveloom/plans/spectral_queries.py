@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -281,6 +282,11 @@ def _long(spark, sf, hold=HOLD):
     return df.withColumn("value", F.col("value") / 100 + F.sin(F.col("idx") * (F.lit(0.05) + F.col("track_id") * 0.001)))
 
 
+def _held(hold=HOLD):
+    """The same, held as they are until a kernel needs their samples."""
+    return P.Held(hold, lambda values, idx, track: values / 100 + np.sin(idx * (0.05 + track * 0.001)))
+
+
 LONG = f"{SIGNAL}, lo AS (SELECT track_id, idx * {HOLD} + j AS idx, value / 100 + sin((idx * {HOLD} + j) * (0.05::DOUBLE + track_id * 0.001::DOUBLE)) AS value FROM sig, range({HOLD}) r(j))"
 
 
@@ -294,22 +300,22 @@ def long_frames_sql(size: int, hop: int) -> str:
 
 @query()
 def fp_haitsma_kalker(spark, sf):
-    return P.hashes(_long(spark, sf), "hk")
+    return P.hashes(signal(spark, sf), "hk", held=_held())
 
 
 @query()
 def fp_wang(spark, sf):
-    return P.hashes(_long(spark, sf), "wang")
+    return P.hashes(signal(spark, sf), "wang", held=_held())
 
 
 @query()
 def fp_chromaprint(spark, sf):
-    return P.hashes(_long(spark, sf), "chromaprint", P.CHROMA_PROFILES["sync"])
+    return P.hashes(signal(spark, sf), "chromaprint", P.CHROMA_PROFILES["sync"], held=_held())
 
 
 @query()
 def fp_echoprint(spark, sf):
-    return P.hashes(_long(spark, sf, 300), "echoprint")
+    return P.hashes(signal(spark, sf), "echoprint", held=_held(300))
 
 
 #: Small profiles of the generators, whose hashes SQL can work out from the samples.
@@ -334,7 +340,7 @@ def _hk_sql() -> str:
 
 @query(_hk_sql())
 def fp_haitsma_kalker_small(spark, sf):
-    return P.hashes(_long(spark, sf), "hk", BAND)
+    return P.hashes(signal(spark, sf), "hk", BAND, held=_held())
 
 
 def _wang_sql() -> str:
@@ -354,7 +360,7 @@ def _wang_sql() -> str:
 
 @query(_wang_sql())
 def fp_wang_small(spark, sf):
-    return P.hashes(_long(spark, sf), "wang", PEAK)
+    return P.hashes(signal(spark, sf), "wang", PEAK, held=_held())
 
 
 def _chromaprint_sql() -> str:
@@ -396,7 +402,7 @@ def _chromaprint_sql() -> str:
 
 @query(_chromaprint_sql())
 def fp_chromaprint_small(spark, sf):
-    return P.hashes(_long(spark, sf), "chromaprint", CHROMA)
+    return P.hashes(signal(spark, sf), "chromaprint", CHROMA, held=_held())
 
 
 @query(
