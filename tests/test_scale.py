@@ -150,7 +150,7 @@ def test_held_signals_have_the_hashes_of_their_samples(spark, kind, monkeypatch)
     assert sorted(map(tuple, found.collect())) == plain and plain
 
 
-@pytest.mark.parametrize("name", ["fp_wang", "fp_haitsma_kalker_small", "fp_chromaprint_small"])
+@pytest.mark.parametrize("name", ["fp_wang", "fp_haitsma_kalker_small", "fp_chromaprint_small", "spec_onset_frames"])
 def test_fingerprints_sort_samples_before_they_are_held(spark, name):
     plan = _plan(registry.QUERIES[name](spark, DATA))
     assert "SIN(" not in plan

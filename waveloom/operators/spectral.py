@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,25 +206,18 @@ def onset_frames(values: np.ndarray, rate: int = 44100, size: int = 2048, hop: i
     return np.divide(rise, s, out=rise, where=s > 0)
 
 
-def onset_spectra(df: DataFrame, rate: int = 44100, size: int = 2048, hop: int = 882, silence: float = 0.0004) -> DataFrame:
-    """onset_frames() of signals (track_id, idx, value) of any length: (track_id, frame_idx, band, rise)."""
-    window, of = np.array(WindowConfig("Hamming", size).values()), onset_band_map(rate, size)
+def onset_spectra(df: DataFrame, rate: int = 44100, size: int = 2048, hop: int = 882, silence: float = 0.0004, held=None) -> DataFrame:
+    """onset_frames() of signals (track_id, idx, value) of any length: (track_id, frame_idx, band, rise). Tracks are dealt in blocks with the frame
+    before, so only samples are shuffled; idx are dense."""
+    from .fingerprints import in_blocks
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = np.array(batch.column(2).to_pylist(), float) * window
-            power = np.abs(np.fft.rfft(raw, axis=1)[:, : size // 2]) ** 2
-            total = np.zeros((len(raw), 84))
-            np.add.at(total.T, of, power.T)
-            silent = np.sqrt((raw**2).mean(1)) <= silence
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(silent), pa.array(list(total))], ["track_id", "frame_idx", "silent", "energies"])
-
-    out = frames(df, size, hop).select(F.col("track_id").cast("long"), F.col("frame_idx").cast("long"), "values")
-    out = out.mapInArrow(run, "track_id long, frame_idx long, silent boolean, energies array<double>")
-    rows = out.select("track_id", "frame_idx", "silent", F.posexplode("energies").alias("band", "energy"))
-    return rectified_difference(rows, silent=F.col("silent")).select("track_id", "frame_idx", "band", "rise")
+    def run(values: np.ndarray) -> pd.DataFrame:
+        rise = onset_frames(values, rate, size, hop, silence)
+        n = len(rise)
+        return pd.DataFrame({"idx": np.repeat(np.arange(n), 84), "band": np.tile(np.arange(84, dtype=np.int32), n), "rise": rise.ravel()})
+
+    out = in_blocks(df, run, "band int, rise double", size, hop, (1, 0), held)
+    return out.withColumnRenamed("idx", "frame_idx")
 
 
 def analyzer_offset(config: WindowConfig) -> float:

@@ -431,7 +431,7 @@ def _onset_sql() -> str:
 @query(_onset_sql())
 def spec_onset_frames(spark, sf):
     """The 84-band onset spectra of the long signals."""
-    return X.onset_spectra(_long(spark, sf)).withColumn("rise", rounded(F.col("rise")))
+    return X.onset_spectra(signal(spark, sf), held=_held()).withColumn("rise", rounded(F.col("rise")))
 
 
 _DTW = (
