@@ -154,3 +154,11 @@ def test_held_signals_have_the_hashes_of_their_samples(spark, kind, monkeypatch)
 def test_fingerprints_sort_samples_before_they_are_held(spark, name):
     plan = _plan(registry.QUERIES[name](spark, DATA))
     assert "SIN(" not in plan
+
+
+def test_logs_are_a_file_a_track_without_folders(spark, tmp_path):
+    rows = [(k, b, (k + b) % 2 == 0) for k in range(30) for b in (2, 0, 1)]
+    written = sinks.write_music_log(spark.createDataFrame(rows, "track_id long, block long, is_music boolean"), str(tmp_path), 2.5)
+    assert {p.name for p in tmp_path.iterdir()} == {f"{k}.txt" for k in range(30)}
+    assert (tmp_path / "4.txt").read_text() == "0.000 MUSIC\n2.500 NO_MUSIC\n5.000 MUSIC\n"
+    assert readers.read_lines(written, str(tmp_path)).count() == 90

@@ -136,8 +136,8 @@ def src_batch_config(spark, sf):
 def sink_music_log(spark, sf):
     path = scratch(spark, "music")
     labels = table(spark, sf, "customer").select(F.col("c_custkey").alias("track_id"), F.col("c_nationkey").alias("block"), (F.col("c_nationkey") % 2 == 0).alias("is_music"))
-    sinks.write_music_log(labels.repartition(4, "track_id"), path, 2.5)
-    return spark.read.text(path).select(F.col("track_id").cast("int").alias("track_id"), F.col("value").alias("line"))
+    written = sinks.write_music_log(labels, path, 2.5)
+    return readers.read_lines(written, path).select(F.substring_index("name", ".", 1).cast("int").alias("track_id"), "line")
 
 
 @query(f"WITH {TRACKS}, {MATCHES}, h AS (SELECT * FROM tr WHERE volume <> 0) SELECT 'recording' AS kind, track_id AS a, NULL::BIGINT AS b, offset_ticks AS t1, length_ticks AS t2 FROM h UNION ALL SELECT 'point', track1, track2, t1, t2 FROM m JOIN h a ON a.track_id = track1 JOIN h b ON b.track_id = track2")

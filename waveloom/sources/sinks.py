@@ -215,6 +215,8 @@ def write_edl(tracks: DataFrame, path: str) -> None:
     header.unionByName(edl_lines(tracks)).coalesce(1).sortWithinPartitions(F.col("track_id").asc_nulls_first()).select(F.col("line").alias("value")).write.text(path)
 
 
-def write_music_log(labels: DataFrame, path: str, seconds_per_block: float) -> None:
-    rows = labels.select("track_id", F.format_string("%.3f %s", F.col("block") * seconds_per_block, F.when(F.col("is_music"), "MUSIC").otherwise("NO_MUSIC")).alias("value"))
-    rows.write.partitionBy("track_id").text(path)
+def write_music_log(labels: DataFrame, path: str, seconds_per_block: float) -> DataFrame:
+    """A log per track, `<track_id>.txt`, of a line per block in order, written by the tasks that hold them: (name, size), which readers.read_lines() takes."""
+    line = F.format_string("%.3f %s\n", F.col("block") * seconds_per_block, F.when(F.col("is_music"), "MUSIC").otherwise("NO_MUSIC"))
+    logs = labels.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("block", line.alias("x")))).alias("v"))
+    return write_files(logs.select(F.concat(F.col("track_id").cast("string"), F.lit(".txt")).alias("name"), F.encode(F.array_join("v.x", ""), "UTF-8").alias("content")), path)
