@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from waveloom.operators import alignment as A
 from waveloom.operators import correlation as K
 from waveloom.operators import fingerprints as P
+from waveloom.operators import index as I
+from waveloom.operators import tiles as T
 from waveloom.plans import registry
 from waveloom.sources import readers, sinks
 
@@ -162,3 +164,68 @@ def test_logs_are_a_file_a_track_without_folders(spark, tmp_path):
     assert {p.name for p in tmp_path.iterdir()} == {f"{k}.txt" for k in range(30)}
     assert (tmp_path / "4.txt").read_text() == "0.000 MUSIC\n2.500 NO_MUSIC\n5.000 MUSIC\n"
     assert readers.read_lines(written, str(tmp_path)).count() == 90
+
+
+def _copies(spark):
+    """Near copies of one text, with gaps and hashes that come often, as rows."""
+    r = np.random.default_rng(4)
+    base = r.integers(1, 1 << 32, 90)
+    rows = []
+    for track in range(12):
+        own = np.concatenate([r.integers(1, 1 << 32, track), np.where(r.random(90) < 0.15, r.integers(1, 1 << 32, 90), base), [7, 7, 7, 7, 7]])
+        rows += [(track, i, int(h)) for i, h in enumerate(own)]
+    return rows
+
+
+@pytest.mark.parametrize("window", [3, 20])
+def test_matches_of_tiles_are_those_of_all_pairs(spark, monkeypatch, window):
+    monkeypatch.setattr(T, "BLOCKED", 200)
+    monkeypatch.setattr(T, "PAIRS", 50)
+    tracks: dict = {}
+    for t, _, h in _copies(spark):
+        tracks.setdefault(t, []).append(h)
+    expected = set()
+    for a in tracks:
+        for b in (b for b in tracks if b > a):
+            for i in range(len(tracks[a]) - window + 1):
+                for j in range(len(tracks[b]) - window + 1):
+                    if tracks[a][i] == tracks[b][j]:
+                        errors = sum((x ^ y).bit_count() for x, y in zip(tracks[a][i : i + window], tracks[b][j : j + window]))
+                        if errors / (window * 32) < 0.35:
+                            expected.add((a, b, i, j, errors))
+    lists = spark.createDataFrame(list(tracks.items()), "track_id long, hashes array<long>")
+    for df in (lists, spark.createDataFrame(_copies(spark), "track_id long, idx long, hash long")):
+        found = [tuple(r)[:5] for r in I.find_all(df, window).select("track1", "track2", "i1", "i2", "bit_errors").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_scans_of_tiles_are_those_of_every_two_frames(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCKED", 200)
+    monkeypatch.setattr(T, "PAIRS", 50)
+    rows = [(t, i // 4 * (1 + t % 2), h) for t, i, h in _copies(spark)]
+    frames: dict = {}
+    for t, i, h in rows:
+        frames.setdefault(t, {}).setdefault(i, []).append(h)
+    expected = set()
+    common = lambda a, b: sum(min(a.count(h), b.count(h)) for h in set(a))
+    for a in frames:
+        for b in (b for b in frames if b > a):
+            for i in frames[a]:
+                for j in (j for j in frames[b] if common(frames[a][i], frames[b][j])):
+                    matched = tried = 0
+                    for f in range(min(30, max(frames[a]) + 1 - i, max(frames[b]) + 1 - j)):
+                        x, y = frames[a].get(i + f, []), frames[b].get(j + f, [])
+                        matched, tried = matched + common(x, y), tried + len(x) + len(y) - common(x, y)
+                        rate, bar = matched / tried if tried else 0.0, 0.3 * 0.5 ** (f * 0.25 / 2)
+                        if f > 3 and rate > bar:
+                            expected.add((a, b, i, j, f, rate))
+                        if (f > 3 and rate > bar) or rate < bar / 6:
+                            break
+    found = [tuple(r) for r in I.frame_scan(spark.createDataFrame(rows, "track_id long, idx long, hash long"), 3, 30, 0.25).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and expected
+
+
+@pytest.mark.parametrize("name", ["fp_find_all_matches", "fp_named_matches", "fp_find_long_windows", "fp_frame_scan"])
+def test_pairs_of_places_are_not_shuffled(spark, name):
+    plan = _plan(registry.QUERIES[name](spark, DATA))
+    assert "Join" not in plan and "Exchange" not in plan
