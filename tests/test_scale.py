@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waveloom.operators import alignment as A
 from waveloom.operators import correlation as K
 from waveloom.operators import fingerprints as P
+from waveloom.operators import graph as G
 from waveloom.operators import index as I
 from waveloom.operators import tiles as T
 from waveloom.plans import registry
@@ -229,3 +230,28 @@ def test_scans_of_tiles_are_those_of_every_two_frames(spark, monkeypatch):
 def test_pairs_of_places_are_not_shuffled(spark, name):
     plan = _plan(registry.QUERIES[name](spark, DATA))
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_components_of_chunks(spark, monkeypatch):
+    """Chains, a star and a random graph, contracted in chunks and over several levels; a chain takes few rounds."""
+    r = np.random.default_rng(9)
+    rows = [(k, k + 20) for k in range(600)] + [(5000, k) for k in range(5001, 5100)] + [(int(a) + 9000, int(b) + 9000) for a, b in r.integers(0, 300, (250, 2))] + [(8000, 8000)]
+    near: dict = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    expected: dict = {}
+    for node in sorted(near):
+        todo = [node] if node not in expected else []
+        while todo:
+            x = todo.pop()
+            if x not in expected:
+                expected[x] = node
+                todo += near[x]
+    df = spark.createDataFrame(rows, "u long, v long")
+    for chunk in (1 << 20, 120):
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        assert {r["node"]: r["root"] for r in G.components(df).collect()} == expected
+    monkeypatch.setattr(G, "CHUNK", 1 << 20)
+    monkeypatch.setattr(G, "_stars", lambda *_: pytest.fail("a round of joins for a small graph"))
+    assert G.components(df).count() == len(expected)
