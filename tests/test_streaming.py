@@ -1,11 +1,17 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from waveloom.operators.fingerprints import BAND_PROFILES, KERNELS, ChromaProfile, PeakProfile, haitsma_kalker
+from waveloom.plans import registry
+from waveloom.scratch import shared_dir
 from waveloom.streaming import stateful as S
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_ring_keeps_the_last_items():
     r = S.RingBuffer(10)
@@ -77,3 +83,40 @@ def test_live_generators_in_uneven_parts(spark, tmp_path, kind):
     got = {(r["idx"], r["hash"]) for r in _stream(spark, tmp_path, [rows[:10], rows[10:1000], rows[1000:1017], rows[1017:]], lambda s: live(s, small)).collect()}
     whole = {(f, h) for f, h, _ in KERNELS[kind](x, small)}
     assert got <= whole and len(got) > 0.9 * len(whole)
+
+
+_RUNS = "track_id long, idx long, n long, value double"
+
+
+def _live_kinds():
+    peaks = PeakProfile(size=64, hop=32, drop=5.0, distance=2, length=4)
+    return {"wang": (S.live_wang, peaks, 5)}
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 300, 7])
+@pytest.mark.parametrize("kind", list(_live_kinds()))
+def test_runs_of_held_samples_have_the_hashes_of_the_samples(spark, tmp_path, monkeypatch, kind, stretch):
+    """Runs may be cut between parts; what comes again, or late, is left out sample by sample, and the first that came stays."""
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    live, profile, open_frames = _live_kinds()[kind]
+    change = lambda values, idx, track: values / 100 + np.sin(idx * (0.05 + track * 0.001))
+    held = np.random.default_rng(3).normal(50, 20, 60).round(2)
+    whole = [(i * 50, 50, float(v)) for i, v in enumerate(held)]
+    parts = [whole[:7] + [(350, 20, float(held[7]))], [(360, 40, float(held[7])), *whole[8:30], (1490, 5, float(held[29]))], [(340, 30, 1e6), *whole[30:]]]
+    got = _stream(spark, tmp_path, [[(k, *r) for k in (3, 4) for r in p] for p in parts], lambda s: live(s, profile, change), _RUNS).collect()
+    for k in (3, 4):
+        x = change(np.repeat(held, 50), np.arange(3000), k)
+        n = (len(x) - profile.size) // profile.hop + 1 - open_frames
+        assert sorted((r["idx"], r["hash"]) for r in got if r["track_id"] == k) == sorted((f, h) for f, h, v in KERNELS[kind](x, profile) if f < n and not v)
+
+
+@pytest.mark.parametrize("name", ["stream_live_wang"])
+def test_held_samples_are_streamed_as_runs(spark, name):
+    """No more rows than there are events, and one more a track, whose run the two parts cut."""
+    before = set(Path(shared_dir(spark)).glob("live-*"))
+    registry.QUERIES[name](spark, DATA)
+    (made,) = set(Path(shared_dir(spark)).glob("live-*")) - before
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    rows = spark.read.parquet(f"{made}/in")
+    assert rows.count() <= events.count() + events.select("user_id").distinct().count()
+    assert rows.agg({"n": "sum"}).first()[0] == 128 * events.count()
