@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from waveloom.operators.fingerprints import BAND_PROFILES, KERNELS, ChromaProfile, PeakProfile, haitsma_kalker
+from waveloom.operators.fingerprints import BAND_PROFILES, KERNELS, BandProfile, ChromaProfile, PeakProfile, haitsma_kalker
 from waveloom.plans import registry
 from waveloom.scratch import shared_dir
 from waveloom.streaming import stateful as S
@@ -90,7 +90,7 @@ _RUNS = "track_id long, idx long, n long, value double"
 
 def _live_kinds():
     peaks = PeakProfile(size=64, hop=32, drop=5.0, distance=2, length=4)
-    return {"wang": (S.live_wang, peaks, 5)}
+    return {"wang": (S.live_wang, peaks, 5), "hk": (S.live_hashes, BandProfile(size=256, hop=96, bands=9, flips=2), 0)}
 
 
 @pytest.mark.parametrize("stretch", [1 << 20, 300, 7])
@@ -110,7 +110,7 @@ def test_runs_of_held_samples_have_the_hashes_of_the_samples(spark, tmp_path, mo
         assert sorted((r["idx"], r["hash"]) for r in got if r["track_id"] == k) == sorted((f, h) for f, h, v in KERNELS[kind](x, profile) if f < n and not v)
 
 
-@pytest.mark.parametrize("name", ["stream_live_wang"])
+@pytest.mark.parametrize("name", ["stream_live_wang", "stream_live_hashes"])
 def test_held_samples_are_streamed_as_runs(spark, name):
     """No more rows than there are events, and one more a track, whose run the two parts cut."""
     before = set(Path(shared_dir(spark)).glob("live-*"))

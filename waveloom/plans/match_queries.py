@@ -501,7 +501,7 @@ def _live(name, sql, step, held=None):
     query(sql, name)(run)
 
 
-_live("stream_live_hashes", f"SELECT track_id, idx, hash FROM ({_hk_sql()}) WHERE NOT is_variation", lambda s: stateful.live_hashes(s, BAND))
+_live("stream_live_hashes", f"SELECT track_id, idx, hash FROM ({_hk_sql()}) WHERE NOT is_variation", lambda s: stateful.live_hashes(s, BAND, _held().change), _held())
 _live("stream_live_chromaprint", f"SELECT track_id, idx, hash FROM ({_chromaprint_sql()})", lambda s: stateful.live_chromaprint(s, CHROMA))
 # frames whose zone has not come in full have no hashes yet
 _live(

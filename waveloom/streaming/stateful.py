@@ -196,25 +196,15 @@ def hop_frames(stream: DataFrame, size: int, hop: int) -> DataFrame:
     )
 
 
-def live_hashes(stream: DataFrame, profile: BandProfile = BAND_PROFILES["default"]) -> DataFrame:
+def live_hashes(stream: DataFrame, profile: BandProfile = BAND_PROFILES["default"], change: Callable | None = None) -> DataFrame:
     """Sub-fingerprints of a stream, without variations; state is the tail of samples, the last band energies and the next index."""
 
-    def run(key, parts, state: GroupState):
-        last, index, tail, before = state.get if state.exists else (-1, 0, [], [0.0] * profile.bands)
-        values, last, _ = _ordered(parts, last)
-        held = np.concatenate([np.array(tail, float), values])
-        energies = band_energies(held, profile)
+    def step(values, index, before):
+        energies = band_energies(values, profile)
         rows = band_hashes(np.vstack([np.array(before)[None, :], energies]), 0, profile.reversed_sign)[1:]
-        out = [(key[0], index + k, h) for k, (_, h, _) in enumerate(rows)]
-        held = held[len(energies) * profile.hop :]
-        if len(energies):
-            before = energies[-1].tolist()
-        state.update((last, index + len(rows), held.tolist(), list(before)))
-        yield pd.DataFrame(out, columns=["track_id", "idx", "hash"])
+        return [(index + k, h) for k, (_, h, _) in enumerate(rows)], len(energies) * profile.hop, (index + len(rows), energies[-1].tolist() if len(energies) else list(before))
 
-    return stream.groupBy("track_id").applyInPandasWithState(
-        run, "track_id long, idx long, hash long", "last long, index long, tail array<double>, before array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    return _live(stream, step, (0, [0.0] * profile.bands), "index long, before array<double>", change)
 
 
 def live_chromaprint(stream: DataFrame, profile: ChromaProfile = CHROMA_PROFILES["default"]) -> DataFrame:
