@@ -90,7 +90,8 @@ _RUNS = "track_id long, idx long, n long, value double"
 
 def _live_kinds():
     peaks = PeakProfile(size=64, hop=32, drop=5.0, distance=2, length=4)
-    return {"wang": (S.live_wang, peaks, 5), "hk": (S.live_hashes, BandProfile(size=256, hop=96, bands=9, flips=2), 0)}
+    small = ChromaProfile(5512, 64, 16, mapping="paper", low=100, high=2500)
+    return {"wang": (S.live_wang, peaks, 5), "hk": (S.live_hashes, BandProfile(size=256, hop=96, bands=9, flips=2), 0), "chromaprint": (S.live_chromaprint, small, 0)}
 
 
 @pytest.mark.parametrize("stretch", [1 << 20, 300, 7])
@@ -110,7 +111,7 @@ def test_runs_of_held_samples_have_the_hashes_of_the_samples(spark, tmp_path, mo
         assert sorted((r["idx"], r["hash"]) for r in got if r["track_id"] == k) == sorted((f, h) for f, h, v in KERNELS[kind](x, profile) if f < n and not v)
 
 
-@pytest.mark.parametrize("name", ["stream_live_wang", "stream_live_hashes"])
+@pytest.mark.parametrize("name", ["stream_live_wang", "stream_live_hashes", "stream_live_chromaprint"])
 def test_held_samples_are_streamed_as_runs(spark, name):
     """No more rows than there are events, and one more a track, whose run the two parts cut."""
     before = set(Path(shared_dir(spark)).glob("live-*"))

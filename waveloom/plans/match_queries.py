@@ -14,7 +14,7 @@ from ..sources import sinks
 from ..streaming import stateful
 from .inputs import MATCHES, SIGNAL, TRACKS, hash_lists, hashes, hashes_sql, matches, rounded, signal, table, tracks, words
 from .registry import query
-from .spectral_queries import BAND, CHROMA, PEAK, _chromaprint_sql, _held, _hk_sql, _long, _wang_sql
+from .spectral_queries import BAND, CHROMA, PEAK, _chromaprint_sql, _held, _hk_sql, _wang_sql
 
 N = 8
 _H = hashes_sql()
@@ -483,17 +483,15 @@ def stream_late_rows(spark, sf):
     return out.where("frame_idx >= 30").select("track_id", F.col("frame_idx").alias("idx"), F.col("values")[0].alias("value"), "n_late")
 
 
-def _live(name, sql, step, held=None):
+def _live(name, sql, step):
     def run(spark, sf):
+        held = _held()
         base = scratch(spark, "live")
         for low, high in ((0, 3000), (3000, None)):
-            if held:
-                part = stateful.runs(signal(spark, sf), held.times, low, high)
-            else:
-                part = _long(spark, sf).select("track_id", "idx", "value").where("idx < 3000" if high else "idx >= 3000")
+            part = stateful.runs(signal(spark, sf), held.times, low, high)
             part.write.mode("append").parquet(f"{base}/in")
             source = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
-            out = step(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            out = step(source, held.change).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
             out.awaitTermination()
         return spark.read.schema("track_id long, idx long, hash long").parquet(f"{base}/out")
 
@@ -501,10 +499,10 @@ def _live(name, sql, step, held=None):
     query(sql, name)(run)
 
 
-_live("stream_live_hashes", f"SELECT track_id, idx, hash FROM ({_hk_sql()}) WHERE NOT is_variation", lambda s: stateful.live_hashes(s, BAND, _held().change), _held())
-_live("stream_live_chromaprint", f"SELECT track_id, idx, hash FROM ({_chromaprint_sql()})", lambda s: stateful.live_chromaprint(s, CHROMA))
+_live("stream_live_hashes", f"SELECT track_id, idx, hash FROM ({_hk_sql()}) WHERE NOT is_variation", lambda s, change: stateful.live_hashes(s, BAND, change))
+_live("stream_live_chromaprint", f"SELECT track_id, idx, hash FROM ({_chromaprint_sql()})", lambda s, change: stateful.live_chromaprint(s, CHROMA, change))
 # frames whose zone has not come in full have no hashes yet
 _live(
     "stream_live_wang", f"WITH z AS ({_wang_sql()}), n AS (SELECT user_id AS track_id, (count(*) * 128 - {PEAK.size}) // {PEAK.hop} + 1 AS n FROM events GROUP BY ALL) SELECT track_id, idx, hash FROM z JOIN n USING (track_id) WHERE idx < n - {PEAK.distance + PEAK.length - 1}",
-    lambda s: stateful.live_wang(s, PEAK, _held().change), _held(),
+    lambda s, change: stateful.live_wang(s, PEAK, change),
 )

@@ -10,7 +10,6 @@ from ..functions import columns as C
 from ..operators import alignment as A
 from ..operators import fingerprints as P
 from ..operators import music as M
-from ..operators import resample as R
 from ..operators import spectral as X
 from ..operators import windows as W
 from ..sources import readers
@@ -276,14 +275,8 @@ def fp_band_hashes(spark, sf):
 HOLD = 128
 
 
-def _long(spark, sf, hold=HOLD):
-    """Signals long enough for fingerprints: every track's values held for many samples, under a tone of its own."""
-    df = R.resample(signal(spark, sf), float(hold), "hold")
-    return df.withColumn("value", F.col("value") / 100 + F.sin(F.col("idx") * (F.lit(0.05) + F.col("track_id") * 0.001)))
-
-
 def _held(hold=HOLD):
-    """The same, held as they are until a kernel needs their samples."""
+    """Signals long enough for fingerprints: every track's values held for many samples, under a tone of its own; worked out where a kernel needs them."""
     return P.Held(hold, lambda values, idx, track: values / 100 + np.sin(idx * (0.05 + track * 0.001)))
 
 

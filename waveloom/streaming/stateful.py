@@ -207,19 +207,14 @@ def live_hashes(stream: DataFrame, profile: BandProfile = BAND_PROFILES["default
     return _live(stream, step, (0, [0.0] * profile.bands), "index long, before array<double>", change)
 
 
-def live_chromaprint(stream: DataFrame, profile: ChromaProfile = CHROMA_PROFILES["default"]) -> DataFrame:
+def live_chromaprint(stream: DataFrame, profile: ChromaProfile = CHROMA_PROFILES["default"], change: Callable | None = None) -> DataFrame:
     """Chromaprint hashes of a stream. A hash needs the frames of its rectangles only, so the state is the samples of frames without a hash yet."""
 
-    def run(key, parts, state: GroupState):
-        last, index, tail = state.get if state.exists else (-1, 0, [])
-        values, last, _ = _ordered(parts, last)
-        held = np.concatenate([np.array(tail, float), values])
-        rows = chromaprint(held, profile)
-        out = [(key[0], index + f, h) for f, h, _ in rows]
-        state.update((last, index + len(rows), held[len(rows) * profile.hop :].tolist()))
-        yield pd.DataFrame(out, columns=["track_id", "idx", "hash"])
+    def step(values, index):
+        rows = chromaprint(values, profile)
+        return [(index + f, h) for f, h, _ in rows], len(rows) * profile.hop, (index + len(rows),)
 
-    return stream.groupBy("track_id").applyInPandasWithState(run, "track_id long, idx long, hash long", "last long, index long, tail array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _live(stream, step, (0,), "index long", change)
 
 
 def live_wang(stream: DataFrame, profile: PeakProfile = PEAK_PROFILES["default"], change: Callable | None = None) -> DataFrame:
