@@ -94,7 +94,7 @@ def _live_kinds():
     return {"wang": (S.live_wang, peaks, 5), "hk": (S.live_hashes, BandProfile(size=256, hop=96, bands=9, flips=2), 0), "chromaprint": (S.live_chromaprint, small, 0)}
 
 
-@pytest.mark.parametrize("stretch", [1 << 20, 300, 7])
+@pytest.mark.parametrize("stretch", [S.STRETCH, 300, 7])
 @pytest.mark.parametrize("kind", list(_live_kinds()))
 def test_runs_of_held_samples_have_the_hashes_of_the_samples(spark, tmp_path, monkeypatch, kind, stretch):
     """Runs may be cut between parts; what comes again, or late, is left out sample by sample, and the first that came stays."""

@@ -81,7 +81,7 @@ def _ordered(parts: Iterator[pd.DataFrame], after: int) -> tuple[np.ndarray, int
 
 
 #: Samples that a live generator works out at a time, so a track that comes at once takes no more memory than one in parts.
-STRETCH = 1 << 20
+STRETCH = 1 << 17
 
 
 def runs(df: DataFrame, times: int, low: int = 0, high: int | None = None) -> DataFrame:
